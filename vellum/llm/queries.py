@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, media, mixing, packing, sharding, substring_dedup, token_counts, warc
 
-QUERIES = {"op10_exact_dedup": exact_dedup.op10_exact_dedup, "op3_mix": mixing.op3_mix}
-SQL = exact_dedup.SQL | mixing.SQL
+QUERIES = {
+    "op1_media": media.op1_media,
+    "op3_mix": mixing.op3_mix,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+    "op6_shard": sharding.op6_shard,
+    "op7_warc": warc.op7_warc,
+    "op8_token_counts": token_counts.op8_token_counts,
+    "op9_pack": packing.op9_pack,
+    "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+}
+SQL = exact_dedup.SQL | mixing.SQL | substring_dedup.SQL | warc.SQL
