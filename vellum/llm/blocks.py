@@ -27,14 +27,21 @@ REQUEST = "block long, shard long, keys binary, extra binary"
 ANSWER = "block long, keys binary, extra binary"
 
 
-def into_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """``docs`` with ``_vl_block`` and ``_vl_text`` (null: empty) in place of the text column, and the number of shards."""
+def into_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int, Callable[[Column], Column]]:
+    """``docs`` with ``_vl_block`` and ``_vl_text`` (null: empty) in place of the text, the number of shards, and the block of an id.
+
+    The block follows from the id, or from the text where the id is null.
+    """
     text = C.text_of(text_col)
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = max(LEAST_BLOCKS, math.ceil(total / block_bytes))
-    key: Column = F.coalesce(F.xxhash64(F.col(f"`{id_col}`").cast("string")), F.xxhash64(text))
-    key = F.when(F.col(f"`{id_col}`").isNull(), F.xxhash64(text)).otherwise(key)
-    return docs.withColumns({"_vl_block": F.pmod(key, F.lit(n)).cast("long"), "_vl_text": text}).drop(text_col), max(LEAST_SHARDS, math.ceil(total / SHARD_BYTES))
+
+    def block_of(key: Column) -> Column:
+        return F.pmod(F.xxhash64(key.cast("string")), F.lit(n)).cast("long")
+
+    key = F.col(f"`{id_col}`")
+    block = F.when(key.isNull(), block_of(text)).otherwise(block_of(key))
+    return docs.withColumns({"_vl_block": block, "_vl_text": text}).drop(text_col), max(LEAST_SHARDS, math.ceil(total / SHARD_BYTES)), block_of
 
 
 def ask(blocks: DataFrame, run: Callable[[pa.Table], Iterator[tuple[int, np.ndarray, np.ndarray | None]]]) -> DataFrame:

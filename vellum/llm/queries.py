@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, media, mixing, packing, sharding, substring_dedup, token_counts, warc
+from . import exact_dedup, media, mixing, ngram_join, packing, sharding, substring_dedup, token_counts, warc
 
 QUERIES = {
     "op1_media": media.op1_media,
+    "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_mix": mixing.op3_mix,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op6_shard": sharding.op6_shard,
@@ -14,4 +15,4 @@ QUERIES = {
     "op9_pack": packing.op9_pack,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
-SQL = exact_dedup.SQL | mixing.SQL | substring_dedup.SQL | warc.SQL
+SQL = exact_dedup.SQL | mixing.SQL | ngram_join.SQL | substring_dedup.SQL | warc.SQL

@@ -65,7 +65,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if window < PERIOD + 1:
         raise ValueError(f"a window has {PERIOD + 1} words at least")
     docs = C.without(docs, "n_words", "n_removed", "kept_sha256")
-    table, shards = B.into_blocks(docs, id_col, text_col)
+    table, shards, _ = B.into_blocks(docs, id_col, text_col)
     rest = [c for c in docs.columns if c != text_col]
     anchor = window - PERIOD + 1
 
