@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, media, mixing, ngram_join, packing, sharding, substring_dedup, token_counts, warc
+from . import exact_dedup, media, mixing, ngram_join, packing, quality, sharding, substring_dedup, token_counts, warc
 
 QUERIES = {
     "op1_media": media.op1_media,
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_mix": mixing.op3_mix,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+    "op5_quality": quality.op5_quality,
     "op6_shard": sharding.op6_shard,
     "op7_warc": warc.op7_warc,
     "op8_token_counts": token_counts.op8_token_counts,
