@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
-import numpy as np
-
-#: Words remembered in a worker (about 150 MB); the memory is emptied when it is full.
-CACHE_WORDS = 600_000
+#: Words remembered in a worker (about 200 MB); the memory is emptied when it is full.
+CACHE_WORDS = 1_000_000
 _ODD = re.compile("[\x1c-\x1f]")
-_TAIL = re.compile(r"^([^\W_](?:.*[^\W_])?)([.,;:!?]+)$", re.S)
+#: Latin letters, all of them precomposed, and sentence marks: the normalizer only lowers their case and the letters are one pre-token.
+_PLAIN = re.compile("([A-Za-zß-öø-ÿÀ-ÖØ-Þ]+)([.,;:!?]*)")
 _workers: dict = {}
 
 
@@ -26,35 +26,42 @@ def default_path() -> str:
 
 
 class Words:
-    """Encodes texts to little-endian unsigned 32-bit ids."""
+    """Encodes texts to unsigned 32-bit ids (little-endian, as executors are); for vocabularies that lower the case and part words at white space and marks."""
 
     def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
+        self.plain = Tokenizer.from_file(path)
+        if self.tokenizer.normalizer is not None:
+            self.plain.normalizer = None
+            self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {}
 
-    def _raw(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _raw(self, words: list[str], tokenizer=None) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in (tokenizer or self.tokenizer).encode_batch_fast(words, add_special_tokens=False)]
 
     def _learn(self, words: set[str]) -> None:
-        """Known forms first: lower case of Latin words, and a stem before sentence marks; what is left goes to the tokenizer."""
-        known, forms, ask = self.known, {}, set()
+        """Plain words by their lower-case stem, which needs no normalizing, and their marks; the others whole."""
+        known, forms, stems, whole = self.known, [], set(), []
         for w in words:
-            if "<" in w or "'" in w or "’" in w or max(w) >= "ɐ":
-                parts = (w,)
+            m = _PLAIN.fullmatch(w)
+            if m:
+                stem, marks = m[1].lower(), m[2]
+                forms.append((w, stem, marks))
+                if stem not in known:
+                    stems.add(stem)
+                if marks and marks not in known:
+                    known[marks] = self._raw([marks])[0]
             else:
-                low = w.lower()
-                m = _TAIL.match(low) if low[-1] in ".,;:!?" else None
-                parts = m.groups() if m else (low,)
-            forms[w] = parts
-            ask.update(p for p in parts if p not in known)
-        ask = list(ask)
-        known.update(zip(ask, self._raw(ask), strict=True))
-        for w, parts in forms.items():
-            known[w] = known[parts[0]] if len(parts) == 1 else known[parts[0]] + known[parts[1]]
+                whole.append(w)
+        stems = list(stems)
+        known.update(zip(stems, self._raw(stems, self.plain), strict=True))
+        known.update(zip(whole, self._raw(whole), strict=True))
+        for w, stem, marks in forms:
+            known[w] = known[stem] + known[marks] if marks else known[stem]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes."""
