@@ -1,10 +1,348 @@
-"""Registered queries of the engine and their SQL for DuckDB."""
+"""Registered queries of the engine, each over whole tables, and their SQL for DuckDB.
+
+The tables have no books; a source is taken as a book and a document as its chapter or page where one is needed.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import html
+from ..functions import text as T
+from ..operators import chunk, index, integrity, knowledge, manifest, pages, rules, search, segment, status
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as the chunks of one book."""
+    return table(spark, d, "documents").select(F.lit("corpus").alias("book_id"), F.format_string("%012d", "doc_id").alias("id"), "text")
+
+
+def question(spark: SparkSession, *texts: str) -> DataFrame:
+    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "query_id long, question string")
+
+
+_TERMS = "regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[\\p{L}\\p{N}]+')"
+_LENS = f"t AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents), l AS (SELECT doc_id, CAST(len({_TERMS}) AS DOUBLE) AS n FROM documents), a AS (SELECT count(*) AS nd, avg(n) AS avgdl FROM l)"
+#: Of phrases q (query_id, no, term): scores s (query_id, doc_id, bm25).
+_SCORES = """f AS (SELECT q.query_id, q.no, t.doc_id, count(*) AS f FROM q JOIN t USING (term) GROUP BY ALL),
+n AS (SELECT query_id, no, count(*) AS n FROM f GROUP BY ALL),
+s AS (SELECT f.query_id, f.doc_id, sum(greatest(ln((a.nd - n.n + 0.5) / (n.n + 0.5)), 0) * f.f * 2.2 / (f.f + 1.2 * (0.25 + 0.75 * l.n / a.avgdl))
+        + CASE WHEN ln((a.nd - n.n + 0.5) / (n.n + 0.5)) <= 0 THEN 1e-6 * f.f * 2.2 / (f.f + 1.2 * (0.25 + 0.75 * l.n / a.avgdl)) ELSE 0 END) AS bm25
+      FROM f JOIN n USING (query_id, no) JOIN l USING (doc_id), a GROUP BY ALL)"""
+
+
+def _hits(df: DataFrame) -> DataFrame:
+    return df.select("query_id", F.col("rank").cast("long").alias("rank"), F.col("chunk_id").cast("long").alias("doc_id"), F.round("bm25", 4).alias("score"))
+
+
+@query(f"""WITH q AS (SELECT 0 AS query_id, unnest(range(4)) AS no, unnest(['eration', 'worthless', 'thonanre', 'and']) AS term), {_LENS}, {_SCORES}
+SELECT CAST(query_id AS BIGINT) AS query_id, rn - 1 AS rank, doc_id, round(bm25, 4) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 10) DESC, doc_id) AS rn FROM s) WHERE rn <= 8""")
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    built = index.build(corpus(spark, d), columns=("text",))
+    return _hits(search.ranked(search.bm25(built, question(spark, "eration worthless thonanre AND"), ("text",)), "bm25", 8))
+
+
+@query(f"""WITH b AS (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark), q AS (SELECT item_id AS query_id, row_number() OVER () AS no, term FROM b), {_LENS}, {_SCORES}
+SELECT query_id, rn - 1 AS rank, doc_id, round(bm25, 4) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 10) DESC, doc_id) AS rn FROM s) WHERE rn <= 8""")
+def bm25_multi_query(spark: SparkSession, d: str) -> DataFrame:
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(T.search_terms("text"), " ").alias("question"))
+    return _hits(search.ranked(search.bm25(index.build(corpus(spark, d), columns=("text",)), asked, ("text",)), "bm25", 8))
+
+
+@query(f"""WITH t0 AS (SELECT doc_id, {_TERMS} AS w FROM documents), t AS (SELECT doc_id, unnest(range(1, len(w))) AS i, w FROM t0), h AS (SELECT doc_id, count(*) AS f FROM t WHERE w[i] = 'of' AND w[i + 1] = 'the' GROUP BY doc_id),
+l AS (SELECT doc_id, CAST(len(w) AS DOUBLE) AS n FROM t0), a AS (SELECT count(*) AS nd, avg(n) AS avgdl FROM l), n AS (SELECT count(*) AS n FROM h)
+SELECT h.doc_id, h.f AS occurrences, round((CASE WHEN ln((nd - n.n + 0.5) / (n.n + 0.5)) <= 0 THEN 1e-6 ELSE ln((nd - n.n + 0.5) / (n.n + 0.5)) END) * h.f * 2.2 / (h.f + 1.2 * (0.25 + 0.75 * l.n / avgdl)), 4) AS score FROM h JOIN l USING (doc_id), a, n""")
+def bm25_phrase(spark: SparkSession, d: str) -> DataFrame:
+    built, asked = index.build(corpus(spark, d), columns=("text",)), question(spark, "of'the")
+    f = search.matches(built, search.phrases(asked, columns=("text",))).select("chunk_id", F.col("f").alias("occurrences"))
+    return search.bm25(built, asked, ("text",)).join(f, "chunk_id").select(F.col("chunk_id").cast("long").alias("doc_id"), "occurrences", F.round("bm25", 4).alias("score"))
+
+
+_DENSE = """v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v)"""
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.lit("corpus").alias("book_id"), F.format_string("%012d", "vec_id").alias("chunk_id"), index.unit("embedding").alias("vector"))
+
+
+@query(f"""WITH {_DENSE}, s AS (SELECT q.vec_id AS query_id, u.vec_id, list_dot_product(q.e, u.e) AS cosine FROM u AS q, u WHERE q.vec_id % 50 = 0)
+SELECT query_id, rn - 1 AS rank, vec_id, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 10) DESC, vec_id) AS rn FROM s) WHERE rn <= 8""")
+def dense_topk(spark: SparkSession, d: str) -> DataFrame:
+    v = _vectors(spark, d)
+    asked = v.where("chunk_id % 50 = 0").select(F.col("chunk_id").cast("long").alias("query_id"), "vector")
+    return search.dense(v, asked, 8).select("query_id", F.col("rank").cast("long").alias("rank"), F.col("chunk_id").cast("long").alias("vec_id"), F.round("cosine", 6).alias("cosine"))
+
+
+@query(f"""WITH q AS (SELECT 0 AS query_id, unnest(range(3)) AS no, unnest(['eration', 'thonanre', 'heing']) AS term), {_LENS}, {_SCORES}, {_DENSE},
+x AS (SELECT doc_id, row_number() OVER (ORDER BY round(bm25, 10) DESC, doc_id) - 1 AS rank, 0 AS l FROM s QUALIFY rank < 24),
+y AS (SELECT u.vec_id AS doc_id, row_number() OVER (ORDER BY round(list_dot_product(q.e, u.e), 10) DESC, u.vec_id) - 1 AS rank, 1 AS l FROM u AS q, u WHERE q.vec_id = 0 QUALIFY rank < 24),
+z AS (SELECT doc_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, min(l * 1000 + rank) AS first FROM (SELECT * FROM x UNION ALL SELECT * FROM y) GROUP BY doc_id)
+SELECT row_number() OVER (ORDER BY round(rrf, 12) DESC, first, doc_id) - 1 AS rank, doc_id, round(rrf, 8) AS rrf FROM z JOIN documents USING (doc_id) QUALIFY rank < 8""")
+def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
+    built = index.build(corpus(spark, d), columns=("text",))
+    built.vectors = _vectors(spark, d)
+    asked = built.vectors.where("chunk_id = 0").select(F.lit(0).cast("long").alias("query_id"), "vector")
+    hits = search.search(built, question(spark, "eration thonanre heing"), 8, True, asked, ("text",))
+    return hits.select(F.col("rank").cast("long").alias("rank"), F.col("id").cast("long").alias("doc_id"), F.round("rrf", 8).alias("rrf"))
+
+
+@query(f"""WITH q AS (SELECT 0 AS query_id, unnest(range(2)) AS no, unnest(['eration', 'thonanre']) AS term), {_LENS}, {_SCORES},
+r AS (SELECT doc_id, row_number() OVER (ORDER BY round(bm25, 10) DESC, doc_id) AS rn FROM s QUALIFY rn <= 8),
+b AS (SELECT rn, '[' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || ' | ]' || chr(10) || text AS block FROM r JOIN documents USING (doc_id)),
+u AS (SELECT *, sum(length(block)) OVER (ORDER BY rn) AS upto FROM b)
+SELECT CAST(count(*) AS INTEGER) AS n_blocks, md5(string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rn)) AS context_md5 FROM u WHERE upto <= 14000 HAVING count(*) > 0""")
+def context_budget(spark: SparkSession, d: str) -> DataFrame:
+    chunks = corpus(spark, d).withColumn("chapter_title", F.lit(""))
+    hits = search.search(index.build(chunks, columns=("text",)), question(spark, "eration thonanre"), 8, columns=("text",))
+    return search.contexts(hits).select("n_blocks", F.md5(F.col("context").cast("binary")).alias("context_md5"))
+
+
+@query(f"""WITH q AS (SELECT 0 AS query_id, 0 AS no, 'thonanre' AS term UNION ALL SELECT 0, 1, 'heing'), t AS (SELECT doc_id, source, unnest({_TERMS}) AS term FROM documents),
+l AS (SELECT doc_id, source, CAST(len({_TERMS}) AS DOUBLE) AS n FROM documents), a AS (SELECT source, count(*) AS nd, avg(n) AS avgdl FROM l GROUP BY source),
+f AS (SELECT q.no, t.source, t.doc_id, count(*) AS f FROM q JOIN t USING (term) GROUP BY ALL), n AS (SELECT no, source, count(*) AS n FROM f GROUP BY ALL),
+s AS (SELECT f.source, f.doc_id, sum((CASE WHEN ln((nd - n.n + 0.5) / (n.n + 0.5)) <= 0 THEN 1e-6 ELSE ln((nd - n.n + 0.5) / (n.n + 0.5)) END) * f.f * 2.2 / (f.f + 1.2 * (0.25 + 0.75 * l.n / avgdl))) AS bm25
+      FROM f JOIN n USING (no, source) JOIN l USING (doc_id, source) JOIN a USING (source) GROUP BY ALL),
+g AS (SELECT source, doc_id, row_number() OVER (ORDER BY round(bm25, 10) DESC, source, doc_id) - 1 AS rank, 1 AS l FROM s QUALIFY rank < 8),
+o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(bm25, 10) DESC, doc_id) AS ib FROM s QUALIFY ib <= ceil(8.0 / (SELECT count(*) FROM a))),
+p AS (SELECT source, doc_id, row_number() OVER (ORDER BY ib, round(bm25, 10) DESC, source, doc_id) - 1 AS rank, 0 AS l FROM o),
+z AS (SELECT source, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, min(l * 1000000 + rank) AS first FROM (SELECT * FROM p UNION ALL SELECT * FROM g) GROUP BY ALL)
+SELECT row_number() OVER (ORDER BY round(rrf, 12) DESC, first, source, doc_id) - 1 AS rank, source, doc_id, round(rrf, 8) AS rrf FROM z QUALIFY rank < 8""")
+def federated_quota(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "documents").select(F.col("source").alias("book_id"), F.format_string("%012d", "doc_id").alias("id"), "text")
+    got = search.federated(index.build(chunks, columns=("text",)), question(spark, "thonanre heing"), 8)
+    return got.select(F.col("rank").cast("long").alias("rank"), F.col("book_id").alias("source"), F.col("chunk_id").cast("long").alias("doc_id"), F.round("rrf", 8).alias("rrf"))
+
+
+_NORM = "trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \\t]+', ' ', 'g'), '\\n{4,}', chr(10) || chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g'))"
+_ASCII = "regexp_replace(strip_accents(coalesce(text, '')), '[^\\x00-\\x7F]', '', 'g')"
+_ANCHOR = f"trim(regexp_replace(lower({_ASCII}), '\\s+', ' ', 'g'))"
+
+
+@query(f"""SELECT doc_id, md5({_NORM}) AS normalized_md5,
+coalesce(nullif(trim(left(trim(lower(regexp_replace({_ASCII}, '[^a-zA-Z0-9]+', '_', 'g')), '_'), 80), '_'), ''), 'untitled') AS slug, md5({_ANCHOR}) AS anchor_md5,
+coalesce(left(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: trim(regexp_replace(trim(l), '^#+', ''))), lambda l: l <> '')[1], 120), 'none') AS first_line,
+CASE WHEN length(replace(text, chr(10), ' ')) > 220 THEN left(replace(text, chr(10), ' '), 220) || '...' ELSE replace(text, chr(10), ' ') END AS excerpt,
+'sha256:' || sha256(coalesce(text, '')) AS tag,
+md5(array_to_string(list_transform(list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '["():^*\\\\]', ' ', 'g'), '\\s+'), lambda x: x <> ''), lambda x: '"' || x || '"'), ' OR ')) AS query_md5 FROM documents""")
+def text_functions(spark: SparkSession, d: str) -> DataFrame:
+    md5 = lambda c: F.md5(c.cast("binary"))
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, d, "documents").select("doc_id", md5(T.normalize_whitespace(text)).alias("normalized_md5"), T.slugify("text").alias("slug"), md5(T.norm_anchor("text")).alias("anchor_md5"), T.first_line(text, "none").alias("first_line"), T.excerpt("text").alias("excerpt"), T.sha256_tag(text).alias("tag"), md5(T.sanitize_query("text")).alias("query_md5"))
+
+
+def as_pages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").alias("page_number"), "text")
+
+
+_LINES = """p AS (SELECT source, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+g AS (SELECT *, trim(line) AS t FROM p), w AS (SELECT *, sum(CASE WHEN t <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY source, doc_id ORDER BY pos) AS up, sum(CASE WHEN t <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY source, doc_id) AS n FROM g),
+e AS (SELECT *, t <> '' AND (up <= 2 OR up > n - 2) AS is_edge FROM w),
+r AS (SELECT source, t AS line, count(DISTINCT doc_id) AS n_pages FROM e WHERE is_edge AND length(t) <= 60 GROUP BY source, t HAVING count(DISTINCT doc_id) >= 4)"""
+
+
+@query(f"WITH {_LINES} SELECT source, line, n_pages FROM r")
+def running_lines(spark: SparkSession, d: str) -> DataFrame:
+    return pages.running_lines(pages.page_lines(as_pages(spark, d))).withColumnRenamed("book_id", "source")
+
+
+@query(f"""WITH {_LINES}, k AS (SELECT e.* FROM e LEFT JOIN r ON e.is_edge AND e.source = r.source AND e.t = r.line WHERE r.line IS NULL AND NOT (t <> '' AND regexp_matches(t, '^\\s*[\\divxlcdmIVXLCDM]{{1,6}}\\s*$'))),
+j AS (SELECT source, doc_id, regexp_replace(string_agg(line, chr(10) ORDER BY pos), '([a-zà-ÿ])-\\n\\s*([a-zà-ÿ])', '\\1\\2', 'g') AS text FROM k GROUP BY source, doc_id),
+c AS (SELECT source, doc_id, {_NORM} AS text FROM j), f AS (SELECT * FROM c WHERE text <> '')
+SELECT source, doc_id AS page, coalesce(sum(length(text) + 2) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM f""")
+def page_offsets(spark: SparkSession, d: str) -> DataFrame:
+    return pages.page_offsets(pages.clean_pages(as_pages(spark, d))).withColumnRenamed("book_id", "source")
+
+
+@query("""WITH m AS (SELECT source, doc_id, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 100 AS o FROM documents),
+q AS (SELECT source, doc_id AS point_id, doc_id * 50 AS at FROM documents)
+SELECT q.source, q.point_id, m.doc_id AS page FROM q ASOF LEFT JOIN m ON q.source = m.source AND q.at >= m.o""")
+def page_asof(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    docs = table(spark, d, "documents")
+    before = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    marks = docs.select(F.col("source").alias("book_id"), (F.coalesce(F.sum("n_chars").over(before), F.lit(0)) + 100).alias("offset"), F.col("doc_id").alias("page"))
+    points = docs.select(F.col("source").alias("book_id"), F.col("doc_id").alias("point_id"), (F.col("doc_id") * 50).alias("at"))
+    return pages.page_at(points, marks, "at").select(F.col("book_id").alias("source"), "point_id", "page")
+
+
+def as_books(spark: SparkSession, d: str) -> DataFrame:
+    """A source as a book: its documents under headings."""
+    part = F.concat(F.lit("# Document "), F.col("doc_id").cast("string"), F.lit("\n\n"), F.coalesce("text", F.lit("")))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", part.alias("p")))), lambda s: s["p"]), "\n\n")
+    return table(spark, d, "documents").groupBy(F.col("source").alias("book_id")).agg(joined.alias("text"))
+
+
+@query("""WITH d AS (SELECT source, doc_id, length('# Document ' || doc_id || chr(10) || chr(10) || regexp_replace(coalesce(text, ''), '[ \\t]+', ' ', 'g')) AS n FROM documents)
+SELECT source, 1 AS level, count(*) AS n FROM d GROUP BY source HAVING count(*) > 0""")
+def heading_levels(spark: SparkSession, d: str) -> DataFrame:
+    heads = segment.headings(segment.book_lines(as_books(spark, d)))
+    return segment.level_stats(heads).where("level = 1").select(F.col("book_id").alias("source"), "level", "n")
+
+
+@query()
+def chapters(spark: SparkSession, d: str) -> DataFrame:
+    return segment.split_chapters(as_books(spark, d))[0].select("book_id", "ord", "chapter_id", "title", "n_merged", "hash")
+
+
+def as_chapters(spark: SparkSession, d: str) -> DataFrame:
+    """A document as a chapter whose lines are paragraphs."""
+    docs = table(spark, d, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").cast("int").alias("ord"), F.format_string("ch%03d", "doc_id").alias("chapter_id"), F.lit("").alias("title"), F.regexp_replace(F.coalesce("text", F.lit("")), "\n", "\n\n").alias("text"))
+    return docs.withColumn("hash", T.sha256_tag("text"))
+
+
+@query("""WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ps FROM documents),
+f(doc_id, ps, i, buf, done) AS (
+  SELECT doc_id, ps, 1, '', CAST([] AS VARCHAR[]) FROM p
+  UNION ALL
+  SELECT doc_id, ps, i + 1,
+    CASE WHEN length(buf) + length(ps[i]) + 2 <= 2200 THEN CASE WHEN buf = '' THEN ps[i] ELSE buf || chr(10) || chr(10) || ps[i] END
+         WHEN buf <> '' THEN trim(right(buf, 250) || chr(10) || chr(10) || ps[i], ' ' || chr(10)) ELSE '' END,
+    CASE WHEN length(buf) + length(ps[i]) + 2 <= 2200 THEN done WHEN buf <> '' THEN list_append(done, buf)
+         ELSE list_concat(done, list_transform(range(0, length(ps[i]), 2200), lambda j: substring(ps[i], j + 1, 2200))) END
+  FROM f WHERE i <= len(ps)
+), r AS (SELECT doc_id, CASE WHEN buf = '' THEN done ELSE list_append(done, buf) END AS cs FROM f WHERE i = len(ps) + 1)
+SELECT doc_id, unnest(range(1, len(cs) + 1)) AS n, md5(unnest(cs)) AS text_md5 FROM r""")
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    got = chunk.chunks(as_chapters(spark, d))
+    return got.select(F.regexp_extract("chapter_id", "[0-9]+", 0).cast("long").alias("doc_id"), F.regexp_extract("id", "_([0-9]+)$", 1).cast("long").alias("n"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query()
+def parts(spark: SparkSession, d: str) -> DataFrame:
+    return chunk.parts(as_chapters(spark, d), 2000).select("book_id", "chapter_id", "part", "parts_total", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+@query("""WITH c AS (SELECT doc_id, source FROM documents)
+SELECT doc_id, 'ch' || lpad(CAST(doc_id AS VARCHAR), CAST(greatest(3, length(CAST(doc_id AS VARCHAR))) AS INTEGER), '0') AS chapter_id, 'sha256:' || sha256(replace(coalesce(text, ''), chr(10), chr(10) || chr(10))) AS hash,
+row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents""")
+def chapter_hashes(spark: SparkSession, d: str) -> DataFrame:
+    got = segment.renumber(as_chapters(spark, d).withColumnRenamed("ord", "seq"))
+    return got.select(F.col("seq").cast("long").alias("doc_id"), "chapter_id", "hash", F.col("ord").cast("long").alias("n"))
+
+
+@query("""SELECT d.source, d.doc_id, 1 AS n FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL""")
+def orphans(spark: SparkSession, d: str) -> DataFrame:
+    name = lambda c: F.format_string("ch%03d", c)
+    docs = table(spark, d, "documents").select(F.lit("b").alias("book_id"), name("doc_id").alias("chapter_id"), "doc_id", "source")
+    have = table(spark, d, "labels").select(F.lit("b").alias("book_id"), name("doc_id").alias("chapter_id")).distinct()
+    return integrity.orphans(docs, have).join(docs, ["book_id", "chapter_id"]).select("source", "doc_id", F.col("n").cast("int").alias("n"))
+
+
+@query(f"""WITH c AS (SELECT doc_id % 40 AS k, doc_id, {_ANCHOR} AS n FROM documents), a AS (SELECT item_id, {_ANCHOR} AS n FROM benchmark)
+SELECT item_id, bool_or(contains(c.n, a.n)) AS found FROM a JOIN c ON a.item_id % 40 = c.k GROUP BY item_id""")
+def anchor_check(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    cited = docs.groupBy((F.col("doc_id") % 40).alias("k")).agg(F.collect_list(F.col("doc_id").cast("string")).alias("cited"))
+    items = table(spark, d, "benchmark").join(cited, F.col("item_id") % 40 == F.col("k"))
+    rows = items.select(F.lit("b").alias("book_id"), F.col("item_id").cast("string").alias("chapter_id"), F.lit(6).alias("rule"), F.lit(0).alias("item"), F.lit("claims").alias("what"), "cited", F.array("text").alias("anchors"))
+    bad = rules.anchor_violations(rows, docs.select(F.lit("b").alias("book_id"), F.col("doc_id").cast("string").alias("id"), "text"))
+    return items.join(bad.select(F.col("chapter_id").cast("long").alias("item_id"), F.lit(False).alias("found")).distinct(), "item_id", "left").select("item_id", F.coalesce("found", F.lit(True)).alias("found"))
+
+
+def as_cards(spark: SparkSession, d: str) -> DataFrame:
+    """A document as a card: its lines are claims, every seventh wasn't read to the end, and its text is the summary."""
+    name, one = F.format_string("ch%03d", "doc_id"), F.array(F.format_string("chunk_ch%03d_0001", "doc_id"))
+    text = F.coalesce("text", F.lit(""))
+    claims = F.transform(F.filter(T.lines(text), lambda l: T.strip(l) != ""), lambda l: F.struct(l.alias("claim"), F.lit("inferenza").alias("tipo"), one.alias("chunk_ids")))
+    concept = F.array(F.struct(F.concat(F.lit("source "), "source").alias("name"), F.lit("where it is from").alias("definition"), one.alias("chunk_ids")))
+    lists = [F.array().cast("array<string>").alias(n) for n in ("domande", "obiezioni", "applicazioni")]
+    card = F.struct(name.alias("chapter_id"), F.lit("t").alias("title"), F.struct(F.when(F.col("doc_id") % 7 == 0, 1).otherwise(2).alias("parts_read"), F.lit(2).alias("parts_total")).alias("coverage"), F.lit("f").alias("funzione"), text.alias("riassunto"), F.lit("a thesis").alias("tesi"), concept.alias("concetti"), claims.alias("claims"), F.array().cast("array<struct<testo:string,chunk_id:string>>").alias("passaggi"), *lists, F.lit("m").alias("cosa_memorizzare"))
+    return table(spark, d, "documents").select(F.lit("b").alias("book_id"), name.alias("chapter_id"), F.to_json(card).alias("card"))
+
+
+@query("""WITH d AS (SELECT 'ch' || lpad(CAST(doc_id AS VARCHAR), CAST(greatest(3, length(CAST(doc_id AS VARCHAR))) AS INTEGER), '0') AS chapter_id, doc_id, coalesce(text, '') AS text FROM documents)
+SELECT chapter_id, 1 AS rule, count(*) AS n FROM d WHERE length(text) < 300 GROUP BY chapter_id
+UNION ALL SELECT chapter_id, 3, 1 FROM d WHERE length(text) >= 300 AND doc_id % 7 = 0
+UNION ALL SELECT chapter_id, 2, 1 FROM d WHERE length(text) >= 300 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)""")
+def card_violations(spark: SparkSession, d: str) -> DataFrame:
+    cards = as_cards(spark, d)
+    chunk_ids = table(spark, d, "documents").select(F.lit("b").alias("book_id"), F.format_string("chunk_ch%03d_0001", "doc_id").alias("id"), F.format_string("ch%03d", "doc_id").alias("chapter_id"), "text")
+    state = table(spark, d, "labels").select(F.lit("b").alias("book_id"), F.format_string("ch%03d", "doc_id").alias("chapter_id"), F.lit(2).alias("parts_total")).distinct()
+    known = rules.card_violations(cards, chunk_ids, state)
+    late = rules.card_violations(cards, chunk_ids, cards.select("book_id", "chapter_id", F.lit(2).alias("parts_total"))).where("rule = 3")
+    return known.where("rule <> 3").unionByName(late).groupBy("chapter_id", F.col("rule").cast("int").alias("rule")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH p AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: trim(l) <> '') AS ls FROM documents)
+SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS claim FROM p""")
+def knowledge_claims(spark: SparkSession, d: str) -> DataFrame:
+    got = knowledge.flatten(as_cards(spark, d))["claims"]
+    return got.select(F.substring("chapter_id", 3, 20).cast("long").alias("doc_id"), F.col("pos").cast("long").alias("pos"), "claim")
+
+
+@query("""SELECT doc_id, 'source ' || source AS keywords FROM documents""")
+def keywords_by_chunk(spark: SparkSession, d: str) -> DataFrame:
+    return knowledge.keywords_by_chunk(as_cards(spark, d)).select(F.regexp_extract("id", "ch([0-9]+)_", 1).cast("long").alias("doc_id"), F.array_join("keywords", ", ").alias("keywords"))
+
+
+@query("""WITH e AS (SELECT user_id, max(CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 WHEN 'error' THEN 4 WHEN 'signup' THEN 5 END) AS s FROM events GROUP BY user_id)
+SELECT user_id, ['ingested', 'analyzing', 'synthesized', 'author_modeled', 'verified', 'packed'][s + 1] AS phase FROM e""")
+def status_phases(spark: SparkSession, d: str) -> DataFrame:
+    kinds = F.create_map(*[F.lit(x) for pair in (("view", "ingest"), ("click", "commit-chapter"), ("purchase", "commit-synthesis"), ("error", "verify"), ("signup", "pack")) for x in pair])
+    events = table(spark, d, "events").select(F.col("user_id").alias("book_id"), kinds[F.col("event_type")].alias("kind"))
+    return status.phases(events.select("book_id").distinct(), events).withColumnRenamed("book_id", "user_id")
+
+
+@query("""WITH c AS (SELECT d.source, d.doc_id, l.quality FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id))
+SELECT source, count(*) FILTER (quality = 1) AS committed, count(*) AS total, min(CASE WHEN quality IS DISTINCT FROM 1 THEN doc_id END) AS next_pending FROM c GROUP BY source""")
+def status_progress(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("source").alias("book_id"), F.format_string("%012d", "doc_id").alias("chapter_id"), F.lit("").alias("title"), F.lit("").alias("file"), F.lit("").alias("hash"), F.lit(1).alias("parts_total"))
+    good = table(spark, d, "labels").where("quality = 1").select(F.format_string("%012d", "doc_id").alias("chapter_id"))
+    events = docs.join(good, "chapter_id", "left_semi").select("book_id", F.lit("2024").alias("at"), F.lit("commit-chapter").alias("kind"), "chapter_id", F.lit("").alias("message"))
+    done = status.progress(status.chapter_status(docs, events), docs.select("book_id").limit(0))
+    return done.select(F.col("book_id").alias("source"), "committed", "total", F.col("next_pending").cast("long").alias("next_pending"))
+
+
+@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
+def json_props(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql.types import StructType
+
+    return rules.parse(table(spark, d, "events"), "props", StructType.fromDDL("k BIGINT")).select("event_id", "c.k")
+
+
+@query()
+def html_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", html.markdown_notes_udf("html").alias("m")).select("page_id", "m.text", F.size("m.notes").alias("n_notes"))
+
+
+@query("""SELECT source, 'canonical/chapters/' || lpad(CAST(doc_id AS VARCHAR), CAST(greatest(3, length(CAST(doc_id AS VARCHAR))) AS INTEGER), '0') || '_untitled.md' AS path, 'sha256:' || sha256(replace(coalesce(text, ''), chr(10), chr(10) || chr(10))) AS hash FROM documents""")
+def manifest_files(spark: SparkSession, d: str) -> DataFrame:
+    found = segment.with_ids(as_chapters(spark, d))
+    books = found.select("book_id").distinct().withColumn("text", F.lit(""))
+    none = found.select("book_id", "chapter_id", F.lit("").alias("card")).limit(0)
+    files = manifest.artefacts(found, found.select("book_id", "ord", "text").limit(0), none)
+    made = manifest.manifest(books, files, books.select("book_id", F.lit(0).alias("committed"), F.lit(0).alias("total"), F.lit(False).alias("complete")))
+    return made.select(F.col("book_id").alias("source"), F.explode("files").alias("path", "hash"))
+
+
+@query()
+def integrity_report(spark: SparkSession, d: str) -> DataFrame:
+    found = segment.with_ids(as_chapters(spark, d)).withColumn("parts_total", F.lit(1))
+    cut = chunk.chunks(found)
+    state = found.select("book_id", "chapter_id", F.lit("pending").alias("status"), "parts_total")
+    books = found.groupBy("book_id").agg(F.max("text").alias("text"))
+    return integrity.check(books, found, cut, state, found.select("book_id", "chapter_id", F.lit("").alias("card")).limit(0), books.select("book_id", F.lit("").alias("synthesis")).limit(0), books.select("book_id").limit(0))
