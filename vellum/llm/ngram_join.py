@@ -35,17 +35,26 @@ SHINGLE = 5
 SIMILAR = 80
 #: Extra matches asked of the first prefixes, in percent of the set.
 FIRST = 10
+#: Bytes of text whose words are hashed at a time.
+HASHED = 1 << 19
 #: Documents of a group that meet in one task.
 MEET = 256
 
 
 def shingle_sets(texts, size: int = SHINGLE) -> list[np.ndarray]:
-    """The sorted distinct hashes of each text's shingles; a text with fewer words has its whole sequence as one."""
-    words = B.WordTable(texts, lower=True)
-    h, first = words.windows(size), words.first.tolist()
-    out = []
-    for a, b in zip(first[:-1], first[1:], strict=True):
-        out.append(np.unique(h[a : b - size + 1]) if b - a >= size else words.windows(b - a)[a : a + 1] if b > a else h[:0])
+    """The sorted distinct hashes of each text's shingles; a text with fewer words has its whole sequence as one.
+
+    About HASHED bytes of text are worked through at a time.
+    """
+    texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) and texts.num_chunks else texts
+    offsets, out, at = B.buffers(texts)[1], [], 0
+    while at < len(offsets) - 1:
+        to = min(len(offsets) - 1, max(at + 1, int(np.searchsorted(offsets, offsets[at] + HASHED, side="right")) - 1))
+        words = B.WordTable(texts.slice(at, to - at), lower=True)
+        h, first = words.windows(size), words.first.tolist()
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            out.append(np.unique(h[a : b - size + 1]) if b - a >= size else words.windows(b - a)[a : a + 1] if b > a else h[:0])
+        at = to
     return out
 
 
