@@ -1,0 +1,112 @@
+"""Each query against its SQL, or against brute force where SQL can't express it."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from vellum.llm import packing, queries, tokens
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_sql(spark, data, duck, same, name):
+    same(queries.QUERIES[name](spark, data).toPandas(), duck.sql(queries.SQL[name]).df())
+
+
+def documents(duck):
+    return [(i, t or "") for i, t in duck.sql("SELECT doc_id, text FROM documents").fetchall()]
+
+
+def test_media(spark, data, duck):
+    got = {r["doc_id"]: r for r in queries.QUERIES["op1_media"](spark, data).collect()}
+    docs = documents(duck)
+    assert len(got) == len(docs)
+    for i, t in docs:
+        raw, r = t.encode(), got[i]
+        payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert r["media_bytes"] == len(payload) + 44 and r["feature"].startswith("audio/wav")
+
+
+def test_mixing_meets_targets(spark, data):
+    from pyspark.sql import functions as F
+
+    rows = queries.QUERIES["op3_mix"](spark, data).groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.max("size").alias("longest")).collect()
+    assert sum(r["target"] for r in rows) == pytest.approx(sum(r["source_size"] for r in rows))
+    assert all(abs(r["taken"] - r["target"]) <= 2 * r["longest"] for r in rows)
+
+
+def test_shards(spark, data, duck):
+    got = queries.QUERIES["op6_shard"](spark, data).toPandas()
+    docs = dict(documents(duck))
+    assert sorted(got["doc_id"]) == sorted(docs)
+    for r in got.to_dict("records"):
+        raw = docs[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"]) == (len(raw) + 8, zlib.crc32(raw))
+    for _, g in got.groupby("shard"):
+        assert sorted(g["slot"]) == list(range(len(g)))
+    sizes = got.groupby("shard")["size"].sum()
+    assert len(sizes) == 24 and sizes.max() <= max(1.1 * sizes.mean(), got["size"].max() + sizes.mean() * 0.1)
+
+
+def test_warc_digest(spark, data, duck):
+    pages = dict(duck.sql("SELECT page_id, coalesce(html, '') FROM pages").fetchall())
+    for r in queries.QUERIES["op7_warc"](spark, data).collect():
+        assert r["payload_digest"] == base64.b32encode(hashlib.sha1(pages[r["page_id"]].encode()).digest()).decode()
+
+
+def whole_ids(texts, special_as_text):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.default_path())
+    t.encode_special_tokens = special_as_text
+    return [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_token_counts(spark, data, duck):
+    got = {r["doc_id"]: r["n_tokens"] for r in queries.QUERIES["op8_token_counts"](spark, data).collect()}
+    docs = documents(duck)
+    assert got == {i: len(ids) for (i, _), ids in zip(docs, whole_ids([t for _, t in docs], True), strict=True)}
+
+
+def test_pack(spark, data, duck):
+    got = queries.QUERIES["op9_pack"](spark, data).toPandas()
+    docs = documents(duck)
+    for (i, _), ids in zip(docs, whole_ids([t for _, t in docs], False), strict=True):
+        ids = ids + [2]
+        pieces = got[got["doc_id"] == i].sort_values("start")
+        assert list(pieces["start"]) == [0, *pieces["length"].cumsum()[:-1]] and pieces["length"].sum() == len(ids)
+        for p in pieces.itertuples():
+            assert p.doc_tokens == len(ids) and p.ids_crc32 == zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes())
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert list(g["offset"]) == [0, *g["length"].cumsum()[:-1]] and g["length"].sum() <= 4096
+    assert got["length"].sum() / (4096 * got["sequence_id"].nunique()) > 0.95
+
+
+def test_quality(spark, data, duck):
+    """Held-out accuracy: labelled junk is rejected, clean documents stay."""
+    got = {r["doc_id"]: r for r in queries.QUERIES["op5_quality"](spark, "/root/testdata/sf0.01").collect()}
+    import duckdb
+
+    labels = duckdb.sql("SELECT doc_id, quality, toxic FROM '/root/testdata/sf0.01/labels.parquet'").fetchall()
+    junk = [not got[i]["keep"] for i, q, _ in labels if q == 0]
+    clean = [got[i]["keep"] for i, q, t in labels if q == 1 and t == 0]
+    assert np.mean(junk) > 0.85 and np.mean(clean) > 0.98
+
+
+def test_cutting_stock_covers_demand():
+    rng = np.random.default_rng(1)
+    for size in (16, 64, 256):
+        demand = rng.integers(0, 50, size)
+        patterns = packing.cutting_stock(demand)
+        assert (sum(m * p for m, p in patterns) == demand).all()
+        assert all((p * np.arange(1, size + 1)).sum() <= size for _, p in patterns)
+        assert sum(m for m, _ in patterns) <= 1.03 * (demand * np.arange(1, size + 1)).sum() / size + 3
+    assert packing.cutting_stock(np.zeros(8, np.int64)) == []
