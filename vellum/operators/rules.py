@@ -36,8 +36,9 @@ def parse(rows: DataFrame, column: str, schema: S.StructType) -> DataFrame:
     tagged = S.StructType([*schema.fields, S.StructField("_corrupt", S.StringType())])
     c = F.from_json(column, tagged, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     # a generator of one row, so that the rules read the parsed card and don't parse it again
-    rows = rows.select("*", F.explode(F.array(c)).alias("c"))
-    return rows.withColumn("c", F.when(F.col("c._corrupt").isNull() & F.col(column).isNotNull(), F.col("c")))
+    rows = rows.select("*", F.explode(F.array(c)).alias("_c"))
+    good = F.when(F.col("_c._corrupt").isNull() & F.col(column).isNotNull(), F.col("_c"))
+    return rows.select("*", F.explode(F.array(good)).alias("c")).drop("_c")
 
 
 def _if(bad: Column, rule: int, message, item=0) -> Column:
@@ -141,7 +142,7 @@ def card_violations(cards: DataFrame, chunks: DataFrame, status: DataFrame) -> D
     """
     parsed = parse(cards, "card", CARD)
     known = parsed.join(status.select("book_id", "chapter_id", F.col("parts_total").alias("_parts")), ["book_id", "chapter_id"], "left")
-    known = known.withColumn("bad", F.when(F.col("c").isNull(), _if(F.lit(True), 0, "it isn't JSON")).otherwise(card_form()))
+    known = known.select("*", F.explode(F.array(F.when(F.col("c").isNull(), _if(F.lit(True), 0, "it isn't JSON")).otherwise(card_form()))).alias("bad"))
     formal = known.select("book_id", "chapter_id", F.inline("bad"))
     good = known.where(F.size("bad") == 0)
     claims = F.transform("c.claims", lambda x, i: _if((x["tipo"] == "testo") & (F.size(F.coalesce(x["anchors"], F.array().cast("array<string>"))) == 0), 6, F.concat(F.lit("claims["), i.cast("string"), F.lit("]: a claim on the text needs a quotation")), i))
