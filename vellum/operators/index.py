@@ -69,7 +69,8 @@ def embeddings(chunks: DataFrame, encode: Callable[[list[str]], list[list[float]
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([[float(x) for x in v] for v in encode(texts.tolist())])
 
-    return chunks.select("book_id", F.col("id").alias("chunk_id"), unit(run(embed_input())).alias("vector"))
+    raw = chunks.select("book_id", F.col("id").alias("chunk_id"), run(embed_input()).alias("raw"))
+    return raw.select("book_id", "chunk_id", unit("raw").alias("vector"))
 
 
 class Index:

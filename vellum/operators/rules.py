@@ -16,17 +16,25 @@ CHAPTER_ID, CHUNK_ID = "^ch\\d{3,}$", "^chunk_ch\\d{3,}_\\d{4,}$"
 MIN_SUMMARY, MIN_WORDS = 300, 3
 KINDS = ("testo", "inferenza")
 
-CARD = S.StructType.fromDDL(
-    "chapter_id STRING, title STRING, coverage STRUCT<parts_read: INT, parts_total: INT>, funzione STRING, riassunto STRING, tesi STRING,"
-    "concetti ARRAY<STRUCT<name: STRING, definition: STRING, chunk_ids: ARRAY<STRING>>>,"
-    "claims ARRAY<STRUCT<claim: STRING, tipo: STRING, chunk_ids: ARRAY<STRING>, anchors: ARRAY<STRING>>>,"
-    "passaggi ARRAY<STRUCT<testo: STRING, chunk_id: STRING>>, domande ARRAY<STRING>, obiezioni ARRAY<STRING>, applicazioni ARRAY<STRING>,"
-    "cosa_memorizzare STRING, chunk_summaries ARRAY<STRUCT<chunk_id: STRING, summary: STRING>>"
+
+
+def _struct(**fields: S.DataType) -> S.StructType:
+    return S.StructType([S.StructField(k, v) for k, v in fields.items()])
+
+
+def _list(**fields: S.DataType) -> S.ArrayType:
+    return S.ArrayType(_struct(**fields))
+
+
+_S, _N, _L = S.StringType(), S.IntegerType(), S.ArrayType(S.StringType())
+CARD = _struct(
+    chapter_id=_S, title=_S, coverage=_struct(parts_read=_N, parts_total=_N), funzione=_S, riassunto=_S, tesi=_S,
+    concetti=_list(name=_S, definition=_S, chunk_ids=_L), claims=_list(claim=_S, tipo=_S, chunk_ids=_L, anchors=_L), passaggi=_list(testo=_S, chunk_id=_S),
+    domande=_L, obiezioni=_L, applicazioni=_L, cosa_memorizzare=_S, chunk_summaries=_list(chunk_id=_S, summary=_S),
 )
-SYNTHESIS = S.StructType.fromDDL(
-    "tesi_centrale STRING, formula STRING, mappa ARRAY<STRING>, argomentazione STRING,"
-    "concetti_globali ARRAY<STRUCT<name: STRING, definition: STRING, chapter_ids: ARRAY<STRING>>>,"
-    "domande_profonde ARRAY<STRING>, limiti ARRAY<STRING>, collegamenti_esterni ARRAY<STRING>"
+SYNTHESIS = _struct(
+    tesi_centrale=_S, formula=_S, mappa=_L, argomentazione=_S, concetti_globali=_list(name=_S, definition=_S, chapter_ids=_L),
+    domande_profonde=_L, limiti=_L, collegamenti_esterni=_L,
 )
 _BAD = "struct<rule:int,item:int,message:string>"
 
