@@ -99,8 +99,9 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH q AS (SELECT 0 AS query_id, unnest(range(3)) AS no, unnest(['eration', 'thonanre', 'heing']) AS term), {_LENS}, {_SCORES}, {_DENSE},
 x AS (SELECT doc_id, row_number() OVER (ORDER BY round(bm25, 10) DESC, doc_id) - 1 AS rank, 0 AS l FROM s QUALIFY rank < 24),
 y AS (SELECT u.vec_id AS doc_id, row_number() OVER (ORDER BY round(list_dot_product(q.e, u.e), 10) DESC, u.vec_id) - 1 AS rank, 1 AS l FROM u AS q, u WHERE q.vec_id = 0 QUALIFY rank < 24),
-z AS (SELECT doc_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, min(l * 1000 + rank) AS first FROM (SELECT * FROM x UNION ALL SELECT * FROM y) GROUP BY doc_id)
-SELECT row_number() OVER (ORDER BY round(rrf, 12) DESC, first, doc_id) - 1 AS rank, doc_id, round(rrf, 8) AS rrf FROM z JOIN documents USING (doc_id) QUALIFY rank < 8""")
+z AS (SELECT doc_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, min(l * 1000 + rank) AS first FROM (SELECT * FROM x UNION ALL SELECT * FROM y) GROUP BY doc_id),
+k AS (SELECT row_number() OVER (ORDER BY round(rrf, 12) DESC, first, doc_id) - 1 AS rank, doc_id, rrf FROM z QUALIFY rank < 8)
+SELECT rank, doc_id, round(rrf, 8) AS rrf FROM k JOIN documents USING (doc_id)""")
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     built = index.build(corpus(spark, d), columns=("text",))
     built.vectors = _vectors(spark, d)
