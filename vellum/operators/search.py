@@ -11,6 +11,8 @@ from .index import STEMMED, SURFACE, Index
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 RRF, TOP_K, FETCH, CONTEXT = 60, 8, 3, 14_000
+#: Words of questions are broadcast up to so many rows, counted first; beyond, they are shuffled.
+ASKED = 100_000
 #: Scores are ranked at this many decimals, so that the order of a sum doesn't decide.
 DECIMALS = 10
 
@@ -29,28 +31,42 @@ def phrases(questions: DataFrame, stemmed: bool = False, columns: tuple[str, ...
     return out.where(F.size("terms") > 0)
 
 
-def matches(index: Index, found: DataFrame) -> DataFrame:
-    """(query_id, phrase_no, book_id, chunk_id, f): how often each phrase occurs in a chunk's columns.
+def small(table: DataFrame, rows: int = ASKED) -> DataFrame:
+    """The table, to be broadcast if a count shows that it has at most ``rows`` rows; Spark can't size it where it came from memory."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
+def matches(index: Index, found: DataFrame, keys: tuple[str, ...] = ("query_id", "phrase_no")) -> DataFrame:
+    """(keys, book_id, chunk_id, f): how often each phrase (keys, terms, cols) occurs in a chunk's columns.
 
     A phrase's terms join the postings one by one; they make an occurrence when all start at the same place.
     """
-    terms = found.select("query_id", "phrase_no", "cols", F.size("terms").alias("k"), F.posexplode("terms").alias("i", "term"))
-    hits = index.postings.join(terms, "term").where(F.array_contains("cols", F.col("col")))
-    where = ["query_id", "phrase_no", "book_id", "chunk_id"]
+    terms = found.select(*keys, "cols", F.size("terms").alias("k"), F.posexplode("terms").alias("i", "term"))
+    hits = index.postings.join(small(terms), "term").where(F.array_contains("cols", F.col("col")))
+    where = [*keys, "book_id", "chunk_id"]
     one = hits.where("k = 1").groupBy(*where).agg(F.count(F.lit(1)).alias("f"))
+    if found.where(F.size("terms") > 1).isEmpty():
+        return one
     many = hits.where("k > 1").withColumn("at", F.col("pos") - F.col("i")).groupBy(*where, "col", "at").agg(F.count(F.lit(1)).alias("n"), F.first("k").alias("k"))
     return one.unionByName(many.where("n = k").groupBy(*where).agg(F.count(F.lit(1)).alias("f")))
 
 
 def bm25(index: Index, questions: DataFrame, columns: tuple[str, ...] = SURFACE) -> DataFrame:
-    """(query_id, book_id, chunk_id, bm25): higher is better; statistics are each book's own."""
-    f = matches(index, phrases(questions, index.stemmed, columns))
-    n = f.groupBy("query_id", "phrase_no", "book_id").agg(F.count(F.lit(1)).alias("n")).join(index.stats, "book_id")
+    """(query_id, book_id, chunk_id, bm25): higher is better; statistics are each book's own.
+
+    A phrase that many questions have, or one has often, is looked up and weighed once; questions take it as often as they have it.
+    """
+    asked = phrases(questions, index.stemmed, columns)
+    asked = asked.withColumn("phrase", F.concat_ws("|", F.array_join("terms", " "), F.array_join("cols", " ")))
+    f = matches(index, asked.dropDuplicates(["phrase"]).select("phrase", "terms", "cols"), ("phrase",))
+    n = f.groupBy("phrase", "book_id").agg(F.count(F.lit(1)).alias("n")).join(index.stats, "book_id")
     idf = F.ln((F.col("n_chunks") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    n = n.select("query_id", "phrase_no", "book_id", "avg_tokens", F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf).alias("idf"))
-    rows = f.join(n, ["query_id", "phrase_no", "book_id"]).join(index.lens, ["book_id", "chunk_id"])
+    n = n.select("phrase", "book_id", "avg_tokens", F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf).alias("idf"))
+    rows = f.join(n, ["phrase", "book_id"]).join(index.lens, ["book_id", "chunk_id"])
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_tokens") / F.col("avg_tokens")))
-    return rows.groupBy("query_id", "book_id", "chunk_id").agg(F.sum(part).alias("bm25"))
+    rows = rows.select("phrase", "book_id", "chunk_id", part.alias("part"))
+    uses = asked.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("times"))
+    return rows.join(small(uses), "phrase").groupBy("query_id", "book_id", "chunk_id").agg(F.sum(F.col("times") * F.col("part")).alias("bm25"))
 
 
 def ranked(scores: DataFrame, score: str, k: int, by: list[str] = ("query_id",), ties: list[str] = ("book_id", "chunk_id")) -> DataFrame:
