@@ -25,7 +25,7 @@ def write_table(df: DataFrame, path: str, force: bool = False) -> None:
             from pyspark.errors import AnalysisException
 
             try:
-                have = spark.read.parquet(path).select("book_id").distinct()
+                have = spark.read.schema(df.schema).parquet(path).select("book_id").distinct()
             except AnalysisException:
                 have = None
             if have is not None and (clash := df.select("book_id").distinct().join(have, "book_id", "left_semi").take(1)):
