@@ -192,6 +192,16 @@ def test_a_text_with_most_rows_is_split(spark):
     assert len(sizes) == 8 and sizes.max() - sizes.min() <= 0.02 * sizes.mean()
 
 
+def test_copies_share_a_shard(spark):
+    """20 copies with 1 % of the rows, pairs, and a text with 3 % of the rows (of a shard's 4.2 %) stay together."""
+    copies = F.when(F.col("id") < 20, "twenty").when(F.col("id") < 80, "sixty").when(F.col("id") < 280, F.concat(F.lit("pair"), F.floor(F.col("id") / 2)))
+    rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.coalesce(copies, F.concat(F.lit("t"), "id")).alias("text"))
+    got = sharding.shard_documents(rows, 24).toPandas()
+    assert (got.groupby("text")["shard"].nunique() == 1).all()
+    sizes = got.groupby("shard")["size"].sum()
+    assert len(sizes) == 24 and sizes.max() <= 1.02 * sizes.mean()
+
+
 def test_packing(odd, none):
     got = packing.pack_documents(odd).toPandas()
     assert got.groupby("sequence_id")["length"].sum().max() <= packing.SEQUENCE

@@ -1,8 +1,8 @@
 """Sharding by vector bin packing over bytes, tokens and rows jointly.
 
-Rows with equal texts are one group. A group larger than a lot is placed by itself (one larger than PIECE of a shard is
-split by a hash of the id first, so that a text with a third of all rows fits); the others are dealt into LOTS lots by
-a hash of the text and placed lot by lot. So what the driver packs is bounded whatever the corpus holds.
+Rows with equal texts are one group. A group larger than a lot is placed by itself, whole if it fits a shard (one larger
+than FITS of a shard's share is split by a hash of the id first, into as few parts as fit, so that a text with a third
+of all rows does); the others are dealt into LOTS lots by a hash of the text and placed lot by lot. So what the driver packs is bounded whatever the corpus holds.
 """
 
 from __future__ import annotations
@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Lots of small groups; at most as many groups again are placed by themselves, and about as many pieces of split ones.
+#: Lots of small groups; fewer than twice as many groups are placed by themselves, and few are split.
 LOTS = 6144
+#: Percent of a shard's share of bytes, tokens or rows that a group may hold and still isn't split.
+FITS = 90
 BLOCKS = 1024
 
 
@@ -39,8 +41,8 @@ def pack(vectors: np.ndarray, n_shards: int) -> np.ndarray:
 def shard_documents(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", lots: int = LOTS) -> DataFrame:
     """All rows and columns of ``docs`` with size, shard and slot (gapless from 0 in the shard).
 
-    Size: UTF-8 bytes of the text (null: none) plus 8. Equal texts share a shard unless together they pass a lot's
-    share, when hashes of their ids split them. Shards' sizes are near equal. Input columns named as an output are
+    Size: UTF-8 bytes of the text (null: none) plus 8. Equal texts share a shard unless together they pass FITS
+    percent of its share, when hashes of their ids split them. Shards' sizes are near equal. Input columns named as an output are
     replaced; an empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -50,13 +52,14 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
     rows = docs.withColumns({"size": F.octet_length(text).cast("long") + 8, "_vl_h": F.xxhash64(text)})
     sized = rows.select("_vl_h", "size", C.n_words(text).alias("_vl_words"))
     groups = C.materialize(sized.groupBy("_vl_h").agg(F.sum("size").alias("bytes"), F.sum("_vl_words").alias("tokens"), F.count(F.lit(1)).alias("rows")), "shard-groups")
-    total = groups.agg(F.sum("bytes"), F.sum("rows")).first()
+    total = groups.agg(F.sum("bytes"), F.sum("rows"), F.sum("tokens")).first()
     if not total[0]:
         return docs.limit(0).withColumns({"size": F.lit(0).cast("long"), "shard": F.lit(0), "slot": F.lit(0).cast("long")})
 
     # groups above a lot's share of bytes or rows: fewer than 2 * lots of them
     big = (F.col("bytes") * lots > F.lit(total[0])) | (F.col("rows") * lots > F.lit(total[1]))
-    parts = F.greatest(F.ceil(F.col("bytes") * lots / F.lit(4 * total[0])), F.ceil(F.col("rows") * lots / F.lit(4 * total[1])))
+    fits = lambda c, of: F.ceil(F.col(c) * (100 * n_shards) / F.lit(FITS * max(1, of)))
+    parts = F.greatest(F.lit(1), fits("bytes", total[0]), fits("rows", total[1]), fits("tokens", total[2]))
     alone = groups.where(big).select("_vl_h", parts.cast("long").alias("_vl_parts"))
     rows = rows.join(F.broadcast(alone), "_vl_h", "left")
     # an item is a lot (hash below lots, part -1), or a part of a group by itself
