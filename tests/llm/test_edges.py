@@ -154,6 +154,34 @@ def test_near_duplicates(spark, odd, none, meet, monkeypatch):
         assert ngram_join.drop_near_duplicates(odd).columns == odd.columns
 
 
+@pytest.mark.parametrize("meet", [256, 3])
+def test_every_link_is_counted_once(spark, odd, none, meet, monkeypatch):
+    """A chain, copies, and families that meet by many shared shingles: links and pairs against all pairs of sets."""
+    monkeypatch.setattr(ngram_join, "MEET", meet)
+    rng = random.Random(8)
+    texts = [" ".join(f"c{i}" for i in range(a, a + 60)) for a in (0, 0, 5, 10, 15)]  # only neighbours link
+    for base in ([f"f{k}x{i}" for i in range(n)] for k, n in enumerate((40, 90, 200))):
+        for _ in range(12):
+            w = list(base)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = f"e{rng.randint(0, 5)}"
+            texts.append(" ".join(w))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(re_words, texts)]
+    link = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and 100 * len(a & b) >= 80 * len(a | b)}
+    df = spark.createDataFrame([*enumerate(texts), (900, None), (901, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r["links"] for r in ngram_join.near_duplicates(df).collect()}
+    assert got == {i: sum(x == i for x, _ in link) for i in [*range(len(texts)), 900, 901]}
+    assert [got[i] for i in range(5)] == [2, 2, 3, 2, 1]
+    pairs, member = (x.collect() for x in ngram_join.linked_pairs(df))
+    rep = {r["doc_id"]: r["rep"] for r in member}
+    assert len(rep) == len(texts) + 2 and len({tuple(r) for r in pairs}) == len(pairs)
+    assert {tuple(r) for r in pairs} == {(rep[i], rep[j]) for i, j in link if rep[i] < rep[j]}
+    if meet == 256:
+        assert sorted(r["links"] for r in ngram_join.near_duplicates(odd).collect()) == [0, 0, 0, 0, 0, 1, 1, 2, 2, 2]
+        assert ngram_join.near_duplicates(none).columns == ["doc_id", "n_shingles", "component_id", "links"]
+        assert ngram_join.near_duplicates(none).count() == 0
+
+
 def test_quality(spark, odd, none):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 1, None), (6, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     got = quality.classify(odd, labels).collect()

@@ -9,7 +9,8 @@ n that must share T holds l of the shared ones, so a longer prefix may ask for m
 3. Those lengthen their prefix to the whole set, and go on only if enough of it occurs in other documents.
 4. The rest orders its shingles from rare to frequent and lengthens its prefix by its estimated candidates. Documents
    whose prefixes share a shingle meet in groups of bounded size (blocks of larger groups meet pair by pair); there,
-   pairs with enough prefix matches are verified on all shingles, unless they are joined already.
+   pairs with enough prefix matches are verified on all shingles. A pair may meet in several groups: its link is counted
+   where its smallest common group meets, which each meeting tells from the groups its documents are in.
 
 Steps 2 and 3 ask sharded tables of shingles by blocks, so frequent shingles form no pairs and no skew.
 """
@@ -165,17 +166,9 @@ def _split3(answer: pa.Table) -> tuple[pa.Table, pa.Table, pa.Table]:
     return (*_split(answer), answer.filter(pc.equal(answer.column("step"), 2)))
 
 
-def verify(n: np.ndarray, ell: np.ndarray, tokens: list[np.ndarray], prefix: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
-    """A forest of the links between documents of ``left`` and of ``right`` (which may be the same)."""
+def verify(n: np.ndarray, ell: np.ndarray, tokens: list[np.ndarray], prefix: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The documents with links between ``left`` and ``right`` (which may be the same), and the symmetric matrix of all their links."""
     two = (len(left) + len(right)) > 0 and not np.array_equal(left, right)
-    parent = list(range(len(n)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
     rows = np.union1d(left, right)
     heads = _overlaps([tokens[i][: prefix[i]] for i in rows])
     maybe = heads >= np.minimum.outer(ell[rows], ell[rows])
@@ -189,15 +182,27 @@ def verify(n: np.ndarray, ell: np.ndarray, tokens: list[np.ndarray], prefix: np.
         maybe &= side[:, None] != side[None, :]
     take = np.flatnonzero(maybe.any(axis=1))
     if not len(take):
-        return
+        return rows[take], np.zeros((0, 0), bool)
     whole = _overlaps([tokens[rows[i]] for i in take])
     size = np.add.outer(n[rows[take]], n[rows[take]])
-    link = maybe[np.ix_(take, take)] & (100 * whole >= percent * (size - whole))
+    return rows[take], maybe[np.ix_(take, take)] & (100 * whole >= percent * (size - whole))
+
+
+def _forest(link: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links of the matrix that connect what all of them connect."""
+    parent = list(range(len(link)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
     for i, j in zip(*np.nonzero(np.triu(link, 1)), strict=True):
-        a, b = find(int(take[i])), find(int(take[j]))
+        a, b = find(int(i)), find(int(j))
         if a != b:
             parent[a] = b
-            yield int(rows[take[i]]), int(rows[take[j]])
+            yield int(i), int(j)
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -220,8 +225,12 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def _links(cand: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between candidates that connect what all links connect."""
+def _links(cand: DataFrame, percent: int, give: str) -> DataFrame:
+    """(a, b, links) of candidates with their number of copies.
+
+    give "forest": links that connect what all links connect. "counts": these, and rows with a = b that hold how many
+    documents a links with by the links counted in one meeting. "pairs": every link once, the smaller document first.
+    """
     def explode(batches):
         for b in batches:
             for rep, k, cell in zip(b.column("rep").to_pylist(), b.column("n_prefix").to_pylist(), b.column("tokens"), strict=True):
@@ -239,27 +248,41 @@ def _links(cand: DataFrame, percent: int) -> DataFrame:
     met = met.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     tasks = met.withColumn("other", other).select("pivot", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep")
+    cand = cand.drop("n_shared")
+    if give != "forest":
+        cand = cand.join(met.groupBy("rep").agg(F.collect_list("pivot").alias("pivots")), "rep")
 
     def meet(key, table):
         i, j = key[1].as_py(), key[2].as_py()
         ids, part = table.column("rep").to_numpy(), table.column("part").to_numpy()
         tokens = B.cells(table, "tokens", "<u8")
         take = lambda c: table.column(c).to_numpy()
-        found = list(verify(take("n"), take("ell"), tokens, take("n_prefix"), np.flatnonzero(part == i), np.flatnonzero(part == j), percent))
-        return pa.table({"a": pa.array([int(ids[x]) for x, _ in found], pa.int64()), "b": pa.array([int(ids[y]) for _, y in found], pa.int64())})
-
-    return tasks.join(cand.drop("n_shared"), "rep").groupBy("pivot", "i", "j").applyInArrow(meet, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = SIMILAR) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row a row of ``docs``.
-
-    Two rows link when their shingle sets have a Jaccard similarity of ``percent`` or more; component_id is the smallest
-    id that links reach, the own included. Links between documents joined already aren't verified again. Null and
-    wordless texts have no shingles, are linked with nothing and are components of their own. Ids should be unique:
-    rows that share an id are one node. A row with a null id belongs to its copies' component and to no other. An
-    empty table gives an empty result; other columns are ignored.
-    """
+        at, link = verify(take("n"), take("ell"), tokens, take("n_prefix"), np.flatnonzero(part == i), np.flatnonzero(part == j), percent)
+        ids, a, b, links = ids[at], [], [], []
+        if give != "pairs":
+            for x, y in _forest(link):
+                a.append(ids[x])
+                b.append(ids[y])
+                links.append(0)
+        if give != "forest" and len(ids):
+            before = [np.asarray(x.values, np.int64) for x in table.column("before").take(pa.array(at))]
+            link &= _overlaps(before) == 0
+            if give == "pairs":
+                x, y = np.nonzero(np.triu(link, 1))
+                a, b, links = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), np.ones(len(x), np.int64)
+            else:
+                degree = link @ take("copies")[at]
+                a, b, links = [*a, *ids[degree > 0]], [*b, *ids[degree > 0]], [*links, *degree[degree > 0]]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "links": pa.array(links, pa.int64())})
+
+    rows = tasks.join(cand, "rep")
+    if give != "forest":
+        rows = rows.withColumn("before", F.filter("pivots", lambda x: x < F.col("pivot"))).drop("pivots")
+    return rows.groupBy("pivot", "i", "j").applyInArrow(meet, "a long, b long, links long")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """Step 1: (doc_id, n_shingles, sig) of all rows, and (sig, rep, copies) of the classes that have shingles."""
     spark = docs.sparkSession
     C.bounded_batches(spark)
 
@@ -271,25 +294,68 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), C.text_of(text_col)).mapInArrow(signs, "doc_id long, n_shingles long, sig binary")
     signed = C.materialize(signed, "shingle-signs")
     classes = signed.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = C.materialize(classes, "shingle-classes")
+    return signed, C.materialize(classes, "shingle-classes")
+
+
+def _met(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, size: int, percent: int, give: str) -> DataFrame:
+    """Steps 2 to 4: see ``_links``."""
     reps = classes.where("rep is not null").select("rep")
     cand = C.materialize(_candidates(docs, reps, id_col, text_col, size, percent), "shingle-candidates")
-    found = components(_links(cand, percent))
-    labels = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("sig", "copies", F.coalesce("component", "rep").alias("component_id"))
-    labels = C.materialize(labels, "shingle-labels")
-    empty = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    full = C.attach(signed.where("n_shingles > 0"), labels, ["sig"], "copies", F.col("doc_id")).select("doc_id", "n_shingles", "component_id")
-    return full.unionByName(empty)
+    if give == "counts":
+        cand = cand.join(classes.where("rep is not null").select("rep", "copies"), "rep")
+    return _links(cand, percent, give)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = SIMILAR, links: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, links), one row a row of ``docs``; without the last if not ``links``.
+
+    Two rows link when their shingle sets have a Jaccard similarity of ``percent`` or more; component_id is the smallest
+    id that links reach, the own included, and links is the number of other rows the row itself links with. Null and
+    wordless texts have no shingles, are linked with nothing and are components of their own. Ids should be unique:
+    rows that share an id are one node. A row with a null id belongs to its copies' component and to no other. An
+    empty table gives an empty result; other columns are ignored.
+    """
+    signed, classes = _classes(docs, id_col, text_col, size)
+    met = _met(docs, classes, id_col, text_col, size, percent, "counts" if links else "forest")
+    if links:
+        met = C.materialize(met, "shingle-links")
+    found = components(met.where("a <> b")).select(F.col("node").alias("rep"), "component")
+    labels = classes.join(found, "rep", "left").select("sig", "copies", F.coalesce("component", "rep").alias("component_id"), "rep")
+    if links:
+        counts = met.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("others"))
+        labels = labels.join(counts, "rep", "left").withColumn("links", F.col("copies") - 1 + F.coalesce("others", F.lit(0))).drop("others")
+    labels = C.materialize(labels.drop("rep"), "shingle-labels")
+    out = ["doc_id", "n_shingles", "component_id", *(["links"] if links else [])]
+    empty = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("links"))
+    full = C.attach(signed.where("n_shingles > 0"), labels, ["sig"], "copies", F.col("doc_id")).select(*out)
+    return full.unionByName(empty.select(*out))
+
+
+def linked_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """Every link: (a, b) of first documents of different classes of equal sets, each pair once with a < b; and (doc_id, rep).
+
+    The rows of a class link with one another and with all rows of the classes that theirs is paired with. A family of
+    n different texts that all link has n²/2 pairs; ``near_duplicates`` counts them without a row for each.
+    """
+    signed, classes = _classes(docs, id_col, text_col, size)
+    pairs = _met(docs, classes, id_col, text_col, size, percent, "pairs").select("a", "b")
+    member = C.attach(signed.where("n_shingles > 0"), classes, ["sig"], "copies", F.col("doc_id")).select("doc_id", "rep")
+    return pairs, member.unionByName(signed.where("n_shingles = 0").select("doc_id", F.col("doc_id").alias("rep")))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are the first (smallest id) of their component; rows with a null id stay."""
-    found = C.materialize(near_duplicates(docs, id_col, text_col), "near-duplicates")
+    found = C.materialize(near_duplicates(docs, id_col, text_col, links=False), "near-duplicates")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_vl_gone")).distinct()
     return docs.join(gone, F.col(f"`{id_col}`") == F.col("_vl_gone"), "left_anti")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
+
+
+def op2_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2_ngram_join with the number of links, which that query's SQL doesn't have."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
@@ -311,3 +377,16 @@ WITH RECURSIVE d AS (
 SELECT r.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r.c) AS component_id
 FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id"""
 }
+SQL["op2_ngram_links"] = f"""
+SELECT j.doc_id, j.n_shingles, j.component_id, coalesce(k.links, 0) AS links FROM ({SQL["op2_ngram_join"]}) AS j LEFT JOIN (
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+)
+SELECT x, count(*) AS links FROM p JOIN n AS a ON x = a.doc_id JOIN n AS b ON y = b.doc_id WHERE 100 * i >= 80 * (a.n + b.n - i) GROUP BY x
+) AS k ON k.x = j.doc_id"""

@@ -7,6 +7,7 @@ from . import exact_dedup, media, mixing, ngram_join, packing, quality, sharding
 QUERIES = {
     "op1_media": media.op1_media,
     "op2_ngram_join": ngram_join.op2_ngram_join,
+    "op2_ngram_links": ngram_join.op2_ngram_links,
     "op3_mix": mixing.op3_mix,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_quality": quality.op5_quality,
