@@ -264,6 +264,26 @@ def anchor_check(spark: SparkSession, d: str) -> DataFrame:
     return items.join(bad.select(F.col("chapter_id").cast("long").alias("item_id"), F.lit(False).alias("found")).distinct(), "item_id", "left").select("item_id", F.coalesce("found", F.lit(True)).alias("found"))
 
 
+@query(f"""WITH c AS (SELECT {_ANCHOR} AS n FROM documents), a AS (SELECT item_id, {_ANCHOR} AS n FROM benchmark)
+SELECT item_id, bool_or(contains(c.n, a.n)) AS found FROM a, c GROUP BY item_id""")
+def anchor_search(spark: SparkSession, d: str) -> DataFrame:
+    """Each item against all documents: it can only be in those that have its rarest word between the first and the last."""
+    docs = table(spark, d, "documents").select(F.lit("b").alias("book_id"), F.col("doc_id").cast("string").alias("id"), "text")
+    items = table(spark, d, "benchmark").select("item_id", "text")
+    words = F.filter(F.split(T.norm_anchor("text"), " "), lambda w: w != "")
+    inner = items.select("item_id", F.explode(F.array_distinct(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))).alias("word"))
+    postings = docs.select("id", F.explode(F.array_distinct(words)).alias("word")).join(inner.select("word").distinct(), "word", "left_semi")
+    n = inner.join(postings.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word", "left")
+    rare = n.groupBy("item_id").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
+    # an item's documents are cited in blocks, so that no row holds them all
+    block = F.pmod(F.xxhash64("id"), F.lit(1024)).cast("int").alias("item")
+    cited = rare.join(postings, "word").groupBy("item_id", block).agg(F.collect_list("id").alias("cited")).join(items, "item_id")
+    rows = cited.select(F.lit("b").alias("book_id"), F.col("item_id").cast("string").alias("chapter_id"), F.lit(6).alias("rule"), "item", F.lit("claims").alias("what"), "cited", F.array("text").alias("anchors"))
+    bad = rules.anchor_violations(rows, docs).select(F.col("chapter_id").cast("long").alias("item_id"), "item")
+    found = cited.join(bad, ["item_id", "item"], "left_anti").select("item_id", F.lit(True).alias("found")).distinct()
+    return items.join(found, "item_id", "left").select("item_id", F.coalesce("found", F.lit(False)).alias("found"))
+
+
 def as_cards(spark: SparkSession, d: str) -> DataFrame:
     """A document as a card: its lines are claims, every seventh wasn't read to the end, and its text is the summary."""
     name, one = F.format_string("ch%03d", "doc_id"), F.array(F.format_string("chunk_ch%03d_0001", "doc_id"))
