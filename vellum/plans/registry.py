@@ -360,10 +360,24 @@ def manifest_files(spark: SparkSession, d: str) -> DataFrame:
     return made.select(F.col("book_id").alias("source"), F.explode("files").alias("path", "hash"))
 
 
+def as_syntheses(spark: SparkSession, d: str) -> DataFrame:
+    """A synthesis of each source; its map is the first lines of its documents, so one without text has none."""
+    one = lambda c: F.array(F.lit(c))
+    first = T.first_line(F.coalesce("text", F.lit("")), "")
+    rows = table(spark, d, "documents").groupBy(F.col("source").alias("book_id")).agg(F.filter(F.array_sort(F.collect_set(first)), lambda x: x != "").alias("mappa"), F.array_sort(F.collect_list(F.format_string("ch%03d", "doc_id"))).alias("ids"))
+    concept = F.array(F.struct(F.lit("source").alias("name"), F.lit("where it is from").alias("definition"), F.col("ids").alias("chapter_ids")))
+    made = F.struct(F.lit("a thesis").alias("tesi_centrale"), F.lit("f").alias("formula"), "mappa", F.lit("a").alias("argomentazione"), concept.alias("concetti_globali"), one("q").alias("domande_profonde"), one("l").alias("limiti"), one("e").alias("collegamenti_esterni"))
+    return rows.select("book_id", F.to_json(made).alias("synthesis"))
+
+
 @query()
 def integrity_report(spark: SparkSession, d: str) -> DataFrame:
     found = segment.with_ids(as_chapters(spark, d)).withColumn("parts_total", F.lit(1))
     cut = chunk.chunks(found)
-    state = found.select("book_id", "chapter_id", F.lit("pending").alias("status"), "parts_total")
+    named = table(spark, d, "documents").select(F.col("source").alias("book_id"), F.format_string("ch%03d", "doc_id").alias("chapter_id"))
+    done = table(spark, d, "labels").select(F.format_string("ch%03d", "doc_id").alias("chapter_id"), F.lit("committed").alias("status")).distinct()
+    state = found.select("book_id", "chapter_id", "parts_total").join(done, "chapter_id", "left").withColumn("status", F.coalesce("status", F.lit("pending")))
+    cards = as_cards(spark, d).drop("book_id").join(named, "chapter_id").select("book_id", "chapter_id", "card")
     books = found.groupBy("book_id").agg(F.max("text").alias("text"))
-    return integrity.check(books, found, cut, state, found.select("book_id", "chapter_id", F.lit("").alias("card")).limit(0), books.select("book_id", F.lit("").alias("synthesis")).limit(0), books.select("book_id").limit(0))
+    syntheses = as_syntheses(spark, d)
+    return integrity.check(books, found, cut, state, cards, syntheses, books.select("book_id"))
