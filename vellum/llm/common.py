@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import re
 import tempfile
 import uuid
 
@@ -14,15 +16,27 @@ HOT_SHARE = 1024
 #: ``[^\x20\x09-\x0D]+``: the words that sizes are counted in.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
+#: Options that keep row groups small where a row may be megabytes.
+SMALL_GROUPS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "16"}
+
 _written: list[tuple[SparkSession, str]] = []
+_local_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder if Spark runs in this one process (tests), else an error: a folder of one
+    machine can't be shared.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='vellum-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if context.applicationId not in _local_dirs:
+            _local_dirs[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='vellum-')}"
+        found = _local_dirs[context.applicationId]
     return found.rstrip("/")
 
 
@@ -33,23 +47,52 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet into the shared folder and read it again."""
+def materialize(df: DataFrame, name: str, large_rows: bool = False, compression: str | None = None) -> DataFrame:
+    """Cut lineage: write ``df`` as Parquet into the shared folder and read it again. large_rows: rows of up to megabytes."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**(SMALL_GROUPS if large_rows else {}), **({"compression": compression} if compression else {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete the tables that ``materialize`` wrote; call it once no result that reads them is needed."""
+def release(keep: DataFrame | None = None) -> None:
+    """Delete the tables that ``materialize`` wrote, but for those that ``keep`` reads.
+
+    Call it once no other result that reads them is needed. A table that can't be deleted now is left to the end of
+    the application.
+    """
+    read = {f"/{part}/" for f in (keep.inputFiles() if keep is not None else []) for part in f.split("/")[-2:-1]}
+    left = []
     while _written:
         spark, path = _written.pop()
         try:
+            if any(r in f"{path}/" for r in read):
+                left.append((spark, path))
+                continue
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # the application has ended already
-            return
+            break
+    _written.extend(left)
+
+
+def trim() -> None:
+    """Give memory that a Python worker no longer uses back to the machine; workers idle between stages and would hold it."""
+    import pyarrow as pa
+
+    global _libc
+    pa.default_memory_pool().release_unused()
+    if _libc is None:
+        try:
+            _libc = ctypes.CDLL("libc.so.6")
+            _libc.malloc_trim  # noqa: B018
+        except (OSError, AttributeError):  # another C library
+            _libc = False
+    if _libc:
+        _libc.malloc_trim(0)
+
+
+_libc = None
 
 
 atexit.register(release)

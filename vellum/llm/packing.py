@@ -1,7 +1,7 @@
 """Packing documents into sequences by cutting-stock column generation.
 
 Documents are cut into pieces of a whole sequence and a remainder. Remainders are counted in length classes; a linear
-program over patterns (how many of each class a sequence holds) is solved by column generation, a knapsack dynamic
+program over patterns (how many of each class a sequence holds; short pieces go in bundles) is solved by column generation, a knapsack dynamic
 program pricing the next pattern. Rounded patterns are dealt to the remainders by their rank in their class. The
 program's size is the number of classes, whatever the corpus holds.
 """
@@ -21,11 +21,14 @@ from . import common as C
 from . import tokens
 
 SEQUENCE = 4096
-#: Lengths are rounded up to multiples of this for the patterns: at most so many ids less one are padded per piece.
+#: Lengths are rounded up to multiples of this for the patterns: at most so many ids less one are padded per item.
 CLASS = 16
+#: Pieces of up to SHORT ids are bundled, those of one length to at most BUNDLE ids; a bundle is an item as a longer piece is.
+SHORT, BUNDLE = 64, 256
 #: End of a document, and of its token ids.
 END = 2
-BLOCKS = 1024
+#: Blocks that a class's pieces are ranked in: as many as hold about BLOCK_ROWS of all pieces each, this many at least.
+BLOCKS, BLOCK_ROWS = 1024, 1 << 18
 PIECE_SCHEMA = "doc_id long, piece long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
 
@@ -109,70 +112,111 @@ def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     path = path or tokens.default_path()
     C.bounded_batches(docs.sparkSession)
-    last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(path)
         for b in batches:
-            rows: list[list] = [[], [], [], [], [], [], []]
-            for key, ids in zip(b.column(0).to_pylist(), enc.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
-                ids += last
-                n = len(ids) // 4
-                for k, at in enumerate(range(0, n, sequence)):
-                    piece = ids[4 * at : 4 * (at + sequence)]
-                    for column, v in zip(rows, (key, k, at, len(piece) // 4, zlib.crc32(piece), n, piece if keep_ids else None), strict=True):
-                        column.append(v)
+            ids, offsets = enc.encode(b.column(1), end)
+            n = np.diff(offsets)
+            pieces = -(-n // sequence)
+            doc = np.repeat(np.arange(len(n)), pieces)
+            k = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            length = np.minimum(sequence, n[doc] - k * sequence)
+            first = offsets[doc] + k * sequence
+            cells = [ids[a : a + m].tobytes() for a, m in zip(first.tolist(), length.tolist(), strict=True)]
+            rows = [b.column(0).take(pa.array(doc)), k, k * sequence, length, [zlib.crc32(x) for x in cells], n[doc], cells if keep_ids else [None] * len(cells)]
             kinds = [pa.int64()] * 6 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], [x.split()[0] for x in PIECE_SCHEMA.split(", ")])
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], [x.split()[0] for x in PIECE_SCHEMA.split(", ")])
+        C.trim()
 
     return docs.select(F.col(f"`{id_col}`").cast("long"), C.text_of(text_col)).mapInArrow(run, PIECE_SCHEMA)
 
 
+class Places:
+    """Where the pieces of each class go: by a piece's class and rank, its sequence, the slot there, and the place in the slot.
+
+    Classes 1 to SHORT are lengths; class SHORT + c holds longer pieces of up to c * width ids. Items are longer pieces and
+    bundles of short ones, counted by their length in widths.
+    """
+
+    def __init__(self, counts: dict[int, int], sequence: int, width: int):
+        top = sequence // width
+        demand = np.zeros(top, np.int64)
+        for k, n in counts.items():
+            if k > SHORT:
+                demand[k - SHORT - 1] += n
+        self.per, self.bundles = np.ones(SHORT + 1, np.int64), {}
+        for k in sorted(k for k in counts if k <= SHORT):
+            per = self.per[k] = max(1, min(BUNDLE, sequence) // k)
+            full, rest = divmod(counts[k], per)
+            whole, part = -(-per * k // width), -(-rest * k // width)
+            # bundles follow the items that are there already: (item class, first item) of full bundles and of the last one
+            self.bundles[k] = (full, whole, int(demand[whole - 1]), part, 0)
+            demand[whole - 1] += full
+            if rest:
+                self.bundles[k] = (*self.bundles[k][:4], int(demand[part - 1]))
+                demand[part - 1] += 1
+        one_each, demand[top - 1] = int(demand[top - 1]), 0
+        # runs of items of a class that go to one pattern: (first item, first sequence, items a sequence, slot)
+        runs: dict[int, list[tuple[int, int, int, int]]] = {top: [(0, 0, 1, 0)]} if one_each else {}
+        used, sequences = np.zeros(top, np.int64), one_each
+        for m, pattern in cutting_stock(demand):
+            slot = 0
+            for i in np.flatnonzero(pattern)[::-1]:
+                runs.setdefault(int(i) + 1, []).append((int(used[i]), sequences, int(pattern[i]), slot))
+                used[i] += m * pattern[i]
+                slot += int(pattern[i])
+            sequences += m
+        self.runs = {c: tuple(np.array(x, np.int64) for x in zip(*r, strict=True)) for c, r in runs.items()}
+
+    def of(self, k: int, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if k > SHORT:
+            return *self._item(k - SHORT, rank), np.zeros(len(rank), np.int64)
+        full, whole, first, part, last = self.bundles[k]
+        item, inside = np.divmod(rank, self.per[k])
+        seq, slot = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+        for c, at, mine in ((whole, first + item, item < full), (part, np.full(len(rank), last), item >= full)):
+            if mine.any():
+                seq[mine], slot[mine] = self._item(c, at[mine])
+        return seq, slot, inside
+
+    def _item(self, c: int, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first, begin, per, at = self.runs[c]
+        j = np.searchsorted(first, item, side="right") - 1
+        inside = item - first[j]
+        return begin[j] + inside // per[j], at[j] + inside % per[j]
+
+
 def pack(pieces: DataFrame, sequence: int = SEQUENCE, width: int = CLASS) -> DataFrame:
     """All rows and columns of ``pieces`` (a table that reads the same each time) with sequence_id and offset.
 
-    Whole pieces have sequences of their own. An empty table gives an empty result.
+    pieces: doc_id, start, length (1 to ``sequence``) and ids_crc32. Whole pieces have sequences of their own. Rows that
+    repeat are placed each. Input columns named as an output are replaced. An empty table gives an empty result.
     """
-    classes = sequence // width
-    cls = F.ceil(F.col("length") / width).cast("int")
-    pieces = pieces.withColumn("_vl_class", cls)
-    block = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(BLOCKS))
-    rows = pieces.withColumn("_vl_block", block)
+    pieces = C.without(pieces, "sequence_id", "offset")
+    short = F.col("length") <= SHORT
+    pieces = pieces.withColumn("_vl_class", F.when(short, F.col("length")).otherwise(SHORT + F.ceil(F.col("length") / width)).cast("int"))
+    blocks = max(BLOCKS, pieces.count() // BLOCK_ROWS)
+    rows = pieces.withColumn("_vl_block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(blocks)))
     counts = C.materialize(rows.groupBy("_vl_class", "_vl_block").agg(F.count(F.lit(1)).alias("_vl_n")), "pack-counts")
-    demand = np.zeros(classes, np.int64)
-    for r in counts.groupBy("_vl_class").agg(F.sum("_vl_n").alias("n")).collect():  # at most a row per class
-        demand[r[0] - 1] = r["n"]
-    whole, demand[classes - 1] = int(demand[classes - 1]), 0
-    # runs of ranks of a class that go to one pattern: (first rank, first sequence, pieces a sequence, slot)
-    runs: dict[int, list[tuple[int, int, int, int]]] = {classes: [(0, 0, 1, 0)]} if whole else {}
-    used, sequences = np.zeros(classes, np.int64), whole
-    for m, pattern in cutting_stock(demand):
-        slot = 0
-        for i in np.flatnonzero(pattern)[::-1]:
-            runs.setdefault(int(i) + 1, []).append((int(used[i]), sequences, int(pattern[i]), slot))
-            used[i] += m * pattern[i]
-            slot += int(pattern[i])
-        sequences += m
-    table = {c: tuple(np.array(x, np.int64) for x in zip(*r, strict=True)) for c, r in runs.items()}
+    by_class = counts.groupBy("_vl_class").agg(F.sum("_vl_n").alias("n")).collect()  # at most a row per class
+    places = Places({r[0]: r["n"] for r in by_class}, sequence, width)
     ranked = C.positions(rows, ["_vl_class"], ["_vl_block"], [F.col("doc_id").asc_nulls_first(), F.col("start"), F.col("ids_crc32")], "_vl_rank", counts)
     names = [c for c in ranked.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             c, rank = (np.asarray(b.column(names.index(x))) for x in ("_vl_class", "_vl_rank"))
-            seq, slot = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)
+            out = np.zeros((3, len(c)), np.int64)
             for k in np.unique(c):
-                first, begin, per, at = table[int(k)]
                 mine = np.flatnonzero(c == k)
-                j = np.searchsorted(first, rank[mine], side="right") - 1
-                inside = rank[mine] - first[j]
-                seq[mine], slot[mine] = begin[j] + inside // per[j], at[j] + inside % per[j]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(seq), pa.array(slot)], [*names, "sequence_id", "_vl_slot"])
+                out[:, mine] = places.of(int(k), rank[mine])
+            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, out)], [*names, "sequence_id", "_vl_slot", "_vl_inside"])
 
-    out = ranked.mapInArrow(run, StructType([*ranked.schema.fields, StructField("sequence_id", LongType()), StructField("_vl_slot", LongType())]))
-    before = Window.partitionBy("sequence_id").orderBy("_vl_slot").rowsBetween(Window.unboundedPreceding, -1)
+    out = ranked.mapInArrow(run, StructType([*ranked.schema.fields, *[StructField(n, LongType()) for n in ("sequence_id", "_vl_slot", "_vl_inside")]]))
+    before = Window.partitionBy("sequence_id").orderBy("_vl_slot", "_vl_inside").rowsBetween(Window.unboundedPreceding, -1)
     out = out.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
-    return out.drop("_vl_class", "_vl_block", "_vl_rank", "_vl_slot")
+    return out.drop("_vl_class", "_vl_block", "_vl_rank", "_vl_slot", "_vl_inside")
 
 
 def pack_documents(docs: DataFrame, keep_ids: bool = True, **options) -> DataFrame:

@@ -28,7 +28,8 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Writes all texts (null: empty) as flat token files of unsigned 16-bit ids in blocks, and a manifest of what went where.
 
     Returns (file, block, ids) and (file, ordinal, id). One file a task; the manifest is kept apart from the files,
-    which hold ids only. Other columns are ignored; repeated rows are written each.
+    which hold ids only. Other columns are ignored; repeated rows are written each, rows with a null id too. A
+    vocabulary with an id over 65535 ends in an error, as such ids would wrap.
     """
     spark, path = docs.sparkSession, path or tokens.default_path()
     C.bounded_batches(spark)
@@ -41,7 +42,7 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
         enc = tokens.encoder(path, special_as_text=True)
         name, held, block, ordinal = f"tokens-{TaskContext.get().partitionId():06d}", b"", 0, 0
-        end, width = np.array([separator], "<u2").tobytes(), 2 * block_ids
+        width = 2 * block_ids
 
         def batch_of(block, ids, ordinals, keys):
             n = max(len(ids), len(ordinals))
@@ -49,18 +50,19 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             return pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(pad(block), pa.int64()), pa.array(pad(ids), pa.binary()), pa.array(pad(ordinals), pa.int64()), pa.concat_arrays([keys, pa.nulls(n - len(keys), keys.type)])], ["file", "block", "ids", "ordinal", "id"])
 
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            parts = [held]
-            for ids in enc.encode(texts):
-                parts += [np.frombuffer(ids, "<u4").astype("<u2").tobytes(), end]
+            ids = enc.encode(b.column(1), separator)[0]
+            if len(ids) and int(ids.max()) > 0xFFFF:
+                raise ValueError("the vocabulary has ids that don't fit into 16 bits")
+            parts = [held, ids.astype("<u2").tobytes()]
             flat = b"".join(parts)
             full = len(flat) // width
             out = [flat[i * width : (i + 1) * width] for i in range(full)]
             held = flat[full * width :]
-            yield batch_of(range(block, block + full), out, range(ordinal, ordinal + len(texts)), b.column(0))
-            block, ordinal = block + full, ordinal + len(texts)
+            yield batch_of(range(block, block + full), out, range(ordinal, ordinal + b.num_rows), b.column(0))
+            block, ordinal = block + full, ordinal + b.num_rows
         if held:
             yield batch_of([block], [held], [], pa.array([], pa.null()).cast(b.column(0).type))
+        C.trim()
 
     from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
@@ -81,7 +83,8 @@ def count_tokens(files: DataFrame, separator: int = SEPARATOR, dtype: str = "<u2
     """(file, ordinal, start, n_tokens) of each document of (file, block, ids) rows; separators aren't counted.
 
     Ids after a file's last separator are its last document, unended. A document without ids counts 0. Empty files
-    have no documents. Blocks must be numbered from 0 in each file without gaps.
+    have no documents. Blocks must be numbered from 0 in each file without gaps; null ids count as none, and rows with a
+    null file or block must not occur. Other columns are ignored.
     """
     C.bounded_batches(files.sparkSession)
 
