@@ -7,16 +7,20 @@ hash. DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
 
-#: 2 MB of bitmap at most; more bits keep the filter sharp on more documents.
-BITMAP_BITS = 1 << 24
+#: Bits of a bitmap: 16 a repeated key, up to 128 MB.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 128, bitmap_bits: int = BITMAP_BITS, digest: bool = False) -> DataFrame:
+def _bits(keys: int, most: int) -> int:
+    return min(most, max(LEAST_BITS, 1 << (16 * keys).bit_length()))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 128, most_bits: int = MOST_BITS, digest: bool = False) -> DataFrame:
     """All rows and columns of ``docs`` with keep_id, group_size and kept; of equal texts the row with the largest id stays.
 
     Null text equals empty text. Null ids are smallest. Among rows that share text and largest id (repeated rows), one
@@ -28,13 +32,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = C.text_of(text_col)
     length, prefix = F.octet_length(text), F.xxhash64(F.octet_length(text), F.left(text, F.lit(prefix_chars)))
 
-    lens = docs.select(F.xxhash64(length).alias("_vl_k")).groupBy("_vl_k").count().where("count > 1")
-    by_len = C.bitmap(lens, "_vl_k", bitmap_bits)
-    rows = C.in_bitmap(docs.select(F.xxhash64(length).alias("_vl_l"), prefix.alias("_vl_k")), "_vl_l", by_len, bitmap_bits, "_vl_in").where("_vl_in")
-    prefixes = rows.groupBy("_vl_k").count().where("count > 1")
-    by_prefix = C.materialize(C.bitmap(prefixes, "_vl_k", bitmap_bits), "exact-prefixes")
+    def repeated(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
+        keys = C.materialize(rows.groupBy("_vl_k").count().where("count > 1").select("_vl_k"), name)
+        bits = _bits(keys.count(), most_bits)
+        return C.bitmap(keys, "_vl_k", bits), bits
 
-    flagged = C.in_bitmap(docs.withColumn("_vl_k", prefix), "_vl_k", by_prefix, bitmap_bits, "_vl_in").drop("_vl_k")
+    by_len, n_len = repeated(docs.select(F.xxhash64(length).alias("_vl_k")), "exact-lengths")
+    rows = C.in_bitmap(docs.select(F.xxhash64(length).alias("_vl_l"), prefix.alias("_vl_k")), "_vl_l", by_len, n_len, "_vl_in").where("_vl_in")
+    by_prefix, n_prefix = repeated(rows, "exact-prefixes")
+
+    flagged = C.in_bitmap(docs.withColumn("_vl_k", prefix), "_vl_k", by_prefix, n_prefix, "_vl_in").drop("_vl_k")
     cand = flagged.where("_vl_in").drop("_vl_in").withColumn("_vl_sha", F.sha2(text.cast("binary"), 256))
     key = F.col(f"`{id_col}`")
     per_id = cand.groupBy("_vl_sha", key.alias("_vl_id")).agg(F.count(F.lit(1)).alias("_vl_c"))
@@ -46,11 +53,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     grouped = F.col("_vl_n").isNotNull()
     keep = F.when(grouped, F.col("_vl_keep")).otherwise(key)
     top_row = ~grouped | key.eqNullSafe(F.col("_vl_keep"))
-    tied = grouped & top_row & (F.col("_vl_ties") > 1)
-    plain = joined.where(~tied).withColumn("kept", top_row)
-    one = Window.partitionBy("_vl_sha").orderBy(*[F.col(f"`{c}`") for c, t in docs.dtypes if not t.startswith("map")])
-    ties = joined.where(tied).withColumn("kept", F.row_number().over(one) == 1)
-    multi = plain.unionByName(ties).withColumns({"keep_id": keep, "group_size": F.coalesce(F.col("_vl_n"), F.lit(1)).cast("long")})
+    multi = joined.withColumn("kept", top_row)
+    if not groups.where("_vl_ties > 1").isEmpty():
+        tied = grouped & top_row & (F.col("_vl_ties") > 1)
+        multi = multi.where(~tied).unionByName(_one_of_ties(joined.where(tied), docs))
+    multi = multi.withColumns({"keep_id": keep, "group_size": F.coalesce(F.col("_vl_n"), F.lit(1)).cast("long")})
     single = flagged.where("not _vl_in").withColumns({"keep_id": key, "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
     if digest:
         multi, single = multi.withColumn("text_sha256", F.col("_vl_sha")), single.withColumn("text_sha256", F.sha2(text.cast("binary"), 256))
@@ -58,6 +65,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return single.select(*cols).unionByName(multi.select(*cols))
 
 
+def _one_of_ties(tied: DataFrame, docs: DataFrame) -> DataFrame:
+    """Marks one of the rows that share a text and its largest id: the first by a hash of all columns without maps, then by place.
+
+    The rows are stored, so that each has a place that stays; the first of a group is an aggregate, not a sort of it.
+    """
+    plain = [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t]
+    place = F.struct(F.xxhash64(*plain).alias("hash"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    rows = C.materialize(tied, "exact-ties").withColumn("_vl_place", place)
+    first = C.materialize(rows.groupBy("_vl_sha").agg(F.min("_vl_place").alias("_vl_first"), F.count(F.lit(1)).alias("_vl_rows")), "exact-first")
+    found = C.attach(rows, first, ["_vl_sha"], "_vl_rows", F.col("_vl_place.row").cast("string"))
+    return found.withColumn("kept", F.col("_vl_place") == F.col("_vl_first")).drop("_vl_place", "_vl_first", "_vl_rows")
+
+
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, with their own columns."""
     return exact_dedup(docs, id_col, text_col).where("kept").drop("keep_id", "group_size", "kept")
