@@ -2,7 +2,8 @@
 
 Rows with equal texts are one group. A group larger than a lot is placed by itself, whole if it fits a shard (one larger
 than FITS of a shard's share is split by a hash of the id first, into as few parts as fit, so that a text with a third
-of all rows does); the others are dealt into LOTS lots by a hash of the text and placed lot by lot. So what the driver packs is bounded whatever the corpus holds.
+of all rows does); the others are dealt into LOTS lots by a hash of the text and placed lot by lot. So what the driver
+packs is bounded whatever the corpus holds.
 """
 
 from __future__ import annotations
@@ -17,21 +18,24 @@ from . import common as C
 LOTS = 6144
 #: Percent of a shard's share of bytes, tokens or rows that a group may hold and still isn't split.
 FITS = 90
-BLOCKS = 1024
+#: Blocks that a shard's rows are numbered in: as many as hold about BLOCK_ROWS of all rows each, this many at least.
+BLOCKS, BLOCK_ROWS = 1024, 1 << 22
 
 
 def pack(vectors: np.ndarray, n_shards: int) -> np.ndarray:
     """The shard of each vector: largest first, where its dot product with the residual capacity is highest.
 
-    Capacity is an equal share in each dimension. A shard whose residual bytes (the first dimension) don't hold the
-    vector is passed over while another holds it; if none does, the one with the most residual bytes takes it.
+    Capacity is an equal share in each dimension. Shards whose residual capacity holds the vector in all dimensions go
+    first, then those that hold its bytes (the first dimension); if none does, the one with the most residual bytes
+    takes it.
     """
     total = vectors.sum(axis=0, dtype=float)
     share = np.divide(vectors, total, out=np.zeros(vectors.shape), where=total > 0) * n_shards
     left, out = np.ones((n_shards, vectors.shape[1])), np.zeros(len(vectors), dtype=np.int64)
     for i in np.argsort(-share.max(axis=1), kind="stable"):
         v = share[i]
-        fits = left[:, 0] >= v[0]
+        fits = (left >= v).all(axis=1)
+        fits = fits if fits.any() else left[:, 0] >= v[0]
         best = int(np.where(fits, left @ v, -np.inf).argmax()) if fits.any() else int(left[:, 0].argmax())
         left[best] -= v
         out[i] = best
@@ -42,8 +46,9 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
     """All rows and columns of ``docs`` with size, shard and slot (gapless from 0 in the shard).
 
     Size: UTF-8 bytes of the text (null: none) plus 8. Equal texts share a shard unless together they pass FITS
-    percent of its share, when hashes of their ids split them. Shards' sizes are near equal. Input columns named as an output are
-    replaced; an empty table gives an empty result.
+    percent of its share, when hashes of their ids split them. Shards' sizes are near equal. Slots follow the id in
+    blocks of its hash; rows that share an id take neighbouring slots in any order. Input columns named as an output
+    are replaced; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     docs = C.without(docs, "size", "shard", "slot")
@@ -72,7 +77,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
     placed = items[["_vl_item", "_vl_part"]].assign(shard=pack(items[["bytes", "tokens", "rows"]].to_numpy(), n_shards).astype("int32"))
     placed = spark.createDataFrame(placed, "_vl_item long, _vl_part long, shard int")
 
-    rows = rows.join(F.broadcast(placed), ["_vl_item", "_vl_part"]).withColumn("_vl_block", F.pmod(F.xxhash64(name, F.lit(1)), F.lit(BLOCKS)))
+    rows = rows.join(F.broadcast(placed), ["_vl_item", "_vl_part"]).withColumn("_vl_block", F.pmod(F.xxhash64(name, F.lit(1)), F.lit(max(BLOCKS, total[1] // BLOCK_ROWS))))
     rows = C.positions(rows, ["shard"], ["_vl_block"], [F.col(f"`{id_col}`").asc_nulls_first()], "slot")
     return rows.select(*[f"`{c}`" for c in docs.columns], "size", "shard", "slot")
 
