@@ -114,17 +114,27 @@ def _riff(d: bytes, at: int) -> tuple[int, str] | None:
     return (8 + size, kind) if pos in (end, end + 1) and any(x <= seen for x in need) else None
 
 
+def _crc_step(top: int) -> int:
+    crc = top << 24
+    for _ in range(8):
+        crc = (crc << 1 ^ 0x04C11DB7 if crc & 0x80000000 else crc << 1) & 0xFFFFFFFF
+    return crc
+
+
+_OGG = [_crc_step(i) for i in range(256)]
+
+
 def _ogg_crc(page: bytes) -> int:
     crc = 0
     for b in page:
-        crc ^= b << 24
-        for _ in range(8):
-            crc = (crc << 1 ^ 0x04C11DB7 if crc & 0x80000000 else crc << 1) & 0xFFFFFFFF
+        crc = (crc << 8 & 0xFFFFFFFF) ^ _OGG[crc >> 24 ^ b]
     return crc
 
 
 def _ogg(d: bytes, at: int) -> tuple[int, str] | None:
     pos = at
+    if at + 27 > len(d) or not d[at + 5] & 2:  # a stream begins with a page that says so
+        return None
     while d[pos : pos + 5] == b"OggS\0" and pos + 27 <= len(d):
         n = d[pos + 26]
         end = pos + 27 + n + sum(d[pos + 27 : pos + 27 + n])
@@ -223,6 +233,19 @@ def sniff_column(df: DataFrame, content: str, declared: str | None = None) -> Da
     return df.mapInArrow(run, StructType([*df.schema.fields, *[StructField(*x) for x in added]]))
 
 
+def carve(df: DataFrame, content: str) -> DataFrame:
+    """A row for each embedded medium of each cell: the columns of ``df`` but ``content``, and media_offset, media_length, media_type and media (its bytes).
+
+    Null and empty cells, and those that embed nothing, have no rows. Input columns named as an output are replaced.
+    """
+    outputs = ("media_offset", "media_length", "media_type", "media")
+    rest = [c for c in C.without(df, *outputs, content).columns]
+    found = sniff_column(df.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(f"`{content}`").alias("_vl_content")) if rest else df.select(F.col(f"`{content}`").alias("_vl_content")), "_vl_content")
+    rows = found.select(*[F.col("row")[c].alias(c) for c in rest], "_vl_content", F.explode("embedded").alias("m"))
+    cut = F.substring("_vl_content", (F.col("m.offset") + 1).cast("int"), F.col("m.length").cast("int"))
+    return rows.select(*[f"`{c}`" for c in rest], F.col("m.offset").alias("media_offset"), F.col("m.length").alias("media_length"), F.col("m.type").alias("media_type"), cut.alias("media"))
+
+
 def wav(payload: Column, n: Column) -> Column:
     """A WAV file of 8-bit mono samples at 8 kHz, of n (even) bytes of payload."""
     byte = lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(255))), 2, "0")

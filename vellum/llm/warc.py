@@ -23,6 +23,7 @@ from . import common as C
 ARCHIVE_BYTES = 8 << 20
 #: Compressed bytes that the reader inflates at a time.
 READ_BYTES = 1 << 16
+GZIP = b"\x1f\x8b\x08"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -59,8 +60,11 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 
 def members(data: bytes | memoryview) -> Iterator[tuple[int, bytes | None]]:
-    """(start, content) of each gzip member, inflated READ_BYTES at a time; None for content that can't be inflated, the last."""
-    data, at = memoryview(data), 0
+    """(start, content) of each gzip member, inflated READ_BYTES at a time.
+
+    Content is None for a gap: bytes that can't be inflated, up to the next member that can. A gap is reported once.
+    """
+    data, at, gap = memoryview(data), 0, None
     while at < len(data):
         inflate, out, start = zlib.decompressobj(31), [], at
         try:
@@ -70,10 +74,27 @@ def members(data: bytes | memoryview) -> Iterator[tuple[int, bytes | None]]:
                 out.append(inflate.decompress(data[at : at + READ_BYTES]))
                 at += READ_BYTES
         except zlib.error:
-            yield start, None
-            return
+            gap = start if gap is None else gap
+            at = _next_magic(data, start + 1)
+            continue
+        if gap is not None:
+            yield gap, None
+            gap = None
         at = min(at, len(data)) - len(inflate.unused_data)
         yield start, b"".join(out)
+    if gap is not None:
+        yield gap, None
+
+
+def _next_magic(data: memoryview, at: int) -> int:
+    """Where the next gzip header may begin."""
+    while at < len(data):
+        part = bytes(data[at : at + READ_BYTES])
+        found = part.find(GZIP)
+        if found >= 0:
+            return at + found
+        at += max(1, len(part) - len(GZIP) + 1)
+    return len(data)
 
 
 def parse(content: bytes | None) -> dict:
@@ -154,7 +175,12 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", text_col: str = "h
 
 
 def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
-    """The records of (archive, bytes) rows, in sequence; ``error`` is null for records that verify. payloads: carry them."""
+    """The records of (archive, bytes) rows, in sequence; ``error`` is null for records that verify. payloads: carry them.
+
+    Bytes that aren't a gzip member give one row with the error "gzip", and reading goes on at the next member. Null or
+    empty bytes have no records, an archive's name may be null, repeated archives are read each, and other columns are
+    ignored. An empty table gives an empty result.
+    """
     C.bounded_batches(archives.sparkSession)
     names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
     types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string()]
