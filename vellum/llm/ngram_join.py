@@ -38,8 +38,8 @@ SIMILAR = 80
 FIRST = 10
 #: Bytes of text whose words are hashed at a time.
 HASHED = 1 << 19
-#: Documents of a group that meet in one task.
-MEET = 256
+#: Documents of a group, and shingles that they have, that meet in one task (of two parts of that size).
+MEET, MEET_SHINGLES = 256, 1 << 20
 
 
 def shingle_sets(texts, size: int = SHINGLE) -> list[np.ndarray]:
@@ -52,13 +52,20 @@ def shingle_sets(texts, size: int = SHINGLE) -> list[np.ndarray]:
     while at < len(offsets) - 1:
         to = min(len(offsets) - 1, max(at + 1, int(np.searchsorted(offsets, offsets[at] + HASHED, side="right")) - 1))
         words = B.WordTable(texts.slice(at, to - at), lower=True)
-        h, first = words.windows(size), words.first.tolist()
+        h, first, short = words.windows(size), words.first.tolist(), {}
         for a, b in zip(first[:-1], first[1:], strict=True):
-            out.append(np.unique(h[a : b - size + 1]) if b - a >= size else words.windows(b - a)[a : a + 1] if b > a else h[:0])
+            if b - a < size and b > a and b - a not in short:
+                short[b - a] = words.windows(b - a)
+            out.append(_set(h[a : b - size + 1]) if b - a >= size else short[b - a][a : a + 1] if b > a else h[:0])
         at = to
     return out
 
 
+def _set(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+
+
 def _must_share(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
@@ -68,38 +75,37 @@ def _first_prefix(n: int, percent: int) -> tuple[int, int]:
     return n - _must_share(n, percent) + 1 + n * FIRST // 100, 1 + _must_share(n, percent) * FIRST // 100
 
 
-def _counted(requests: DataFrame) -> DataFrame:
+def _counted(blocks: B.Blocks, requests: DataFrame) -> DataFrame:
     """Answers each request with those of its keys that two documents or more have, and with their number."""
 
-    def each(table):
-        keys, counts = B.cells(table, "keys", "<u8"), B.cells(table, "extra", "<u4")
+    def answer(keys, counts):
         every, n = np.concatenate(keys), np.concatenate(counts)
         order = np.argsort(every, kind="stable")
         every, n = every[order], n[order]
         new = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
         every, n = every[new], np.add.reduceat(n.astype(np.int64), new)
         every, n = every[n > 1], np.minimum(n[n > 1], 0xFFFFFFFF).astype("<u4")
-        rows = [(b, k[m], n[np.searchsorted(every, k[m])]) for b, k in zip(table.column("block").to_pylist(), keys, strict=True) if (m := B.member(k, every)).any()]
-        return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "keys": pa.array([r[1].tobytes() for r in rows], pa.binary()), "extra": pa.array([r[2].tobytes() for r in rows], pa.binary())})
+        which = [B.member(k, every) for k in keys]
+        return [(w, n[np.searchsorted(every, k[w])]) for k, w in zip(keys, which, strict=True)]
 
-    return requests.groupBy("shard").applyInArrow(each, B.ANSWER)
+    return B.answered(blocks, requests, "<u4", answer)
 
 
-def _sent(sets: list[np.ndarray], shards: int) -> Iterator:
+def _sent(sets: list[np.ndarray], ranges: int) -> Iterator:
     """The distinct shingles of a block with the number of its documents that have each."""
     if sets:
         keys, counts = np.unique(np.concatenate(sets), return_counts=True)
-        yield from B.by_shard(keys, shards, counts.astype("<u4"))
+        yield from B.by_shard(keys, ranges, counts.astype("<u4"))
 
 
 CAND = "rep long, n long, n_shared long, ell long, n_prefix long, tokens binary"
 
 
-def _candidates(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """Steps 2 to 4 up to the groups: CAND rows; tokens are those that others have too, rare ones first."""
-    named = docs.select(F.col(f"`{id_col}`").cast("long").alias("_vl_id"), F.col(f"`{text_col}`").alias("_vl_t"))
-    table, shards, block_of = B.into_blocks(named, "_vl_id", "_vl_t")
-    firsts = reps.groupBy(block_of(F.col("rep")).alias("block")).agg(F.collect_list("rep").alias("ids"))
+def _candidates(table: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
+    """Steps 2 to 4 up to the groups: CAND rows; tokens are those that others have too, rare ones first. reps: (block, rep)."""
+    blocks = B.sized(table)
+    ranges = blocks.ranges()
+    firsts = reps.groupBy("block").agg(F.collect_list("rep").alias("ids"))
 
     def sets_of(rows: pa.Table, ids: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
         want = ids.column("ids").combine_chunks().flatten() if len(ids) else pa.array([], pa.int64())
@@ -107,7 +113,7 @@ def _candidates(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, si
         return rows.column("_vl_id").to_numpy(), shingle_sets(rows.column("_vl_text"), size)
 
     def passed_first(sets: list[np.ndarray], answer: pa.Table) -> np.ndarray:
-        known = np.sort(B.gather(answer, "keys", "<u8"))
+        known = np.sort(B.all_keys(answer))
         out = np.zeros(len(sets), bool)
         for i, x in enumerate(sets):
             length, need = _first_prefix(len(x), percent)
@@ -116,17 +122,17 @@ def _candidates(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, si
 
     def first(rows, ids):
         sets = sets_of(rows, ids)[1]
-        return _sent([x[: _first_prefix(len(x), percent)[0]] for x in sets], shards)
+        return _sent([x[: _first_prefix(len(x), percent)[0]] for x in sets], ranges)
 
     def second(rows, answer):
         ids, answer = _split(answer)
         sets = sets_of(rows, ids)[1]
-        return _sent([x for x, ok in zip(sets, passed_first(sets, answer), strict=True) if ok], shards)
+        return _sent([x for x, ok in zip(sets, passed_first(sets, answer), strict=True) if ok], ranges)
 
     def last(rows, answer):
         ids, one, two = _split3(answer)
         names, sets = sets_of(rows, ids)
-        known, df = B.gather(two, "keys", "<u8"), B.gather(two, "extra", "<u4")
+        known, df = B.all_keys(two), B.gather(two, "extra", "<u4")
         order = np.argsort(known)
         known, df = known[order], df[order].astype(np.int64)
         out = []
@@ -152,9 +158,9 @@ def _candidates(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, si
     def answers(found: DataFrame, step: int) -> DataFrame:
         return found.select("block", F.lit(step).alias("step"), F.lit(None).cast("array<bigint>").alias("ids"), "keys", "extra")
 
-    one = answers(_counted(B.ask_again(table, ids, first)), 1)
-    two = answers(_counted(B.ask_again(table, ids.unionByName(one), second)), 2)
-    return B.finish(table, ids.unionByName(one).unionByName(two), last, CAND)
+    one = answers(_counted(blocks, B.ask_again(blocks, ids, first)), 1)
+    two = answers(_counted(blocks, B.ask_again(blocks, ids.unionByName(one), second)), 2)
+    return B.with_answers(blocks, ids.unionByName(one).unionByName(two), last, CAND)
 
 
 def _split(answer: pa.Table) -> tuple[pa.Table, pa.Table]:
@@ -233,18 +239,19 @@ def _links(cand: DataFrame, percent: int, give: str) -> DataFrame:
     """
     def explode(batches):
         for b in batches:
-            for rep, k, cell in zip(b.column("rep").to_pylist(), b.column("n_prefix").to_pylist(), b.column("tokens"), strict=True):
+            for rep, shared, k, cell in zip(*(b.column(c).to_pylist() for c in ("rep", "n_shared", "n_prefix")), b.column("tokens"), strict=True):
                 got = np.frombuffer(cell.as_buffer(), "<i8")[:k]
-                yield pa.RecordBatch.from_arrays([pa.array(got), pa.array(np.full(len(got), rep))], ["token", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(got), pa.array(np.full(len(got), rep)), pa.array(np.full(len(got), shared))], ["token", "rep", "shared"])
+        C.trim()
 
-    rows = cand.select("rep", "n_prefix", "tokens").mapInArrow(explode, "token long, rep long")
+    rows = cand.select("rep", "n_shared", "n_prefix", "tokens").mapInArrow(explode, "token long, rep long, shared long")
     rows = C.materialize(rows, "prefix-tokens")
     groups = C.materialize(rows.groupBy("token").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"), "prefix-groups")
-    met = C.attach(rows, groups, ["token"], "n", F.col("rep")).where("pivot is not null").select("pivot", "rep").distinct()
+    met = C.attach(rows, groups, ["token"], "n", F.col("rep")).where("pivot is not null").select("pivot", "rep", "shared").distinct()
     met = C.materialize(met, "prefix-met")
-    sizes = C.materialize(met.groupBy("pivot").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "prefix-sizes")
-    parts = F.ceil(F.col("size") / MEET).cast("long")
-    met = C.attach(met, sizes, ["pivot"], "size", F.col("rep")).where("size is not null").withColumn("parts", parts)
+    sizes = C.materialize(met.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"), F.sum("shared").alias("all_shared")).where("size > 1"), "prefix-sizes")
+    parts = F.greatest(F.ceil(F.col("size") / MEET), F.ceil(F.col("all_shared") / MEET_SHINGLES)).cast("long")
+    met = C.attach(met, sizes, ["pivot"], "size", F.col("rep")).where("size is not null").withColumn("parts", parts).drop("shared")
     met = met.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     tasks = met.withColumn("other", other).select("pivot", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep")
@@ -273,6 +280,7 @@ def _links(cand: DataFrame, percent: int, give: str) -> DataFrame:
             else:
                 degree = link @ take("copies")[at]
                 a, b, links = [*a, *ids[degree > 0]], [*b, *ids[degree > 0]], [*links, *degree[degree > 0]]
+        C.trim()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "links": pa.array(links, pa.int64())})
 
     rows = tasks.join(cand, "rep")
@@ -281,26 +289,28 @@ def _links(cand: DataFrame, percent: int, give: str) -> DataFrame:
     return rows.groupBy("pivot", "i", "j").applyInArrow(meet, "a long, b long, links long")
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, size: int) -> tuple[DataFrame, DataFrame]:
-    """Step 1: (doc_id, n_shingles, sig) of all rows, and (sig, rep, copies) of the classes that have shingles."""
-    spark = docs.sparkSession
-    C.bounded_batches(spark)
+def _classes(docs: DataFrame, id_col: str, text_col: str, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Step 1: the blocks, (block, doc_id, n_shingles, sig) of all rows, and (sig, rep, block, copies) of the classes that have shingles."""
 
-    def signs(batches):
-        for b in batches:
-            sets = shingle_sets(b.column(1), size)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).digest()[:16] for x in sets], pa.binary())], ["doc_id", "n_shingles", "sig"])
+    def signs(rows: pa.Table) -> dict:
+        sets = shingle_sets(rows.column("_vl_text"), size)
+        return {"ids": rows.column("_vl_id").to_pylist(), "sizes": [len(x) for x in sets], "signs": b"".join(hashlib.sha256(x.tobytes()).digest()[:16] for x in sets)}
 
-    signed = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), C.text_of(text_col)).mapInArrow(signs, "doc_id long, n_shingles long, sig binary")
+    named = docs.select(F.col(f"`{id_col}`").cast("long").alias("_vl_id"), F.col(f"`{text_col}`").alias("_vl_t"))
+    table = B.into_blocks(named, "_vl_t", each=signs, more="ids array<bigint>, sizes array<bigint>, signs binary", name="shingle-blocks")
+    rows = table.select("block", "signs", F.posexplode(F.arrays_zip("ids", "sizes")).alias("at", "x"))
+    signed = rows.select("block", F.col("x.ids").alias("doc_id"), F.col("x.sizes").alias("n_shingles"), F.substring("signs", F.col("at") * 16 + 1, F.lit(16)).alias("sig"))
     signed = C.materialize(signed, "shingle-signs")
-    classes = signed.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    return signed, C.materialize(classes, "shingle-classes")
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "block"))).alias("first")
+    classes = signed.where("n_shingles > 0").groupBy("sig").agg(first, F.count(F.lit(1)).alias("copies"))
+    classes = classes.select("sig", F.col("first.doc_id").alias("rep"), F.col("first.block").alias("block"), "copies")
+    return table, signed.drop("block"), C.materialize(classes, "shingle-classes")
 
 
-def _met(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, size: int, percent: int, give: str) -> DataFrame:
+def _met(table: DataFrame, classes: DataFrame, size: int, percent: int, give: str) -> DataFrame:
     """Steps 2 to 4: see ``_links``."""
-    reps = classes.where("rep is not null").select("rep")
-    cand = C.materialize(_candidates(docs, reps, id_col, text_col, size, percent), "shingle-candidates")
+    reps = classes.where("rep is not null").select("block", "rep")
+    cand = C.materialize(_candidates(table, reps, size, percent), "shingle-candidates", large_rows=True)
     if give == "counts":
         cand = cand.join(classes.where("rep is not null").select("rep", "copies"), "rep")
     return _links(cand, percent, give)
@@ -315,8 +325,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows that share an id are one node. A row with a null id belongs to its copies' component and to no other. An
     empty table gives an empty result; other columns are ignored.
     """
-    signed, classes = _classes(docs, id_col, text_col, size)
-    met = _met(docs, classes, id_col, text_col, size, percent, "counts" if links else "forest")
+    table, signed, classes = _classes(docs, id_col, text_col, size)
+    classes, met = classes.drop("block"), _met(table, classes, size, percent, "counts" if links else "forest")
     if links:
         met = C.materialize(met, "shingle-links")
     found = components(met.where("a <> b")).select(F.col("node").alias("rep"), "component")
@@ -337,9 +347,9 @@ def linked_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The rows of a class link with one another and with all rows of the classes that theirs is paired with. A family of
     n different texts that all link has n²/2 pairs; ``near_duplicates`` counts them without a row for each.
     """
-    signed, classes = _classes(docs, id_col, text_col, size)
-    pairs = _met(docs, classes, id_col, text_col, size, percent, "pairs").select("a", "b")
-    member = C.attach(signed.where("n_shingles > 0"), classes, ["sig"], "copies", F.col("doc_id")).select("doc_id", "rep")
+    table, signed, classes = _classes(docs, id_col, text_col, size)
+    pairs = _met(table, classes, size, percent, "pairs").select("a", "b")
+    member = C.attach(signed.where("n_shingles > 0"), classes.drop("block"), ["sig"], "copies", F.col("doc_id")).select("doc_id", "rep")
     return pairs, member.unionByName(signed.where("n_shingles = 0").select("doc_id", F.col("doc_id").alias("rep")))
 
 

@@ -2,8 +2,8 @@
 
 Short windows are hashed only where their word position modulo PERIOD is in a difference cover: for any two positions
 some shift below PERIOD brings both into the cover, so two equal windows of PERIOD - 1 + anchor words share an aligned
-anchor. Anchors that repeat anywhere tell where a long match may be; there the full windows are hashed, and the ones
-that repeat are the matches, extended by covering one another.
+anchor. Anchors that repeat anywhere tell where a long match may be; there the full windows around them are hashed,
+to 127 bits, and the ones that repeat are the matches; a match extends as far as windows that repeat cover one another.
 """
 
 from __future__ import annotations
@@ -41,17 +41,26 @@ def _unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[at], np.diff(np.append(at, len(keys))) > 1
 
 
-def _candidates(words: B.WordTable, answer: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of windows that hold a repeated anchor."""
+def _candidates(words: B.WordTable, answer: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and hashes, of 127 bits in two halves, of windows that hold a repeated anchor."""
     anchor, n = window - PERIOD + 1, len(words.hash)
     at = _in_cover(words, anchor)
-    hit = at[B.member(words.windows(anchor)[at], np.sort(B.gather(answer, "keys", "<u8")))]
+    hit = at[B.member(words.windows(anchor)[at], np.sort(B.all_keys(answer)))]
     marks = np.zeros(n + 1, np.int64)
     marks[hit + 1] = 1
     marks = np.cumsum(marks)
     start = np.arange(n)
     found = np.flatnonzero((marks[np.minimum(start + PERIOD, n)] > marks[:-1]) & (start + window <= words.ends()))
-    return found, words.windows(window)[found]
+    return found, words.windows(window)[found], words.windows(window, second=True)[found] & ~np.uint64(1)
+
+
+def _unique_pairs(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys; the last bit of the low half says whether a key occurs twice or more."""
+    order = np.lexsort((low, high))
+    high, low = high[order], low[order]
+    new = np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])]) if len(high) else np.zeros(0, bool)
+    at = np.flatnonzero(new)
+    return high[at], low[at] | (np.diff(np.append(at, len(high))) > 1).astype(np.uint64)
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_text: bool = True) -> DataFrame:
@@ -65,24 +74,25 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if window < PERIOD + 1:
         raise ValueError(f"a window has {PERIOD + 1} words at least")
     docs = C.without(docs, "n_words", "n_removed", "kept_sha256")
-    table, shards, _ = B.into_blocks(docs, id_col, text_col)
+    blocks = B.sized(B.into_blocks(docs, text_col, name="substring-blocks"))
+    ranges = blocks.ranges()
     rest = [c for c in docs.columns if c != text_col]
     anchor = window - PERIOD + 1
 
     def anchors(rows: pa.Table) -> Iterator:
         words = B.WordTable(rows.column("_vl_text"))
         keys, multi = _unique(words.windows(anchor)[_in_cover(words, anchor)])
-        yield from B.by_shard(keys, shards, multi)
+        yield from B.by_shard(keys, ranges, multi)
 
     def windows(rows: pa.Table, answer: pa.Table) -> Iterator:
-        keys, multi = _unique(_candidates(B.WordTable(rows.column("_vl_text")), answer, window)[1])
-        yield from B.by_shard(keys, shards, multi)
+        keys, low = _unique_pairs(*_candidates(B.WordTable(rows.column("_vl_text")), answer, window)[1:])
+        yield from B.by_shard(keys, ranges, low)
 
     def remove(rows: pa.Table, anchors: pa.Table, answer: pa.Table) -> pa.Table:
         words = B.WordTable(rows.column("_vl_text"))
         n = len(words.hash)
-        found, keys = _candidates(words, anchors, window)
-        found = found[B.member(keys, np.sort(B.gather(answer, "keys", "<u8")))]
+        found, high, low = _candidates(words, anchors, window)
+        found = found[B.member_pair(high, low, B.all_keys(answer), B.gather(answer, "extra", "<u8"))]
         depth = np.zeros(n + 1, np.int64)
         np.add.at(depth, found, 1)
         np.add.at(depth, found + window, -1)
@@ -108,18 +118,16 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         cols |= {"n_words": pa.array(np.diff(words.first)), "n_removed": pa.array(np.diff(lost)), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in out], pa.string())}
         return pa.table(cols)
 
-    first = B.repeated(B.ask(table, anchors))
-    second = B.repeated(B.ask_again(table, first, windows))
+    first = B.repeated(blocks, B.ask(blocks, anchors))
+    second = B.repeated_pairs(blocks, B.ask_again(blocks, first, windows))
     kept = [docs.schema[c] for c in [*rest, *[text_col] * keep_text]]
     schema = StructType([*kept, StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType())])
-    # both kinds of answers in one table: extra marks the anchors
-    answers = first.withColumn("extra", F.lit(bytearray(b"a"))).unionByName(second)
 
     def last(rows, answer):
-        mark = answer.column("extra").is_valid()
-        return remove(rows, answer.filter(mark), answer.filter(pc.invert(mark)))
+        is_window = answer.column("extra").is_valid()  # both kinds of answers come in one table
+        return remove(rows, answer.filter(pc.invert(is_window)), answer.filter(is_window))
 
-    return B.finish(table, answers, last, schema)
+    return B.with_answers(blocks, first.unionByName(second), last, schema)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
