@@ -52,11 +52,22 @@ def test_exact_dedup(odd, none):
 
 
 def test_exact_dedup_survives_a_full_bitmap(odd):
-    a = exact_dedup.exact_dedup(odd, bitmap_bits=1).select("doc_id", "keep_id", "group_size", "kept")
+    a = exact_dedup.exact_dedup(odd, most_bits=1).select("doc_id", "keep_id", "group_size", "kept")
     b = exact_dedup.exact_dedup(odd).select("doc_id", "keep_id", "group_size", "kept")
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
 
 
+def test_exact_dedup_of_repeated_rows(spark):
+    """Many rows share the text and the largest id, null among them; some differ in a map only, alone or in a struct."""
+    rows = [(None, "x", {"a": i % 2}, (i % 3, {"b": i % 2})) for i in range(200)] + [(7, "y", None, None)] * 50 + [(6, "y", None, None), (1, "z", {"q": 1}, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, s struct<i:int,m:map<string,int>>").repartition(4)
+    for got in (exact_dedup.exact_dedup(df), exact_dedup.exact_dedup(df, digest=True)):
+        got = got.collect()
+        assert len(got) == len(rows) and sorted(r["text"] for r in got if r["kept"]) == ["x", "y", "z"]
+        assert {(r["text"], r["doc_id"], r["keep_id"], r["group_size"]) for r in got} == {("x", None, None, 200), ("y", 7, 7, 51), ("y", 6, 7, 51), ("z", 1, 1, 1)}
+    assert exact_dedup.drop_duplicates(df).columns == df.columns
+
+
 def test_mixing(odd, none):
     got = mixing.mix(odd).collect()
     assert len(got) == 10 and all(0 <= r["copies"] <= 3 for r in got)
@@ -191,21 +202,97 @@ def test_quality(spark, odd, none):
     assert quality.classify(odd, labels.limit(0)).where("keep").count() == 10
 
 
+def model_of(texts):
+    """n-grams with counts of all texts, and the lower orders, as one shard."""
+    import pyarrow as pa
+
+    keys, counts = quality.counted(pa.array(texts))
+    off, k, c = {}, keys, counts
+    for order in range(quality.ORDER, quality.LOW, -1):
+        off[order] = quality.discounts(quality.of_counts(c))
+        k, c = np.unique(k & np.uint64((1 << 8 * (order - 1)) - 1), return_counts=True)
+    return keys, counts, quality.Lower(k.astype(np.int64), c, off)
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(0)
-    data = rng.integers(97, 101, 4000).astype(np.uint8)
-    keys, counts = np.unique(quality.ngrams(data, np.array([0, 2000, 4000])), return_counts=True)
-    k, c = keys, counts
-    for order in range(quality.ORDER, 2, -1):
-        k, c = np.unique(k & np.uint64((1 << 8 * (order - 1)) - 1), return_counts=True)
-    off = {o: (0.5, 0.9, 1.2) for o in range(1, quality.ORDER + 1)}
-    lower = quality.Lower(k.astype(np.int64), c, off)
-    assert lower.p1.sum() == pytest.approx(1)
-    for context in (keys[10] >> np.uint64(8), np.uint64(0x61626364), np.uint64(0x01020304)):
+    keys, counts, lower = model_of(["".join(map(chr, rng.integers(97, 101, 2000))) for _ in range(2)])
+    for context in (keys[10] >> np.uint64(8), np.uint64(0x6161626364), np.uint64(0x0101020304)):
         every = (context << np.uint64(8)) | np.arange(256, dtype=np.uint64)
         assert (2 ** quality.log2_p(every, keys, counts, lower)).sum() == pytest.approx(1)
 
 
+def brute_kneser_ney(train, texts):
+    """Bits a byte by dictionaries of tuples: interpolated modified Kneser-Ney as published, of order ORDER down to a uniform distribution."""
+    n = quality.ORDER
+    pad = lambda t: (quality.PAD,) * (n - 1) + tuple(t.encode())
+    grams: dict = {n: {}}
+    for t in train:
+        s = pad(t)
+        for i in range(n - 1, len(s)):
+            g = s[i - n + 1 : i + 1]
+            grams[n][g] = grams[n].get(g, 0) + 1
+    for m in range(n - 1, 0, -1):
+        grams[m] = {}
+        for g in grams[m + 1]:
+            grams[m][g[1:]] = grams[m].get(g[1:], 0) + 1
+    off, total, left = {}, {}, {}
+    for m, table in grams.items():
+        of = {i: sum(v == i for v in table.values()) for i in (1, 2, 3, 4)}
+        off[m] = quality.discounts(of)
+        for g, v in table.items():
+            total[g[:-1]] = total.get(g[:-1], 0) + v
+            left[g[:-1]] = left.get(g[:-1], 0) + off[m][min(v, 3) - 1]
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        context, below = g[:-1], p(g[1:])
+        if context not in total:
+            return below
+        v = grams[len(g)].get(g, 0)
+        return (max(v - off[len(g)][min(v, 3) - 1], 0) if v else 0) / total[context] + left[context] / total[context] * below
+
+    out = []
+    for t in texts:
+        s = pad(t)
+        bits = [-np.log2(p(s[i - n + 1 : i + 1])) for i in range(n - 1, len(s))]
+        out.append(np.mean(bits) if bits else None)
+    return out
+
+
+def test_scores_match_brute_force(spark, monkeypatch):
+    """Through shards and blocks, of trusted and other texts, against dictionaries."""
+    monkeypatch.setattr(quality, "ANSWERED", 2)
+    rng = random.Random(2)
+    words = ["uno", "due", "tre", "perché", "anno", "mare", "日本"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 30))) for _ in range(60)] + ["", "x", "qqqq zz"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    trusted = spark.createDataFrame([(i,) for i in range(0, 40, 2)], "doc_id long")
+    got = {r["doc_id"]: r["bits_per_byte"] for r in quality.score(df, trusted).collect()}
+    for i, want in enumerate(brute_kneser_ney([texts[i] for i in range(0, 40, 2)], texts)):
+        assert got[i] == (None if want is None else pytest.approx(want, abs=0.6 / quality.FINE))
+    monkeypatch.setattr(quality, "FEW", 3)  # ids joined by a shuffle
+    again = {r["doc_id"]: r["bits_per_byte"] for r in quality.score(df, trusted).collect()}
+    assert all((got[i] is None) == (again[i] is None) and (got[i] is None or got[i] == pytest.approx(again[i])) for i in got)
+
+
+def test_limits_are_quantiles(spark):
+    """Of held-out documents by language; a language without one takes that of all languages."""
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["a", "b"]), rng.random()) for i in range(400)] + [(900 + i, "c", 0.5) for i in range(3)] + [(950, "d", 0.1)]
+    held = {i: rng.random() < 0.5 for i in range(400)} | {900 + i: False for i in range(3)}
+    scored = spark.createDataFrame(rows, "doc_id long, lang string, bits_per_byte double")
+    trusted = spark.createDataFrame(list(held.items()), "doc_id long, held_out boolean")
+    got = {r["_vl_lang"]: r["limit"] for r in quality.thresholds(scored, trusted, "doc_id", "lang", 0.9).collect()}
+
+    def quantile(langs):
+        x = sorted(round(v * quality.STEPS) for i, lang, v in rows if lang in langs and held.get(i))
+        return x[-(-9 * len(x) // 10) - 1] / quality.STEPS
+
+    assert got == {"la": quantile("a"), "lb": quantile("b"), "lc": quantile("ab")}
+
+
 def test_shards(odd, none):
     got = sharding.shard_documents(odd, 3).toPandas()
     assert len(got) == 10 and set(got["shard"]) <= {0, 1, 2}
@@ -239,12 +326,42 @@ def test_packing(odd, none):
     assert packing.pack_documents(none).count() == 0
 
 
-def test_words_give_the_tokenizers_ids():
+def packs_well(got, padding):
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert list(g["offset"]) == [0, *g["length"].cumsum()[:-1]] and g["length"].sum() <= packing.SEQUENCE
+    least = -(-got["length"].sum() // packing.SEQUENCE)
+    assert got["sequence_id"].nunique() <= least * (1 + padding) + 1
+
+
+@pytest.mark.parametrize("lengths", ["ones", "short", "mixed", "edges"])
+def test_packing_of_short_pieces(spark, lengths):
+    rng = random.Random(1)
+    sizes = {"ones": [1] * 9000, "short": [rng.randint(1, 70) for _ in range(9000)], "mixed": [rng.choice([1, 2, 5, 64, 65, 700, 4096, rng.randint(1, 4096)]) for _ in range(3000)], "edges": [64] * 63 + [65, 4096, 4081, 1]}[lengths]
+    df = spark.createDataFrame([(i, 0, n, i, 9, 8) for i, n in enumerate(sizes)], "doc_id long, start long, length long, ids_crc32 long, sequence_id int, Offset int")
+    got = packing.pack(df).toPandas()
+    assert sorted(got.columns) == ["doc_id", "ids_crc32", "length", "offset", "sequence_id", "start"]
+    assert sorted(got["length"]) == sorted(sizes)
+    packs_well(got, 0.04)
+
+
+def test_words_give_the_tokenizers_ids(monkeypatch):
     enc, rng = tokens.Words(tokens.default_path()), random.Random(3)
     texts = ["", "a\x1cb", "Don't it's we'LL", "ΑΣ ΣΑΣ.", "İstanbul I", "<|endoftext|> <|ENDOFTEXT|>", "a..., b!? ...", "é ́e", "a b", "ß. ẞ ŉ ǰ. ﬁ.", "'S 'T. 's."]
     texts += ["".join(rng.choice("aAbÉß.,!?;:'’<|>_-0٣ \n\t\x1d ́İΣσǅ日🙂") for _ in range(rng.randint(1, 40))) for _ in range(500)]
-    for t, ids in zip(texts, enc.encode(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+    texts += [" ".join(rng.choice(["the", "Eau", "été", "A$$$", "x-y_z", "a<|b", "(no)", "l'eau"]) for _ in range(9)) for _ in range(60)]
+    for known in (10, 1_000_000):  # with a memory that is emptied again and again, and with one that isn't
+        monkeypatch.setattr(tokens, "KNOWN", known)
+        for part in (texts[:7], texts, [], texts[100:]):
+            ids, at = enc.encode(part)
+            for t, a, b in zip(part, at[:-1], at[1:], strict=True):
+                assert ids[a:b].tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+    ids, at = enc.encode([None, "a b", ""], end=7)
+    assert ids[[at[1] - 1, at[2] - 1, at[3] - 1]].tolist() == [7, 7, 7] and at.tolist() == [0, 1, 4, 5] and at[-1] == len(ids)
+
+
+def test_wide_vocabularies_are_refused(spark, monkeypatch):
+    with pytest.raises(ValueError):
+        token_counts.write_token_files(spark.range(1).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")), separator=70_000)
 
 
 @pytest.mark.parametrize("block", [1, 3, 64])
@@ -300,6 +417,18 @@ def test_warc_errors(spark, tmp_path):
     assert got[0]["payload"] == b"hello"
 
 
+def test_warc_goes_on_after_a_gap(monkeypatch):
+    monkeypatch.setattr(warc, "READ_BYTES", 37)
+    good = [warc.record(i, "u", b"hello %d" % i, None) for i in range(4)]
+    broken = good[1][:40] + b"\x00" * 9 + good[1][49:]
+    data = good[0] + b"garbage\x1f\x8b\x08more" + good[1] + broken + good[2] + b"\x1f\x8b\x08" + good[3] + b"end"
+    got = list(warc.members(data))
+    assert [c is None for _, c in got] == [False, True, False, True, False, True, False, True]
+    assert [warc.page_of(warc.parse(c)["record_id"]) for _, c in got if c] == [0, 1, 2, 3]
+    assert [at for at, c in got if c is None] == [len(good[0]), data.index(broken), data.index(good[3]) - 3, len(data) - 3]
+    assert list(warc.members(b"")) == [] and list(warc.members(b"\x1f\x8b\x08")) == [(0, None)]
+
+
 def png():
     def part(kind, body):
         return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
@@ -331,6 +460,32 @@ def test_sniff_column(spark):
     assert got[1]["embedded"][0]["offset"] == 4
 
 
+def test_carved_bytes(spark):
+    p = png()
+    rows = [(1, b"text" + p + b"--" + GIF, "a"), (2, p, "b"), (3, None, "c"), (4, b"", None)]
+    df = spark.createDataFrame(rows, "id long, body binary, media string")
+    got = media.carve(df, "body").orderBy("media_offset").collect()
+    assert [(r["id"], r["media_offset"], r["media_type"], bytes(r["media"])) for r in got] == [(1, 4, "image/png", p), (1, 6 + len(p), "image/gif", GIF)]
+    assert media.carve(df.select("body"), "body").count() == 2 and media.carve(df.limit(0), "body").count() == 0
+
+
+def ogg_page(body, flags):
+    head = b"OggS\0" + bytes([flags]) + b"\0" * 8 + struct.pack("<II", 1, 0)
+    table = bytes([1, len(body)])
+    crc = 0
+    for b in head + b"\0" * 4 + table + body:
+        crc ^= b << 24
+        for _ in range(8):
+            crc = (crc << 1 ^ 0x04C11DB7 if crc & 0x80000000 else crc << 1) & 0xFFFFFFFF
+    return head + struct.pack("<I", crc) + table + body
+
+
+def test_sniff_ogg():
+    data = ogg_page(b"first", 2) + ogg_page(b"last", 4)
+    assert media.sniff(data) == [(0, len(data), "audio/ogg")]
+    assert media.sniff(data[:-1] + b"!") == []
+
+
 def test_wav_round_trip(spark):
     payload = bytes(range(256)) * 9
     df = spark.createDataFrame([(payload,)], "p binary").select(media.wav(F.col("p"), F.octet_length("p").cast("long")).alias("w"))
@@ -338,6 +493,66 @@ def test_wav_round_trip(spark):
     assert media.sniff(data)[0] == (0, len(payload) + 44, "audio/wav") and bytes(media.wav_samples(data)) == payload
 
 
+def relayed(monkeypatch):
+    """Two ranges of shards, and relays between."""
+    monkeypatch.setattr(blocks, "FAN", 2)
+    monkeypatch.setattr(blocks, "LEAST_SHARDS", 6)
+
+
+def test_relays_give_the_same(spark, odd, monkeypatch):
+    rng = random.Random(6)
+    base = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(120)) for _ in range(9)]
+    df = spark.createDataFrame([(i, base[rng.randrange(9)] + (f" x{i}" if i % 3 else "")) for i in range(60)] + [(99, None)], "doc_id long, text string").repartition(7)
+    near = ngram_join.near_duplicates(df).toPandas().sort_values("doc_id", ignore_index=True)
+    kept = substring_dedup.dedup_substrings(df).toPandas().sort_values("doc_id", ignore_index=True)
+    relayed(monkeypatch)
+    assert blocks.sized(blocks.into_blocks(df, "text")).relays > 1
+    assert ngram_join.near_duplicates(df).toPandas().sort_values("doc_id", ignore_index=True).equals(near)
+    assert substring_dedup.dedup_substrings(df).toPandas().sort_values("doc_id", ignore_index=True).equals(kept)
+    assert substring_dedup.dedup_substrings(odd).count() == 10
+
+
+def test_requests_of_a_block_are_bounded(spark):
+    """100 TB: a million shards, yet at most FAN rows a block and about FAN blocks a relay."""
+    n = 10_000
+    table = spark.range(n).select((F.col("id") * 1664 * (1 << blocks.SEQ)).alias("block"), F.lit(100 * 10**12 // n).alias("n_bytes"))
+    got = blocks.sized(table)
+    assert got.shards > 990_000 and got.relays >= n // blocks.FAN and got.ranges() == blocks.FAN
+    keys = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 400_000, dtype=np.uint64) * np.uint64(2))
+    rows = list(blocks.by_shard(keys, got.ranges()))
+    assert len(rows) <= blocks.FAN and sum(len(k) for _, k, _ in rows) == len(keys)
+    fine = blocks.shard_of(keys, got.shards)
+    assert (fine // np.uint64(got.shards // got.fan) == blocks.shard_of(keys, got.fan)).all()
+
+
+def test_pairs_of_halves():
+    high, low = np.array([1, 1, 2, 3], np.uint64), np.array([4, 6, 8, 2], np.uint64)
+    of_high, of_low = np.array([1, 3, 1], np.uint64), np.array([6, 8, 2], np.uint64)
+    assert blocks.member_pair(high, low, of_high, of_low).tolist() == [False, True, False, False]
+
+
+def test_words_that_are_long_or_across_chunks(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(blocks, "CHUNK", 100)
+    monkeypatch.setattr(blocks, "WORDS", 7)
+    monkeypatch.setattr(blocks, "_powers", {})
+    rng = random.Random(9)
+    words = ["a", "bb", "x" * 64, "x" * 65, "y" * 500, "é" * 40]
+    text = [rng.choice(words) for _ in range(200)]
+    w = blocks.WordTable(pa.array([" ".join(text[:90]), " ".join(text[90:])]))
+    for i, a in enumerate(text):
+        for j, b in enumerate(text):
+            assert (w.hash[i] == w.hash[j]) == (a == b)
+    for second in (False, True):
+        h = w.windows(3, second)
+        for i in range(87):
+            for j in range(i):
+                assert (h[i] == h[j]) == (text[i : i + 3] == text[j : j + 3])
+    assert not (w.windows(3) == w.windows(3, True)).any()
+    assert (blocks.WordTable(pa.array(["AB" * 50 + " Ab"]), lower=True).hash == blocks.WordTable(pa.array(["ab" * 50 + " ab"])).hash).all()
+
+
 def test_word_table_matches_re():
     import pyarrow as pa
 

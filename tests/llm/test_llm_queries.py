@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 
-from vellum.llm import packing, queries, tokens
+from vellum.llm import packing, quality, queries, tokens
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -91,14 +91,18 @@ def test_pack(spark, data, duck):
 
 
 def test_quality(spark, data, duck):
-    """Held-out accuracy: labelled junk is rejected, clean documents stay."""
-    got = {r["doc_id"]: r for r in queries.QUERIES["op5_quality"](spark, "/root/testdata/sf0.01").collect()}
-    import duckdb
-
-    labels = duckdb.sql("SELECT doc_id, quality, toxic FROM '/root/testdata/sf0.01/labels.parquet'").fetchall()
-    junk = [not got[i]["keep"] for i, q, _ in labels if q == 0]
-    clean = [got[i]["keep"] for i, q, t in labels if q == 1 and t == 0]
-    assert np.mean(junk) > 0.85 and np.mean(clean) > 0.98
+    """Accuracy on documents whose labels the operator never sees: a third of all. The rest trains it and sets the limits."""
+    from pyspark.sql import functions as F
+
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    unseen = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)) == 0
+    got = {r["doc_id"]: r["keep"] for r in quality.classify(spark.read.parquet(f"{d}/documents.parquet"), labels.where(~unseen), keep_text=False).select("doc_id", "keep").collect()}
+    rows = labels.where(unseen).collect()
+    junk = [not got[r["doc_id"]] for r in rows if r["quality"] == 0]
+    clean = [got[r["doc_id"]] for r in rows if r["quality"] == 1 and r["toxic"] == 0]
+    assert len(junk) > 100 and len(clean) > 900
+    assert np.mean(junk) > 0.85 and np.mean(clean) > quality.QUANTILE - 0.01
 
 
 def least_bins(demand):
