@@ -56,19 +56,44 @@ def test_preface_and_fallbacks(spark):
         assert [(c["ord"], c["title"], c["text"]) for c in got] == [(1, segment.WHOLE_BOOK, text or "")]
 
 
-def test_overrides(spark):
-    chapters, dropped = segment.split_chapters(spark.createDataFrame([("b", part("# Indice", 3) + part("# Uno") + part("# Due") + part("# Tre"))], "book_id string, text string"))
-
-    def apply(*actions):
-        return [(c["ord"], c["title"]) for c in overrides.apply_overrides(chapters, dropped, {"b": list(actions)}).orderBy("ord").collect()]
-
-    assert apply({"action": "merge", "chapters": [1, 2]}) == [(1, "Uno"), (2, "Tre")]
-    assert apply({"action": "drop", "chapter": 1}, {"action": "rename", "chapter": 1, "title": "Nuovo"}) == [(1, "Nuovo"), (2, "Tre")]
-    assert apply({"action": "undrop", "title": "indi"}) == [(1, "Indice"), (2, "Uno"), (3, "Due"), (4, "Tre")]
-    assert apply({"action": "split_at", "chapter": 2, "at": "Una frase", "title": "Nuovo"}) == [(1, "Uno"), (2, "Due"), (3, "Nuovo"), (4, "Tre")]
-    for bad in ({"action": "merge", "chapters": [1]}, {"action": "split_at", "chapter": 1, "at": "manca"}, {"action": "x"}, {"action": "undrop", "title": "manca"}, {"action": "rename", "chapter": 9}):
-        with pytest.raises(Exception, match="OverrideError"):
-            apply(bad)
+BOOK = overrides.Book(tuple(overrides.Part(t, f"{t} text, second half", i + 2, t == "intro") for i, t in enumerate(["intro", "a", "b", "c"])), (overrides.Part("Index", "x", 1), overrides.Part("Notes", "y", 9)))
+
+
+def after(*actions):
+    book = BOOK
+    for a in actions:
+        book = overrides.step(book, a)
+    return [(n, c.title) for n, c in zip(book.numbers(), book.chapters, strict=True)], book
+
+
+def test_edits_of_a_book():
+    """Each kind, and numbers that follow the action before; a preface keeps 0 under any title, and an equal title isn't a preface."""
+    assert after()[0] == [(0, "intro"), (1, "a"), (2, "b"), (3, "c")]
+    titles, book = after({"action": " Merge ", "chapters": [3, 1]})
+    assert titles == [(0, "intro"), (1, "b"), (2, "c")] and book.chapters[2].text == "c text, second half\n\na text, second half"
+    titles, book = after({"action": "split_at", "chapter": 2, "at": ", second"}, {"action": "rename", "chapter": 3, "title": "B2"}, {"action": "split_at", "chapter": 1, "at": "second", "title": "A2"})
+    assert titles == [(0, "intro"), (1, "a"), (2, "A2"), (3, "b"), (4, "B2"), (5, "c")] and book.chapters[3].text == "b text" and book.chapters[4].text == ", second half"
+    assert after({"action": "rename", "chapter": 0, "title": "Start"}, {"action": "rename", "chapter": 1, "title": segment.PREFACE})[0][:2] == [(0, "Start"), (1, segment.PREFACE)]
+    assert after({"action": "rename", "chapter": 1})[0] == after()[0]
+    titles, book = after({"action": "drop", "chapter": 0}, {"action": "drop", "chapter": 1}, {"action": "undrop", "title": "INTRO"}, {"action": "undrop", "title": "dex"})
+    assert titles == [(1, "Index"), (0, "intro"), (2, "b"), (3, "c")] and [p.title for p in book.shelf] == ["Notes", "a"]
+    made = {"action": "split_at", "chapter": 1, "at": "second", "title": "new"}
+    assert after(made, {"action": "drop", "chapter": 2}, {"action": "undrop", "title": "new"})[0][-1] == (4, "new")
+
+
+@pytest.mark.parametrize("action", [{"action": "merge", "chapters": [1]}, {"action": "merge", "chapters": [1, 8]}, {"action": "split_at", "chapter": 1, "at": "a text"}, {"action": "split_at", "chapter": 1}, {"action": "split_at", "at": "x"}, {"action": "drop", "chapter": "one"}, {"action": "undrop", "title": " "}, {"action": "undrop", "title": "zzz"}, {"action": "turn"}, {}])
+def test_wrong_edits(action):
+    with pytest.raises(overrides.OverrideError):
+        overrides.step(BOOK, action)
+
+
+def test_edits_of_many_books(spark):
+    texts = [(b, part("# Indice", 3) + part(f"# {b} one") + part("# Two")) for b in "xyz"]
+    chapters, dropped = segment.split_chapters(spark.createDataFrame(texts, "book_id string, text string"))
+    got = overrides.apply_overrides(chapters, dropped, {"x": [{"action": "undrop", "title": "indice"}], "y": [{"action": "merge", "chapters": [1, 2]}]})
+    assert sorted((c["book_id"], c["chapter_id"], c["title"]) for c in got.collect()) == [("x", "ch001", "Indice"), ("x", "ch002", "x one"), ("x", "ch003", "Two"), ("y", "ch001", "y one"), ("z", "ch001", "z one"), ("z", "ch002", "Two")]
+    with pytest.raises(Exception, match="OverrideError"):
+        overrides.apply_overrides(chapters, dropped, {"z": [{"action": "drop", "chapter": 7}]}).collect()
 
 
 def fold(text, target, overlap):

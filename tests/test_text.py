@@ -74,3 +74,14 @@ def test_html():
     assert html.markdown("<blockquote><p>q</p></blockquote><ul><li>uno</li></ul><p>iv</p><h3>t</h3><script>x</script>")[0] == "q\n\n- uno\n\n### t"
     assert html.markdown("plain <b>text</b>")[0] == "plain \ntext"
     assert html.markdown("")[0] == ""
+
+
+def test_html_writes_each_text_once():
+    assert html.markdown("<li>a<ul><li>b</li></ul> tail</li><li><p>end</p></li>")[0] == "- a tail\n\n- b\n\n- end"
+    assert html.markdown("<blockquote>o<blockquote><p>i</p></blockquote></blockquote><h2><p>t</p></h2>")[0] == "o i\n\n## t"
+    assert html.markdown("<p>one<p>two</p>three")[0] == "one three\n\ntwo"
+    assert html.markdown("<table><tr><td>a<table><tr><td>b</td></tr></table></td><td></td></tr></table>")[0] == "| a b | |\n|---|---|"
+    text, notes = html.markdown('<p>x<a class="FN" href="#f">1</a> y<a class="fn" href="#">2</a><a class="fn">z</a><sup></sup></p><p id="f">see <sup>a</sup></p><style>p</style>')
+    assert text == "x [n.1] y [n.2] z" and notes == [{"ref": "1", "text": "see ^a"}, {"ref": "2", "text": ""}]
+    text, notes = html.markdown('<p>x<sup><a href="#me">1</a></sup></p><div id="me"><p>note<sup><a href="#no">9</a></sup></p></div>')
+    assert text == "x [n.1]" and [n["ref"] for n in notes] == ["1"]

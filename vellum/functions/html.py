@@ -1,8 +1,14 @@
-"""HTML to Markdown, by the standard library's parser in a pandas UDF."""
+"""HTML to Markdown in one pass over the standard library's parser events, in a pandas UDF.
+
+No tree is built. Each run of text is recorded with the elements it is in, as numbers; a superscript or a link also
+leaves an empty run where it begins, to be filled if it turns out to be a note. What a note hides is a set of element
+numbers, and a block is all runs that name it as theirs, so each text is written once.
+"""
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -11,159 +17,167 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 NOTES = ArrayType(StructType([StructField("ref", StringType()), StructField("text", StringType())]))
 MARKDOWN = StructType([StructField("text", StringType()), StructField("notes", NOTES)])
+# Elements without content, the marks of blocks, and what a block of only a numeral looks like.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_BLOCKS = frozenset("h1 h2 h3 h4 p li blockquote figcaption table".split())
-_PREFIX = {"h1": "# ", "h2": "## ", "h3": "### ", "h4": "### ", "li": "- "}
+_MARK = {"h1": "# ", "h2": "## ", "h3": "### ", "h4": "### ", "li": "- ", "p": "", "blockquote": "", "figcaption": ""}
 _NUMERAL = re.compile(r"^[\divxlcdmIVXLCDM]{1,4}[.\):]?$")
 
 
-class Node:
-    """An element, or a text if it has no name."""
-
-    __slots__ = ("attrs", "kids", "name", "text", "up")
-
-    def __init__(self, name, attrs=None, text="", up=None):
-        self.name, self.attrs, self.text, self.up, self.kids = name, attrs or {}, text, up, []
-
-    def walk(self):
-        """Everything below, in the order of the source; what is taken out meanwhile is passed over."""
-        stack = list(reversed(self.kids))
-        while stack:
-            node = stack.pop()
-            yield node
-            stack.extend(reversed(node.kids))
+@dataclass
+class Element:
+    name: str
+    attrs: dict[str, str]
+    above: tuple[int, ...]  # the numbers of the elements it is in, its own last
 
-    def all(self, *names):
-        return [n for n in self.walk() if n.name in names]
 
-    def strings(self):
-        return [s for n in self.walk() if n.name is None and (s := n.text.strip())]
+@dataclass
+class Run:
+    text: str
+    above: tuple[int, ...]
+    opens: int | None = None  # the superscript or link that this run stands before
 
-    def inside(self, name):
-        up = self.up
-        while up is not None:
-            if up.name == name:
-                return True
-            up = up.up
-        return False
 
-    def attached(self, root):
-        node = self
-        while node.up is not None:
-            node = node.up
-        return node is root
+@dataclass
+class Page(HTMLParser):
+    """A page's runs of text, its blocks and its notes. An end tag closes the nearest open element of its name, and nothing else is implied."""
 
-    def remove(self):
-        if self.up is not None:
-            self.up.kids.remove(self)
-            self.up = None
+    source: str
+    elements: list[Element] = field(default_factory=list)
+    runs: list[Run] = field(default_factory=list)
+    notes: list[dict] = field(default_factory=list)
 
-    def replace(self, text):
-        at = self.up.kids.index(self)
-        self.up.kids[at] = Node(None, text=text, up=self.up)
-        self.up = None
-
-
-class Builder(HTMLParser):
-    """A tree of what is written: an end tag closes the nearest open element of its name, and nothing else is implied."""
-
-    def __init__(self):
+    def __post_init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("[root]")
+        self._open: list[int] = []
+        self._hidden: set[int] = set()
+        self.feed(self.source)
+        self.close()
+        self._resolve_notes()
+
+    # --- events ---
 
     def handle_starttag(self, tag, attrs):
-        node = Node(tag, {k: v or "" for k, v in attrs}, up=self.at)
-        self.at.kids.append(node)
+        number = len(self.elements)
+        self.elements.append(Element(tag, {k: v or "" for k, v in attrs}, (*self._open, number)))
+        if tag in ("sup", "a"):
+            self.runs.append(Run("", tuple(self._open), number))
+        if tag in ("script", "style"):
+            self._hidden.add(number)
         if tag not in _VOID:
-            self.at = node
+            self._open.append(number)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in _VOID:
-            self.handle_endtag(tag)
+        self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        node = self.at
-        while node is not None and node.name != tag:
-            node = node.up
-        if node is not None and node.up is not None:
-            self.at = node.up
+        names = [self.elements[n].name for n in self._open]
+        if tag in names:
+            del self._open[len(names) - 1 - names[::-1].index(tag) :]
 
     def handle_data(self, data):
-        self.at.kids.append(Node(None, text=data, up=self.at))
-
-
-def parse(html: str) -> Node:
-    builder = Builder()
-    builder.feed(html)
-    builder.close()
-    return builder.root
+        self.runs.append(Run(data, tuple(self._open)))
+
+    # --- notes ---
+
+    def _shown(self, above: tuple[int, ...]) -> bool:
+        return self._hidden.isdisjoint(above)
+
+    def _within(self, number: int) -> list[str]:
+        """The stripped texts in an element."""
+        return [t for r in self.runs if number in r.above and self._shown(r.above) and (t := r.text.strip())]
+
+    def _note(self, ref: str, href: str) -> None:
+        """Keeps a note; the element it is written in goes from the text."""
+        named = (n for n, e in enumerate(self.elements) if e.attrs.get("id") == href[1:] and self._shown(e.above))
+        target = next(named, None) if re.match("#.", href, re.DOTALL) else None
+        self.notes.append({"ref": ref, "text": "" if target is None else one_line(" ".join(self._within(target)))})
+        if target is not None:
+            self._hidden.add(target)
+
+    def _resolve_notes(self) -> None:
+        """Superscripts first: with a link they are notes, [n.REF], else ^TEXT; then links of a note's class whose text is a number."""
+        marks = [r for r in self.runs if r.opens is not None]
+        for mark in marks:
+            if self.elements[mark.opens].name == "sup" and self._shown(self.elements[mark.opens].above):
+                text = "".join(self._within(mark.opens))
+                link = next((e for e in self.elements if e.name == "a" and mark.opens in e.above and self._shown(e.above)), None)
+                if link:
+                    self._note(text or "?", link.attrs.get("href", ""))
+                    text = f"[n.{text or '?'}]"
+                elif text:
+                    text = f"^{text}"
+                self._hidden.add(mark.opens)
+                mark.text = text
+        for mark in marks:
+            link = self.elements[mark.opens]
+            kind = link.attrs.get("class", "").lower()
+            if link.name == "a" and ("note" in kind or "fn" in kind) and self._shown(link.above):
+                text = "".join(self._within(mark.opens))
+                if text.isdigit():
+                    self._note(text, link.attrs.get("href", ""))
+                    self._hidden.add(mark.opens)
+                    mark.text = f"[n.{text}]"
+
+    # --- blocks ---
+
+    def _block_of(self, above: tuple[int, ...]) -> int | None:
+        """The block that writes a run: the outermost table or quotation, else the nearest heading, else the nearest list item, the caption or the nearest paragraph."""
+        for n in above:
+            if self.elements[n].name in ("table", "blockquote"):
+                return n
+        for names in (("h1", "h2", "h3", "h4"), ("li",), ("figcaption",), ("p",)):
+            for n in reversed(above):
+                if self.elements[n].name in names:
+                    return n
+        return None
+
+    def blocks(self, keep_numerals: bool = False) -> list[str]:
+        """Markdown of each block, in the order in which they begin."""
+        found: dict[int, list[Run]] = {}
+        for r in self.runs:
+            if r.text.strip() and self._shown(r.above) and (block := self._block_of(r.above)) is not None:
+                found.setdefault(block, []).append(r)
+        out = []
+        for block, runs in sorted(found.items()):
+            name = self.elements[block].name
+            if name == "table":
+                out.append(self._table(block, runs))
+                continue
+            text = re.sub(r"\s+\^", "^", one_line(" ".join(r.text.strip() for r in runs)))
+            if keep_numerals or not _NUMERAL.match(text):
+                out.append(text and _MARK[name] + text)
+        return [b for b in out if b]
+
+    def _table(self, table: int, runs: list[Run]) -> str:
+        """Rows with any text, as wide as the widest; the first is the head."""
+        cells: dict[int, list[str]] = {}
+        for r in runs:
+            inner = r.above[r.above.index(table) + 1 :]
+            cell = next((n for n in inner if self.elements[n].name in ("th", "td")), None)
+            if cell is not None:
+                cells.setdefault(cell, []).append(r.text.strip())
+        rows: dict[int, list[str]] = {}
+        for n, e in enumerate(self.elements):
+            if e.name in ("th", "td") and table in e.above:
+                inner = [x for x in e.above[e.above.index(table) + 1 : -1]]
+                row = next((x for x in inner if self.elements[x].name == "tr"), None)
+                if row is not None and not any(self.elements[x].name in ("th", "td") for x in inner) and self._shown(e.above):
+                    rows.setdefault(row, []).append(one_line(" ".join(cells.get(n, []))))
+        full = [r for r in rows.values() if any(r)]
+        wide = max(map(len, full), default=0)
+        lines = ["| " + " | ".join(r + [""] * (wide - len(r))) + " |" for r in full]
+        return "\n".join([*lines[:1], *(["|" + "---|" * wide] if lines else []), *lines[1:]])
+
+    def loose(self) -> str:
+        """All text, a line a run."""
+        return "\n".join(r.text for r in self.runs if r.text and self._shown(r.above))
 
 
 def one_line(text: str) -> str:
     return re.sub(r"\s+", " ", text).strip()
 
 
-def clean(root: Node) -> list[dict]:
-    """Takes out scripts, styles and note links; linked superscripts become [n.REF], others ^TEXT. Returns the notes."""
-    notes = []
-
-    def note(ref: str, href: str) -> None:
-        target = next((n for n in root.walk() if n.name and n.attrs.get("id") == href[1:]), None) if len(href) > 1 and href[0] == "#" else None
-        notes.append({"ref": ref, "text": one_line(" ".join(target.strings())) if target else ""})
-        if target:
-            target.remove()
-
-    for node in root.all("script", "style"):
-        node.remove()
-    for sup in root.all("sup"):
-        if not sup.attached(root):
-            continue
-        text, links = "".join(sup.strings()), sup.all("a")
-        if links:
-            note(text or "?", links[0].attrs.get("href", ""))
-            if sup.attached(root):
-                sup.replace(f"[n.{text or '?'}]")
-        elif text:
-            sup.replace(f"^{text}")
-        else:
-            sup.remove()
-    for a in root.all("a"):
-        kind, text = a.attrs.get("class", "").lower(), "".join(a.strings())
-        if ("note" in kind or "fn" in kind) and text.isdigit() and a.attached(root):
-            note(text, a.attrs.get("href", ""))
-            if a.attached(root):
-                a.replace(f"[n.{text}]")
-    return notes
-
-
-def table(node: Node) -> str:
-    rows = [[one_line(" ".join(cell.strings())) for cell in tr.all("th", "td")] for tr in node.all("tr")]
-    rows = [r for r in rows if any(r)]
-    if not rows:
-        return ""
-    width = max(map(len, rows))
-    head, *body = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in rows]
-    return "\n".join([head, "|" + "---|" * width, *body])
-
-
-def blocks(root: Node, keep_numerals: bool = False) -> list[str]:
-    out = []
-    for node in root.walk():
-        if node.name not in _BLOCKS or (node.name != "blockquote" and node.inside("blockquote")) or (node.name != "table" and node.inside("table")):
-            continue
-        if node.name == "table":
-            text = table(node)
-        else:
-            text = re.sub(r"\s+\^", "^", one_line(" ".join(node.strings())))
-            if not keep_numerals and _NUMERAL.match(text):
-                continue
-            text = text and _PREFIX.get(node.name, "") + text
-        if text:
-            out.append(text)
-    return out
-
-
 def normalize(text: str) -> str:
     text = re.sub(r"[ \t]+", " ", text.replace("\r\n", "\n").replace("\r", "\n"))
     return re.sub(r"\n{4,}", "\n\n\n", text).strip()
@@ -171,11 +185,9 @@ def normalize(text: str) -> str:
 
 def markdown(html: str) -> tuple[str, list[dict]]:
     """(Markdown, notes). Without any block, all text, a line a string."""
-    root = parse(html)
-    notes = clean(root)
-    found = blocks(root)
-    text = "\n\n".join(found) if found else "\n".join(n.text for n in root.walk() if n.name is None)
-    return normalize(text), notes
+    page = Page(html)
+    found = page.blocks()
+    return normalize("\n\n".join(found) if found else page.loose()), page.notes
 
 
 @F.pandas_udf(StringType())

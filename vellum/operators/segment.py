@@ -103,8 +103,8 @@ def merge_dividers(parts: DataFrame) -> DataFrame:
 
 
 def renumber(chapters: DataFrame) -> DataFrame:
-    """Adds ord: 1 and up by seq; a preface is 0."""
-    intro = F.col("title") == PREFACE
+    """Adds ord: 1 and up by seq; what the flag is_preface marks is 0, whatever its title."""
+    intro = F.col("is_preface")
     n = F.sum(F.when(intro, 0).otherwise(1)).over(Window.partitionBy("book_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
     return chapters.withColumn("ord", F.when(intro, F.lit(0)).otherwise(n).cast("int"))
 
@@ -115,7 +115,7 @@ def with_ids(chapters: DataFrame) -> DataFrame:
 
 
 def split_chapters(books: DataFrame, drop_front_matter: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(chapters, dropped): chapters have book_id, seq, ord, chapter_id, title, text, file, hash and n_merged.
+    """(chapters, dropped): chapters have book_id, seq, ord, chapter_id, title, text, file, hash, n_merged and is_preface.
 
     Headings win if they leave two chapters, or one of 200 characters; else lines such as "Chapter 2" if they leave
     two; else the book is one chapter.
@@ -140,4 +140,4 @@ def split_chapters(books: DataFrame, drop_front_matter: bool = True) -> tuple[Da
     dropped = gone[0].unionByName(gone[1].join(first, "book_id", "left_anti"))
     whole = books.join(found.select("book_id").distinct(), "book_id", "left_anti")
     whole = whole.select("book_id", F.lit(1).alias("seq"), F.lit(WHOLE_BOOK).alias("title"), T.normalize_whitespace(F.coalesce("text", F.lit(""))).alias("text"), F.lit(False).alias("is_preface"), F.lit(0).alias("n_merged"))
-    return with_ids(renumber(found.unionByName(whole))).drop("is_preface"), dropped
+    return with_ids(renumber(found.unionByName(whole))), dropped

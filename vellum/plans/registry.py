@@ -241,7 +241,7 @@ def parts(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, 'ch' || lpad(CAST(doc_id AS VARCHAR), CAST(greatest(3, length(CAST(doc_id AS VARCHAR))) AS INTEGER), '0') AS chapter_id, 'sha256:' || sha256(replace(coalesce(text, ''), chr(10), chr(10) || chr(10))) AS hash,
 row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents""")
 def chapter_hashes(spark: SparkSession, d: str) -> DataFrame:
-    got = segment.renumber(as_chapters(spark, d).withColumnRenamed("ord", "seq"))
+    got = segment.renumber(as_chapters(spark, d).withColumnRenamed("ord", "seq").withColumn("is_preface", F.lit(False)))
     return got.select(F.col("seq").cast("long").alias("doc_id"), "chapter_id", "hash", F.col("ord").cast("long").alias("n"))
 
 

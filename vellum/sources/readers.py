@@ -62,9 +62,9 @@ def epub_text(data: bytes) -> tuple[str, list[dict], str | None, str | None]:
         for ref in (e.get("idref") for e in package.iter() if local(e) == "itemref"):
             name = posixpath.normpath(posixpath.join(posixpath.dirname(opf), unquote(items.get(ref) or "")))
             if name in z.namelist():
-                tree = html.parse(z.read(name).decode("utf-8", "ignore"))
-                notes += html.clean(tree)
-                if found := html.blocks(tree):
+                page = html.Page(z.read(name).decode("utf-8", "ignore"))
+                notes += page.notes
+                if found := page.blocks():
                     parts.append("\n\n".join(found))
         return html.normalize("\n\n".join(parts)), notes, first("title"), first("creator")
 
