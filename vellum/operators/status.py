@@ -35,7 +35,8 @@ def phases(books: DataFrame, events: DataFrame) -> DataFrame:
 
 def progress(status: DataFrame, synthesized: DataFrame) -> DataFrame:
     """(book_id, committed, total, next_pending, complete, next_action); synthesized: books with a committed synthesis."""
-    pending = F.min(F.when(F.col("status") != "committed", F.struct("chapter_id", "parts_total")))
+    # ids of more digits come after those of fewer: ch1000 after ch999
+    pending = F.min(F.when(F.col("status") != "committed", F.struct(F.length("chapter_id"), "chapter_id", "parts_total")))
     rows = status.groupBy("book_id").agg(F.count_if(F.col("status") == "committed").alias("committed"), F.count(F.lit(1)).alias("total"), pending.alias("p"))
     rows = rows.join(synthesized.select("book_id", F.lit(True).alias("s")).distinct(), "book_id", "left").withColumn("s", F.coalesce("s", F.lit(False)))
     part = F.when(F.col("p.parts_total") > 1, F.format_string(" --part 1/%d", F.col("p.parts_total"))).otherwise("")
@@ -46,6 +47,7 @@ def progress(status: DataFrame, synthesized: DataFrame) -> DataFrame:
 def render(status: DataFrame, phase: DataFrame, done: DataFrame) -> DataFrame:
     """(book_id, report)."""
     line = F.concat(F.lit("  ["), F.when(F.col("status") == "committed", "x").otherwise(" "), F.lit("] "), "chapter_id", F.lit("  "), F.col("parts_total").cast("string"), F.lit(" parts  "), "title")
-    rows = status.groupBy("book_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("chapters"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.length("chapter_id").alias("size"), F.col("chapter_id"), line.alias("line")))), lambda s: s["line"])
+    rows = status.groupBy("book_id").agg(F.array_join(ordered, "\n").alias("chapters"))
     rows = rows.join(phase, "book_id").join(done, "book_id")
     return rows.select("book_id", F.concat(F.lit("Phase: "), "phase", F.lit("\nChapters: "), F.col("committed").cast("string"), F.lit("/"), F.col("total").cast("string"), F.lit("\n"), "chapters", F.lit("\nNext: "), "next_action").alias("report"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html
 from ..functions import text as T
-from ..operators import chunk, index, integrity, knowledge, manifest, pages, rules, search, segment, status
+from ..operators import chunk, index, integrity, knowledge, manifest, overrides, pages, rules, search, segment, status
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -169,9 +169,17 @@ def running_lines(spark: SparkSession, d: str) -> DataFrame:
     return pages.running_lines(pages.page_lines(as_pages(spark, d))).withColumnRenamed("book_id", "source")
 
 
-@query(f"""WITH {_LINES}, k AS (SELECT e.* FROM e LEFT JOIN r ON e.is_edge AND e.source = r.source AND e.t = r.line WHERE r.line IS NULL AND NOT (t <> '' AND regexp_matches(t, '^\\s*[\\divxlcdmIVXLCDM]{{1,6}}\\s*$'))),
+_CLEAN = f"""{_LINES}, k AS (SELECT e.* FROM e LEFT JOIN r ON e.is_edge AND e.source = r.source AND e.t = r.line WHERE r.line IS NULL AND NOT (t <> '' AND regexp_matches(t, '^\\s*[\\divxlcdmIVXLCDM]{{1,6}}\\s*$'))),
 j AS (SELECT source, doc_id, regexp_replace(string_agg(line, chr(10) ORDER BY pos), '([a-zà-ÿ])-\\n\\s*([a-zà-ÿ])', '\\1\\2', 'g') AS text FROM k GROUP BY source, doc_id),
-c AS (SELECT source, doc_id, {_NORM} AS text FROM j), f AS (SELECT * FROM c WHERE text <> '')
+c AS (SELECT source, doc_id, {_NORM} AS text FROM j)"""
+
+
+@query(f"""WITH {_CLEAN} SELECT d.source, d.doc_id AS page_number, md5(coalesce(c.text, '')) AS text_md5 FROM documents d LEFT JOIN c USING (doc_id)""")
+def clean_pages(spark: SparkSession, d: str) -> DataFrame:
+    return pages.clean_pages(as_pages(spark, d)).select(F.col("book_id").alias("source"), "page_number", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query(f"""WITH {_CLEAN}, f AS (SELECT * FROM c WHERE text <> '')
 SELECT source, doc_id AS page, coalesce(sum(length(text) + 2) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM f""")
 def page_offsets(spark: SparkSession, d: str) -> DataFrame:
     return pages.page_offsets(pages.clean_pages(as_pages(spark, d))).withColumnRenamed("book_id", "source")
@@ -190,28 +198,131 @@ def page_asof(spark: SparkSession, d: str) -> DataFrame:
     return pages.page_at(points, marks, "at").select(F.col("book_id").alias("source"), "point_id", "page")
 
 
-def as_books(spark: SparkSession, d: str) -> DataFrame:
-    """A source as a book: its documents under headings."""
-    part = F.concat(F.lit("# Document "), F.col("doc_id").cast("string"), F.lit("\n\n"), F.coalesce("text", F.lit("")))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", part.alias("p")))), lambda s: s["p"]), "\n\n")
-    return table(spark, d, "documents").groupBy(F.col("source").alias("book_id")).agg(joined.alias("text"))
+_CH = "'ch' || lpad(CAST(doc_id AS VARCHAR), CAST(greatest(3, length(CAST(doc_id AS VARCHAR))) AS INTEGER), '0')"
+_FIRST_LINE = "coalesce(left(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda z: trim(regexp_replace(trim(z), '^#+', ''))), lambda z: z <> '')[1], 120), '')"
+#: A hundred ids of a source are a book, so that no book grows with the corpus.
+_BOOK = "coalesce(source, '') || '-' || CAST(doc_id // 100 AS VARCHAR)"
+
 
+def _book():
+    return F.concat(F.coalesce("source", F.lit("")), F.lit("-"), F.floor(F.col("doc_id") / 100).cast("string"))
 
-@query("""WITH d AS (SELECT source, doc_id, length('# Document ' || doc_id || chr(10) || chr(10) || regexp_replace(coalesce(text, ''), '[ \\t]+', ' ', 'g')) AS n FROM documents)
-SELECT source, 1 AS level, count(*) AS n FROM d GROUP BY source HAVING count(*) > 0""")
+
+def as_books(spark: SparkSession, d: str, spelled: bool = False) -> DataFrame:
+    """Books of documents under headings of two levels, an index now and then, and a preface; or, spelled, under lines such as "Chapter 7"."""
+    name = F.col("doc_id").cast("string")
+    head = F.concat(F.when(F.col("doc_id") % 3 == 0, "# ").otherwise("## "), F.when(F.col("doc_id") % 10 == 7, "Index ").otherwise("Document "), name)
+    head = F.concat(F.lit("Chapter "), name) if spelled else F.when(F.col("doc_id") % 100 == 0, "").otherwise(head)
+    part = F.concat(head, F.lit("\n\n"), F.coalesce("text", F.lit("")))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", part.alias("p")))), lambda s: s["p"]), "\n\n")
+    return table(spark, d, "documents").groupBy(_book().alias("book_id")).agg(joined.alias("text"))
+
+
+_HEADED = "CASE WHEN doc_id % 100 = 0 THEN '' ELSE CASE WHEN doc_id % 3 = 0 THEN '# ' ELSE '## ' END || CASE WHEN doc_id % 10 = 7 THEN 'Index ' ELSE 'Document ' END || doc_id END"
+_BOOKS = f"b AS (SELECT book_id, {_NORM} AS text FROM (SELECT {_BOOK} AS book_id, string_agg({_HEADED} || chr(10) || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY ALL))"
+_SPELLED = _BOOKS.replace(_HEADED, "'Chapter ' || doc_id")
+_SINGLE = f"b AS (SELECT CAST(doc_id AS VARCHAR) AS book_id, {_NORM} AS text FROM documents)"
+_HASHED = r"'^\s{0,3}(#{1,6})\s+(.+?)\s*$'"
+#: Lines l, headings h, their levels st and the chosen ones ch, of books b.
+_LEVELS = f"""x AS (SELECT book_id, string_split(text, chr(10)) AS ls FROM b WHERE text <> ''),
+l0 AS (SELECT book_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM x),
+l AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY book_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, sum(length(line) + 1) OVER (PARTITION BY book_id) AS total FROM l0),
+h AS (SELECT *, length(regexp_extract(line, {_HASHED}, 1)) AS level, trim(regexp_extract(line, {_HASHED}, 2)) AS title FROM l WHERE regexp_matches(line, {_HASHED})),
+hl AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY book_id, level ORDER BY pos), total) - start - 1 AS len FROM h WHERE length(title) BETWEEN 1 AND 160),
+st AS (SELECT book_id, level, count(*) AS n, median(len) AS median_len FROM hl GROUP BY ALL),
+ch AS (SELECT book_id, coalesce(min(level) FILTER (median_len >= 700), min(level)) AS level FROM st WHERE n BETWEEN 2 AND 80 GROUP BY book_id)"""
+_FRONT = r"'(?i)^\s*(indice|sommario|copyright|frontespizio|il libro|l[''’]autore|colophon|bibliografia|ringraziamenti|nota dell[''’]autore|indice dei nomi|note|contents|landmarks|table of contents|index|letture di approfondimento|per approfondire|approfondimenti|indice analitico|indice delle figure|indice delle tavole|elenco delle abbreviazioni|abbreviazioni|glossario|crediti|fonti delle illustrazioni|riferimenti bibliografici|bibliography|further reading|acknowledg(e)?ments|glossary)\b'"
+_LINE_OF = r"'(?i)^\s*(capitolo|chapter|parte|part)\s+([0-9]+|[ivxlcdm]+|[a-zàèéìòù]+)\b.*$'"
+
+
+def _divides(text: str) -> str:
+    return f"(length({text}) < 200 AND len(list_filter(string_split({text}, chr(10)), lambda z: trim(z) <> '' AND NOT regexp_matches(z, {_HASHED}) AND length(trim(z)) > 80)) = 0)"
+
+
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+#: Parts p of books by either strategy (way 0 by headings, 1 by spelled lines) and the chapters c that they make.
+_CUT = f"""{_LEVELS}, sp AS (SELECT book_id, pos, trim(line) AS title FROM l WHERE regexp_matches(line, {_LINE_OF}) QUALIFY count(*) OVER (PARTITION BY book_id) >= 2),
+bo AS (SELECT book_id, pos, title, 0 AS way FROM hl JOIN ch USING (book_id, level) UNION ALL SELECT book_id, pos, title, 1 FROM sp),
+r AS (SELECT l.book_id, w.way, l.pos, l.line, bo.title, count(bo.title) OVER (PARTITION BY l.book_id, w.way ORDER BY l.pos) AS part FROM l JOIN (SELECT DISTINCT book_id, way FROM bo) w USING (book_id) LEFT JOIN bo ON bo.book_id = l.book_id AND bo.way = w.way AND bo.pos = l.pos),
+p AS (SELECT book_id, way, CASE WHEN part = 0 THEN 0 ELSE part + 1 END AS seq, coalesce(max(title), 'Materiale introduttivo') AS title, {_STRIP.format("string_agg(line, chr(10) ORDER BY pos)")} AS text, part = 0 AS pre FROM r GROUP BY book_id, way, part),
+k AS (SELECT * FROM p WHERE NOT (NOT pre AND regexp_matches(title, {_FRONT})) AND (NOT pre OR length(text) > 300)),
+g0 AS (SELECT *, sum(CASE WHEN {_divides("text")} THEN 0 ELSE 1 END) OVER (PARTITION BY book_id, way ORDER BY seq) AS grp FROM k),
+g AS (SELECT book_id, way, grp, count(*) AS n, arg_min(title, seq) AS title, arg_min(pre, seq) AS pre, min(seq) AS seq, {_STRIP.format("string_agg(text, chr(10) || chr(10) ORDER BY seq)")} AS text FROM g0 GROUP BY ALL),
+i AS (SELECT *, CASE WHEN grp = 0 AND {_divides("text")} AND lead(grp) OVER (PARTITION BY book_id, way ORDER BY grp) IS NOT NULL THEN 1 ELSE grp END AS into_grp FROM g),
+m AS (SELECT book_id, way, arg_max(seq, grp) AS seq, arg_max(title, grp) AS title, arg_max(pre, grp) AS pre, {_STRIP.format("string_agg(text, chr(10) || chr(10) ORDER BY grp)")} AS text, sum(n) - 1 AS n_merged FROM i GROUP BY book_id, way, into_grp),
+ok AS (SELECT book_id, min(way) AS way FROM (SELECT book_id, way FROM m GROUP BY ALL HAVING count(*) >= 2 OR (way = 0 AND max(length(text)) >= 200)) GROUP BY book_id),
+c0 AS (SELECT m.book_id, seq, title, pre, text, n_merged FROM m JOIN ok USING (book_id, way) UNION ALL SELECT book_id, 1, 'Libro completo', false, text, 0 FROM b WHERE book_id NOT IN (SELECT book_id FROM ok)),
+c AS (SELECT *, CASE WHEN pre THEN 0 ELSE sum(CASE WHEN pre THEN 0 ELSE 1 END) OVER (PARTITION BY book_id ORDER BY seq) END AS ord FROM c0)"""
+_CHAPTERS = "SELECT book_id, CAST(ord AS INTEGER) AS ord, 'ch' || lpad(CAST(ord AS VARCHAR), CAST(greatest(3, length(CAST(ord AS VARCHAR))) AS INTEGER), '0') AS chapter_id, title, CAST(n_merged AS INTEGER) AS n_merged, 'sha256:' || sha256(text) AS hash FROM c"
+
+
+@query(f"WITH {_BOOKS}, {_LEVELS} SELECT book_id, CAST(level AS INTEGER) AS level, n, median_len FROM st")
 def heading_levels(spark: SparkSession, d: str) -> DataFrame:
-    heads = segment.headings(segment.book_lines(as_books(spark, d)))
-    return segment.level_stats(heads).where("level = 1").select(F.col("book_id").alias("source"), "level", "n")
+    return segment.level_stats(segment.headings(segment.book_lines(as_books(spark, d))))
 
 
-@query()
+@query(f"WITH {_BOOKS}, {_LEVELS} SELECT book_id, CAST(level AS INTEGER) AS level FROM ch")
+def choose_level(spark: SparkSession, d: str) -> DataFrame:
+    return segment.choose_level(segment.headings(segment.book_lines(as_books(spark, d))))
+
+
+def _chapter_rows(found: DataFrame) -> DataFrame:
+    return found.select("book_id", "ord", "chapter_id", "title", "n_merged", "hash")
+
+
+@query(f"WITH {_BOOKS}, {_CUT} {_CHAPTERS}")
 def chapters(spark: SparkSession, d: str) -> DataFrame:
-    return segment.split_chapters(as_books(spark, d))[0].select("book_id", "ord", "chapter_id", "title", "n_merged", "hash")
+    return _chapter_rows(segment.split_chapters(as_books(spark, d))[0])
+
+
+@query(f"WITH {_SPELLED}, {_CUT} {_CHAPTERS}")
+def chapters_spelled(spark: SparkSession, d: str) -> DataFrame:
+    return _chapter_rows(segment.split_chapters(as_books(spark, d, spelled=True))[0])
+
+
+@query(f"WITH {_SINGLE}, {_CUT} {_CHAPTERS}")
+def chapters_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Each document as a book of its own; most have nothing to be cut at."""
+    books = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("book_id"), "text")
+    return _chapter_rows(segment.split_chapters(books)[0])
+
+
+@query(f"WITH {_BOOKS}, {_CUT} SELECT p.book_id, p.title, CAST(p.seq AS INTEGER) AS seq, md5(p.text) AS text_md5 FROM p JOIN ok USING (book_id, way) WHERE NOT pre AND regexp_matches(title, {_FRONT})")
+def front_matter(spark: SparkSession, d: str) -> DataFrame:
+    """What is dropped, and kept apart."""
+    return segment.split_chapters(as_books(spark, d))[1].select("book_id", "title", "seq", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+class Always(dict):
+    """The same actions for every book."""
+
+    def __init__(self, actions: list[dict]):
+        super().__init__()
+        self.actions = actions
+
+    def get(self, name, default=None):
+        return self.actions
+
+
+@query(f"""WITH d AS (SELECT {_BOOK} AS book_id, doc_id, doc_id % 10 = 7 AS gone, 'Document ' || doc_id AS title, {_STRIP.format("'head | ' || coalesce(text, '')")} AS text FROM documents),
+e AS (SELECT *, row_number() OVER (PARTITION BY book_id, gone ORDER BY doc_id) AS n, count(*) FILTER (NOT gone) OVER (PARTITION BY book_id) AS live, count(*) FILTER (gone) OVER (PARTITION BY book_id) AS shelved FROM d),
+f AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY doc_id) AS k FROM e WHERE live >= 4 AND ((NOT gone AND n > 1) OR (gone AND n = 1) OR (NOT gone AND n = 1 AND shelved = 0))),
+a AS (SELECT book_id, 1 AS ord, 'First' AS title, {_STRIP.format("string_agg(text, chr(10) || chr(10) ORDER BY k)")} AS text FROM f WHERE k <= 2 GROUP BY book_id
+UNION ALL SELECT book_id, 2, title, 'head' FROM f WHERE k = 3 UNION ALL SELECT book_id, 3, 'Tail', substr(text, 6) FROM f WHERE k = 3 UNION ALL SELECT book_id, k, title, text FROM f WHERE k > 3)
+SELECT book_id, CAST(ord AS INTEGER) AS ord, title, 'sha256:' || sha256(text) AS hash FROM a""")
+def overridden(spark: SparkSession, d: str) -> DataFrame:
+    """Drop, undrop, merge, rename and split in sequence, on every book of four chapters or more."""
+    docs = table(spark, d, "documents").select(_book().alias("book_id"), F.col("doc_id").cast("int").alias("seq"), F.concat(F.lit("Document "), "doc_id").alias("title"), T.strip(F.concat(F.lit("head | "), F.coalesce("text", F.lit("")))).alias("text"))
+    live, shelved = docs.where("seq % 10 <> 7"), docs.where("seq % 10 = 7")
+    enough = live.groupBy("book_id").count().where("count >= 4").select("book_id")
+    found = segment.renumber(live.join(enough, "book_id", "left_semi").withColumn("is_preface", F.lit(False)))
+    actions = [{"action": "drop", "chapter": 1}, {"action": "undrop", "title": "document"}, {"action": "merge", "chapters": [1, 2]}, {"action": "rename", "chapter": 1, "title": "First"}, {"action": "split_at", "chapter": 2, "at": "|", "title": "Tail"}]
+    return overrides.apply_overrides(found, shelved.join(enough, "book_id", "left_semi"), Always(actions)).select("book_id", "ord", "title", "hash")
 
 
 def as_chapters(spark: SparkSession, d: str) -> DataFrame:
     """A document as a chapter whose lines are paragraphs."""
-    docs = table(spark, d, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").cast("int").alias("ord"), F.format_string("ch%03d", "doc_id").alias("chapter_id"), F.lit("").alias("title"), F.regexp_replace(F.coalesce("text", F.lit("")), "\n", "\n\n").alias("text"))
+    docs = table(spark, d, "documents").select(_book().alias("book_id"), F.col("doc_id").cast("int").alias("ord"), F.format_string("ch%03d", "doc_id").alias("chapter_id"), F.lit("").alias("title"), F.regexp_replace(F.coalesce("text", F.lit("")), "\n", "\n\n").alias("text"))
     return docs.withColumn("hash", T.sha256_tag("text"))
 
 
@@ -232,14 +343,23 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.regexp_extract("chapter_id", "[0-9]+", 0).cast("long").alias("doc_id"), F.regexp_extract("id", "_([0-9]+)$", 1).cast("long").alias("n"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-@query()
+@query(f"""WITH RECURSIVE t AS (SELECT doc_id, {_BOOK} AS book_id, replace(coalesce(text, ''), chr(10), chr(10) || chr(10)) AS text FROM documents),
+p AS (SELECT *, regexp_split_to_array(text, '\\n\\s*\\n') AS ps, regexp_extract_all(text, '\\n\\s*\\n') AS ss FROM t WHERE length(text) > 2000),
+q AS (SELECT doc_id, list_concat(flatten(list_transform(range(1, len(ps)), lambda j: [ps[j], ss[j]])), [ps[len(ps)]]) AS xs FROM p),
+f(doc_id, xs, i, buf, done) AS (
+  SELECT doc_id, xs, 1, '', CAST([] AS VARCHAR[]) FROM q
+  UNION ALL
+  SELECT doc_id, xs, i + 1, substr(nb, n * 2000 + 1, 2000), list_concat(CASE WHEN isfull THEN list_append(done, buf) ELSE done END, list_transform(range(0, n), lambda j: substr(nb, j * 2000 + 1, 2000)))
+  FROM (SELECT *, CASE WHEN length(nb) > 2000 THEN (length(nb) - 1) // 2000 ELSE 0 END AS n FROM (SELECT *, CASE WHEN isfull THEN regexp_replace(xs[i], '^\\n+', '') ELSE buf || xs[i] END AS nb FROM (SELECT *, buf <> '' AND length(buf) + length(xs[i]) > 2000 AS isfull FROM f WHERE i <= len(xs))))
+), r AS (SELECT doc_id, CASE WHEN trim(buf, ' ' || chr(9) || chr(10)) = '' THEN done ELSE list_append(done, buf) END AS cs FROM f WHERE i = len(xs) + 1),
+s AS (SELECT book_id, doc_id, CASE WHEN r.cs IS NULL OR len(r.cs) = 0 THEN [text] ELSE r.cs END AS cs FROM t LEFT JOIN r USING (doc_id))
+SELECT book_id, 'ch' || lpad(CAST(doc_id AS VARCHAR), CAST(greatest(3, length(CAST(doc_id AS VARCHAR))) AS INTEGER), '0') AS chapter_id, CAST(unnest(range(1, len(cs) + 1)) AS INTEGER) AS part, CAST(len(cs) AS INTEGER) AS parts_total, sha256(unnest(cs)) AS text_sha256 FROM s""")
 def parts(spark: SparkSession, d: str) -> DataFrame:
     return chunk.parts(as_chapters(spark, d), 2000).select("book_id", "chapter_id", "part", "parts_total", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
-@query("""WITH c AS (SELECT doc_id, source FROM documents)
-SELECT doc_id, 'ch' || lpad(CAST(doc_id AS VARCHAR), CAST(greatest(3, length(CAST(doc_id AS VARCHAR))) AS INTEGER), '0') AS chapter_id, 'sha256:' || sha256(replace(coalesce(text, ''), chr(10), chr(10) || chr(10))) AS hash,
-row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents""")
+@query(f"""SELECT doc_id, 'ch' || lpad(CAST(doc_id AS VARCHAR), CAST(greatest(3, length(CAST(doc_id AS VARCHAR))) AS INTEGER), '0') AS chapter_id, 'sha256:' || sha256(replace(coalesce(text, ''), chr(10), chr(10) || chr(10))) AS hash,
+row_number() OVER (PARTITION BY {_BOOK} ORDER BY doc_id) AS n FROM documents""")
 def chapter_hashes(spark: SparkSession, d: str) -> DataFrame:
     got = segment.renumber(as_chapters(spark, d).withColumnRenamed("ord", "seq").withColumn("is_preface", F.lit(False)))
     return got.select(F.col("seq").cast("long").alias("doc_id"), "chapter_id", "hash", F.col("ord").cast("long").alias("n"))
@@ -253,20 +373,9 @@ def orphans(spark: SparkSession, d: str) -> DataFrame:
     return integrity.orphans(docs, have).join(docs, ["book_id", "chapter_id"]).select("source", "doc_id", F.col("n").cast("int").alias("n"))
 
 
-@query(f"""WITH c AS (SELECT doc_id % 40 AS k, doc_id, {_ANCHOR} AS n FROM documents), a AS (SELECT item_id, {_ANCHOR} AS n FROM benchmark)
-SELECT item_id, bool_or(contains(c.n, a.n)) AS found FROM a JOIN c ON a.item_id % 40 = c.k GROUP BY item_id""")
-def anchor_check(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    cited = docs.groupBy((F.col("doc_id") % 40).alias("k")).agg(F.collect_list(F.col("doc_id").cast("string")).alias("cited"))
-    items = table(spark, d, "benchmark").join(cited, F.col("item_id") % 40 == F.col("k"))
-    rows = items.select(F.lit("b").alias("book_id"), F.col("item_id").cast("string").alias("chapter_id"), F.lit(6).alias("rule"), F.lit(0).alias("item"), F.lit("claims").alias("what"), "cited", F.array("text").alias("anchors"))
-    bad = rules.anchor_violations(rows, docs.select(F.lit("b").alias("book_id"), F.col("doc_id").cast("string").alias("id"), "text"))
-    return items.join(bad.select(F.col("chapter_id").cast("long").alias("item_id"), F.lit(False).alias("found")).distinct(), "item_id", "left").select("item_id", F.coalesce("found", F.lit(True)).alias("found"))
-
-
 @query(f"""WITH c AS (SELECT {_ANCHOR} AS n FROM documents), a AS (SELECT item_id, {_ANCHOR} AS n FROM benchmark)
 SELECT item_id, bool_or(contains(c.n, a.n)) AS found FROM a, c GROUP BY item_id""")
-def anchor_search(spark: SparkSession, d: str) -> DataFrame:
+def anchor_check(spark: SparkSession, d: str) -> DataFrame:
     """Each item against all documents: it can only be in those that have its rarest word between the first and the last."""
     docs = table(spark, d, "documents").select(F.lit("b").alias("book_id"), F.col("doc_id").cast("string").alias("id"), "text")
     items = table(spark, d, "benchmark").select("item_id", "text")
@@ -308,6 +417,101 @@ def card_violations(spark: SparkSession, d: str) -> DataFrame:
     return known.where("rule <> 3").unionByName(late).groupBy("chapter_id", F.col("rule").cast("int").alias("rule")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def as_rule_cards(spark: SparkSession, d: str) -> DataFrame:
+    """Cards of the right form that break rules 4 to 8 now and then: a thesis that is the summary, chunks of others, no or wrong quotations, unknown chunks."""
+    name = lambda c: F.format_string("ch%03d", c)
+    part = lambda c: F.format_string("chunk_ch%03d_0001", c)
+    at, own, text = F.col("doc_id"), part("doc_id"), F.coalesce("text", F.lit(""))
+    lines = F.filter(T.lines(text), lambda l: T.strip(l) != "")
+    concept = F.array(F.struct(F.concat(F.lit("source "), F.coalesce("source", F.lit("?"))).alias("name"), F.lit("where it is from").alias("definition"), F.array(F.when(at % 13 == 0, part(at + 1)).otherwise(own)).alias("chunk_ids")))
+    anchors = F.when(at % 10 == 0, F.array().cast("array<string>")).when(at % 10 == 5, F.array(F.lit("zz qq ww"))).otherwise(F.array().cast("array<string>"))
+    claims = F.array(F.struct(F.lit("c").alias("claim"), F.when(at % 5 == 0, "testo").otherwise("inferenza").alias("tipo"), F.array(own).alias("chunk_ids"), anchors.alias("anchors")))
+    passages = F.array(F.struct(F.when(at % 7 == 3, "two words").otherwise(text).alias("testo"), own.alias("chunk_id")))
+    summaries = F.array(F.struct(F.when(at % 19 == 0, part(at + 1_000_000_000)).otherwise(own).alias("chunk_id"), F.lit("first").alias("summary")), F.struct(own.alias("chunk_id"), F.element_at(lines, -1).alias("summary")))
+    card = F.struct(name("doc_id").alias("chapter_id"), F.lit("t").alias("title"), F.struct(F.lit(2).alias("parts_read"), F.lit(2).alias("parts_total")).alias("coverage"), F.lit("f").alias("funzione"), text.alias("riassunto"), F.when(at % 11 == 0, text).otherwise("a thesis").alias("tesi"), concept.alias("concetti"), claims.alias("claims"), passages.alias("passaggi"), lines.alias("domande"), F.array(F.coalesce("source", F.lit("?"))).alias("obiezioni"), F.array(F.coalesce("lang", F.lit("?")), F.lit("more")).alias("applicazioni"), F.lit("m").alias("cosa_memorizzare"), summaries.alias("chunk_summaries"))
+    return table(spark, d, "documents").select(F.lit("b").alias("book_id"), name("doc_id").alias("chapter_id"), F.to_json(card).alias("card"), "doc_id")
+
+
+@query(f"""WITH d AS (SELECT {_CH} AS chapter_id, doc_id, coalesce(text, '') AS text, {_ANCHOR} AS n FROM documents WHERE length(text) >= 300)
+SELECT chapter_id, 4 AS rule, 1 AS n FROM d WHERE doc_id % 11 = 0 UNION ALL SELECT chapter_id, 5, 1 FROM d WHERE doc_id % 13 = 0
+UNION ALL SELECT chapter_id, 6, 1 FROM d WHERE doc_id % 10 = 0 OR (doc_id % 10 = 5 AND NOT contains(n, 'zz qq ww'))
+UNION ALL SELECT chapter_id, 7, 1 FROM d WHERE doc_id % 7 = 3 OR len(list_filter(string_split(n, ' '), lambda z: z <> '')) < 3
+UNION ALL SELECT chapter_id, 8, 1 FROM d WHERE doc_id % 19 = 0""")
+def card_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Rules 4 to 8, for the cards that are of the right form."""
+    cards = as_rule_cards(spark, d)
+    chunk_rows = table(spark, d, "documents").select(F.lit("b").alias("book_id"), F.format_string("chunk_ch%03d_0001", "doc_id").alias("id"), F.format_string("ch%03d", "doc_id").alias("chapter_id"), "text")
+    bad = rules.card_violations(cards.drop("doc_id"), chunk_rows, cards.select("book_id", "chapter_id", F.lit(2).alias("parts_total"))).where("rule > 1")
+    return bad.groupBy("chapter_id", F.col("rule").cast("int").alias("rule")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, source, lang, list_filter(string_split(coalesce(text, ''), chr(10)), lambda z: trim(z) <> '') AS ls FROM documents)
+SELECT 'concepts' AS kind, doc_id, 0 AS pos, 'source ' || coalesce(source, '?') AS item FROM d UNION ALL SELECT 'questions', doc_id, unnest(range(len(ls))), unnest(ls) FROM d
+UNION ALL SELECT 'objections', doc_id, 0, coalesce(source, '?') FROM d UNION ALL SELECT 'applications', doc_id, 0, coalesce(lang, '?') FROM d UNION ALL SELECT 'applications', doc_id, 1, 'more' FROM d""")
+def knowledge_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Four knowledge tables; the claims have a query of their own."""
+    found = knowledge.flatten(as_rule_cards(spark, d).drop("doc_id"))
+    rows = [found[k].select(F.lit(k).alias("kind"), F.substring("chapter_id", 3, 20).cast("long").alias("doc_id"), F.col("pos").cast("long").alias("pos"), F.col("name" if k == "concepts" else "text").alias("item")) for k in ("concepts", "questions", "objections", "applications")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
+@query(f"""WITH d AS (SELECT doc_id, source, lang, text, list_filter(string_split(coalesce(text, ''), chr(10)), lambda z: trim(z) <> '') AS ls FROM documents)
+SELECT d.doc_id, coalesce(ls[-1], 'none') AS summary, CASE WHEN d.doc_id % 13 = 0 THEN NULL ELSE 'source ' || coalesce(d.source, '?') END AS own, CASE WHEN p.doc_id IS NOT NULL THEN 'source ' || coalesce(p.source, '?') END AS others
+FROM d LEFT JOIN documents p ON p.doc_id = d.doc_id - 1 AND p.doc_id % 13 = 0""")
+def annotated(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks with the last summary and the concepts that cite them; one in 13 cards cites the next document's."""
+    chunk_rows = table(spark, d, "documents").select(F.lit("b").alias("book_id"), F.format_string("chunk_ch%03d_0001", "doc_id").alias("id"), "doc_id", F.lit("none").alias("summary"), F.array().cast("array<string>").alias("keywords"), "source")
+    got = knowledge.annotate(chunk_rows.drop("source"), as_rule_cards(spark, d).drop("doc_id"))
+    # of a chunk's keywords, which of the two cards that may cite it gave them, told by place
+    cite = table(spark, d, "documents").select((F.col("doc_id") + 1).alias("doc_id"), F.concat(F.lit("source "), F.coalesce("source", F.lit("?"))).alias("before"))
+    name = F.concat(F.lit("source "), F.coalesce("source", F.lit("?")))
+    rows = got.join(cite, "doc_id", "left").join(table(spark, d, "documents").select("doc_id", name.alias("name")), "doc_id")
+    own = F.when((F.col("doc_id") % 13 != 0) & F.array_contains("keywords", F.col("name")), F.col("name"))
+    others = F.when(((F.col("doc_id") - 1) % 13 == 0) & F.array_contains("keywords", F.col("before")), F.col("before"))
+    return rows.select("doc_id", "summary", own.alias("own"), others.alias("others"))
+
+
+@query(f"""SELECT {_BOOK} AS book_id, CAST(doc_id AS INTEGER) AS ord, {_CH} AS chapter_id, lpad(CAST(doc_id AS VARCHAR), CAST(greatest(3, length(CAST(doc_id AS VARCHAR))) AS INTEGER), '0') || '_untitled.md' AS file, {_FIRST_LINE} AS title FROM documents""")
+def list_chapters(spark: SparkSession, d: str) -> DataFrame:
+    return search.list_chapters(segment.with_ids(as_chapters(spark, d)))
+
+
+@query(f"""WITH t AS (SELECT {_BOOK} AS book_id, doc_id, replace(coalesce(text, ''), chr(10), chr(10) || chr(10)) AS text, lpad(CAST(doc_id AS VARCHAR), CAST(greatest(3, length(CAST(doc_id AS VARCHAR))) AS INTEGER), '0') || '_untitled.md' AS file FROM documents),
+r AS (SELECT *, CASE WHEN starts_with(file, '012') THEN 0 WHEN contains(lower(file), '12') THEN 1 WHEN contains(lower(left(text, 200)), '12') THEN 2 END AS prio FROM t)
+SELECT book_id, md5(left(text, 50000)) AS text_md5 FROM r WHERE prio IS NOT NULL QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY prio, doc_id) = 1""")
+def read_chapter(spark: SparkSession, d: str) -> DataFrame:
+    return search.read_chapter(segment.with_ids(as_chapters(spark, d)), "12").select("book_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("""SELECT doc_id, md5(concat_ws(chr(10), nullif(CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END, ''), CASE WHEN doc_id % 2 = 0 THEN 'a, ' || lang END, nullif(text, ''))) AS input_md5 FROM documents""")
+def embed_input(spark: SparkSession, d: str) -> DataFrame:
+    keywords = F.when((F.col("doc_id") % 2 == 0) & F.col("lang").isNotNull(), F.array(F.lit("a"), "lang")).otherwise(F.array().cast("array<string>"))
+    rows = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("source")).alias("summary"), keywords.alias("keywords"), "text")
+    return rows.select("doc_id", F.md5(index.embed_input().cast("binary")).alias("input_md5"))
+
+
+@query(f"""WITH t AS (SELECT {_BOOK} AS book_id, doc_id, {_CH} AS chapter_id, {_FIRST_LINE} AS first FROM documents), s AS (SELECT book_id, list_sort(list(DISTINCT first) FILTER (first <> '')) AS mappa, list_sort(list(chapter_id)) AS ids FROM t GROUP BY book_id)
+SELECT book_id, md5('# Sintesi del libro' || chr(10) || chr(10) || '## Tesi centrale' || chr(10) || chr(10) || 'a thesis' || chr(10) || chr(10) || '## Formula' || chr(10) || chr(10) || 'f' || chr(10) || chr(10) || '## Mappa' || chr(10) || chr(10)
+|| CASE WHEN coalesce(len(mappa), 0) = 0 THEN '- (vuoto)' ELSE array_to_string(list_transform(mappa, lambda z: '- ' || z), chr(10)) END || chr(10) || chr(10) || '## Argomentazione' || chr(10) || chr(10) || 'a' || chr(10) || chr(10) || '## Concetti globali' || chr(10) || chr(10)
+|| '- **source**: where it is from [' || array_to_string(ids, ', ') || ']' || chr(10) || chr(10) || '## Domande profonde' || chr(10) || chr(10) || '- q' || chr(10) || chr(10) || '## Limiti' || chr(10) || chr(10) || '- l' || chr(10) || chr(10) || '## Collegamenti esterni (speculativi)' || chr(10) || chr(10)
+|| 'I collegamenti seguenti vanno oltre il testo: trattali come [speculazione].' || chr(10) || chr(10) || '- e' || chr(10)) AS markdown_md5, len(ids) AS chapters FROM s""")
+def rendered_syntheses(spark: SparkSession, d: str) -> DataFrame:
+    syn = as_syntheses(spark, d)
+    n = syn.select("book_id", F.size(F.from_json(F.get_json_object("synthesis", "$.concetti_globali[0].chapter_ids"), "array<string>")).cast("long").alias("chapters"))
+    return knowledge.render_syntheses(syn).select("book_id", F.md5(F.col("markdown").cast("binary")).alias("markdown_md5")).join(n, "book_id")
+
+
+@query(f"""WITH t AS (SELECT {_BOOK} AS book_id, d.doc_id, l.quality FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id)),
+s AS (SELECT {_BOOK} AS book_id, bool_or({_FIRST_LINE} <> '') AS mapped FROM documents GROUP BY ALL)
+SELECT book_id, 0 AS rule, 1 AS n FROM t WHERE quality = 0 GROUP BY book_id UNION ALL SELECT book_id, 1, 1 FROM s WHERE NOT mapped UNION ALL SELECT book_id, 2, CAST(count(*) AS INTEGER) FROM t WHERE quality IS NULL GROUP BY book_id""")
+def synthesis_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled documents are chapters, committed if good; a synthesis names all documents."""
+    best = table(spark, d, "labels").where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    state = table(spark, d, "documents").join(best, "doc_id").where("quality is not null").select(_book().alias("book_id"), F.format_string("ch%03d", "doc_id").alias("chapter_id"), F.when(F.col("quality") == 1, "committed").otherwise("pending").alias("status"))
+    bad = rules.synthesis_violations(as_syntheses(spark, d), state)
+    return bad.groupBy("book_id", F.col("rule").cast("int").alias("rule")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
 @query("""WITH p AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: trim(l) <> '') AS ls FROM documents)
 SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS claim FROM p""")
 def knowledge_claims(spark: SparkSession, d: str) -> DataFrame:
@@ -328,14 +532,43 @@ def status_phases(spark: SparkSession, d: str) -> DataFrame:
     return status.phases(events.select("book_id").distinct(), events).withColumnRenamed("book_id", "user_id")
 
 
-@query("""WITH c AS (SELECT d.source, d.doc_id, l.quality FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id))
-SELECT source, count(*) FILTER (quality = 1) AS committed, count(*) AS total, min(CASE WHEN quality IS DISTINCT FROM 1 THEN doc_id END) AS next_pending FROM c GROUP BY source""")
+@query(f"""WITH c AS (SELECT d.source, d.doc_id, l.quality FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id)),
+p AS (SELECT source, count(*) FILTER (quality = 1) AS committed, count(*) AS total, min(CASE WHEN quality IS DISTINCT FROM 1 THEN doc_id END) AS doc_id FROM c GROUP BY source)
+SELECT source, committed, total, {_CH} AS next_pending, 'read chapter ' || {_CH} || ' --part 1/2, then commit its card' AS next_action FROM p""")
 def status_progress(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("source").alias("book_id"), F.format_string("%012d", "doc_id").alias("chapter_id"), F.lit("").alias("title"), F.lit("").alias("file"), F.lit("").alias("hash"), F.lit(1).alias("parts_total"))
-    good = table(spark, d, "labels").where("quality = 1").select(F.format_string("%012d", "doc_id").alias("chapter_id"))
-    events = docs.join(good, "chapter_id", "left_semi").select("book_id", F.lit("2024").alias("at"), F.lit("commit-chapter").alias("kind"), "chapter_id", F.lit("").alias("message"))
-    done = status.progress(status.chapter_status(docs, events), docs.select("book_id").limit(0))
-    return done.select(F.col("book_id").alias("source"), "committed", "total", F.col("next_pending").cast("long").alias("next_pending"))
+    docs = _state(spark, d)
+    good = table(spark, d, "labels").where("quality = 1").select(F.format_string("ch%03d", "doc_id").alias("chapter_id"))
+    done = status.progress(status.chapter_status(docs, _commits(docs.join(good, "chapter_id", "left_semi"))), docs.select("book_id").limit(0))
+    return done.select(F.col("book_id").alias("source"), "committed", "total", "next_pending", "next_action")
+
+
+def _state(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as the chapters of their source, of two parts each."""
+    return table(spark, d, "documents").select(F.col("source").alias("book_id"), F.format_string("ch%03d", "doc_id").alias("chapter_id"), F.lit("").alias("title"), F.lit("").alias("file"), F.lit("").alias("hash"), F.lit(2).alias("parts_total"))
+
+
+def _commits(chapters: DataFrame) -> DataFrame:
+    return chapters.select("book_id", F.lit("2024").alias("at"), F.lit("commit-chapter").alias("kind"), "chapter_id", F.lit("").alias("message"))
+
+
+@query(f"""WITH p AS (SELECT source, min(doc_id) AS first, hash(source) IS NULL AS x, source LIKE '%0' OR source LIKE '%2' AS done, source LIKE '%0' AS syn, count(*) AS n FROM documents GROUP BY source)
+SELECT source, done AND syn AS complete, CASE WHEN done THEN n ELSE 0 END AS committed, CASE WHEN NOT done THEN 'read chapter ' || {_CH.replace("doc_id", "first")} || ' --part 1/2, then commit its card' WHEN NOT syn THEN 'commit the synthesis' ELSE 'render and pack' END AS next_action FROM p""".replace("hash(source) IS NULL AS x, ", ""))
+def completeness(spark: SparkSession, d: str) -> DataFrame:
+    """Sources that are committed whole, with and without a synthesis, and others."""
+    docs = _state(spark, d)
+    whole = docs.where("book_id like '%0' or book_id like '%2'")
+    done = status.progress(status.chapter_status(docs, _commits(whole)), whole.where("book_id like '%0'").select("book_id"))
+    return done.select(F.col("book_id").alias("source"), "complete", "committed", "next_action")
+
+
+@query("""WITH c AS (SELECT source, doc_id, doc_id IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) AS known FROM documents)
+SELECT source, doc_id FROM c WHERE doc_id % 3 = 0 OR NOT known""")
+def hash_mismatch(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks with another hash than their chapter's, or whose chapter isn't there."""
+    docs = table(spark, d, "documents").select(F.lit("b").alias("book_id"), F.col("doc_id").cast("string").alias("id"), F.format_string("ch%03d", "doc_id").alias("chapter_id"), T.sha256_tag(F.coalesce("text", F.lit(""))).alias("hash"), "doc_id", "source")
+    have = docs.join(table(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    cut = docs.withColumn("chapter_hash", F.when(F.col("doc_id") % 3 == 0, F.lit("sha256:old")).otherwise(F.col("hash")))
+    return integrity.stale(cut, have).join(docs, ["book_id", "id"]).select("source", "doc_id")
 
 
 @query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
@@ -350,31 +583,36 @@ def html_markdown(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", html.markdown_notes_udf("html").alias("m")).select("page_id", "m.text", F.size("m.notes").alias("n_notes"))
 
 
-@query("""SELECT source, 'canonical/chapters/' || lpad(CAST(doc_id AS VARCHAR), CAST(greatest(3, length(CAST(doc_id AS VARCHAR))) AS INTEGER), '0') || '_untitled.md' AS path, 'sha256:' || sha256(replace(coalesce(text, ''), chr(10), chr(10) || chr(10))) AS hash FROM documents""")
+@query(f"""SELECT {_BOOK} AS book_id, 'canonical/chapters/' || lpad(CAST(doc_id AS VARCHAR), CAST(greatest(3, length(CAST(doc_id AS VARCHAR))) AS INTEGER), '0') || '_untitled.md' AS path, 'sha256:' || sha256(replace(coalesce(text, ''), chr(10), chr(10) || chr(10))) AS hash FROM documents""")
 def manifest_files(spark: SparkSession, d: str) -> DataFrame:
     found = segment.with_ids(as_chapters(spark, d))
     books = found.select("book_id").distinct().withColumn("text", F.lit(""))
     none = found.select("book_id", "chapter_id", F.lit("").alias("card")).limit(0)
     files = manifest.artefacts(found, found.select("book_id", "ord", "text").limit(0), none)
     made = manifest.manifest(books, files, books.select("book_id", F.lit(0).alias("committed"), F.lit(0).alias("total"), F.lit(False).alias("complete")))
-    return made.select(F.col("book_id").alias("source"), F.explode("files").alias("path", "hash"))
+    return made.select("book_id", F.explode("files").alias("path", "hash"))
 
 
 def as_syntheses(spark: SparkSession, d: str) -> DataFrame:
-    """A synthesis of each source; its map is the first lines of its documents, so one without text has none."""
+    """A synthesis of each book of documents; its map is their first lines, so one without text has none."""
     one = lambda c: F.array(F.lit(c))
     first = T.first_line(F.coalesce("text", F.lit("")), "")
-    rows = table(spark, d, "documents").groupBy(F.col("source").alias("book_id")).agg(F.filter(F.array_sort(F.collect_set(first)), lambda x: x != "").alias("mappa"), F.array_sort(F.collect_list(F.format_string("ch%03d", "doc_id"))).alias("ids"))
+    rows = table(spark, d, "documents").groupBy(_book().alias("book_id")).agg(F.filter(F.array_sort(F.collect_set(first)), lambda x: x != "").alias("mappa"), F.array_sort(F.collect_list(F.format_string("ch%03d", "doc_id"))).alias("ids"))
     concept = F.array(F.struct(F.lit("source").alias("name"), F.lit("where it is from").alias("definition"), F.col("ids").alias("chapter_ids")))
     made = F.struct(F.lit("a thesis").alias("tesi_centrale"), F.lit("f").alias("formula"), "mappa", F.lit("a").alias("argomentazione"), concept.alias("concetti_globali"), one("q").alias("domande_profonde"), one("l").alias("limiti"), one("e").alias("collegamenti_esterni"))
     return rows.select("book_id", F.to_json(made).alias("synthesis"))
 
 
-@query()
+@query(f"""WITH t AS (SELECT {_BOOK} AS book_id, doc_id, {_CH} AS chapter_id, coalesce(text, '') AS text, doc_id IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) AS committed FROM documents),
+b AS (SELECT book_id, list_sort(list(chapter_id) FILTER (committed AND (length(text) < 300 OR trim(text, ' ' || chr(10) || chr(9)) = ''))) AS bad, bool_or(trim(text, ' ' || chr(10) || chr(9)) <> '') AS has FROM t GROUP BY book_id),
+l(gate, label) AS (VALUES (1, 'text is there'), (1, 'chapters are there'), (2, 'chapters have states'), (3, 'chunks are there'), (3, 'no orphan chunks'), (3, 'chapter hashes agree'), (3, 'committed cards are there'), (3, 'committed cards are of the right form'), (3, 'a committed synthesis is there and of the right form')),
+r AS (SELECT book_id, gate, label, CASE label WHEN 'text is there' THEN has WHEN 'chunks are there' THEN has WHEN 'committed cards are of the right form' THEN coalesce(len(bad), 0) = 0 WHEN 'a committed synthesis is there and of the right form' THEN has ELSE true END AS passed,
+  CASE label WHEN 'text is there' THEN 'text' WHEN 'chunks are there' THEN '' WHEN 'committed cards are of the right form' THEN array_to_string(bad[1:8], ', ') ELSE 'synthesis' END AS why FROM b, l)
+SELECT book_id, CAST(gate AS INTEGER) AS gate, label, passed, CASE WHEN NOT passed THEN why END AS note FROM r QUALIFY gate <= coalesce(min(gate) FILTER (NOT passed) OVER (PARTITION BY book_id), 9)""")
 def integrity_report(spark: SparkSession, d: str) -> DataFrame:
     found = segment.with_ids(as_chapters(spark, d)).withColumn("parts_total", F.lit(1))
     cut = chunk.chunks(found)
-    named = table(spark, d, "documents").select(F.col("source").alias("book_id"), F.format_string("ch%03d", "doc_id").alias("chapter_id"))
+    named = table(spark, d, "documents").select(_book().alias("book_id"), F.format_string("ch%03d", "doc_id").alias("chapter_id"))
     done = table(spark, d, "labels").select(F.format_string("ch%03d", "doc_id").alias("chapter_id"), F.lit("committed").alias("status")).distinct()
     state = found.select("book_id", "chapter_id", "parts_total").join(done, "chapter_id", "left").withColumn("status", F.coalesce("status", F.lit("pending")))
     cards = as_cards(spark, d).drop("book_id").join(named, "chapter_id").select("book_id", "chapter_id", "card")
