@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import re
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +29,7 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument(f"--{k.replace('_', '-')}", **({"action": "store_true"} if v is True else {"default": v, "type": type(v)} if v is not None else {}))
 
     command("ingest", "source", force=True, keep_front_matter=True, language="it")
-    command("restructure", "book", "override")
+    command("restructure", "book", "override", force=True)
     command("status")
     command("chapter", "book", "chapter", part=None)
     command("commit-chapter", "book", "chapter", "card")
@@ -43,6 +44,20 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+#: Questions that a client may ask with; what stands in braces is filled from the arguments.
+PROMPTS = {
+    "study": "Read chapter {chapter} of {book} part by part. Write its card: what it does in the book, a summary, its thesis, its concepts and claims with the chunks they rest on, and quotations word by word.",
+    "answer": "Answer from the passages below only, and name the chunk that each statement rests on. Say so if they don't hold the answer.\n\nQuestion: {question}\n\n{context}",
+}
+
+
+def prompt(name: str, **values) -> str:
+    """A prompt by its name or a part of it, filled as far as values are given; one that isn't known is empty."""
+    low = name.strip().lower()
+    found = PROMPTS.get(low) or next((text for key, text in PROMPTS.items() if low and low in key), "")
+    return re.sub(r"\{(\w+)\}", lambda m: str(values.get(m[1], m[0])), found)
+
+
 def tools(lib: Library) -> dict:
     """What the query server answers: each takes named arguments and returns what JSON can hold."""
 
@@ -66,6 +81,8 @@ def tools(lib: Library) -> dict:
         "claims": lambda book: rows(lib.knowledge()["claims"].where(F.col("book_id") == book).orderBy("chapter_id", "pos")),
         "status": lambda: rows(lib.status()),
         "book": about,
+        "prompts": lambda: sorted(PROMPTS),
+        "prompt": prompt,
     }
 
 
@@ -89,7 +106,7 @@ def run(lib: Library, a: argparse.Namespace, out=sys.stdout) -> int:
     if a.command == "ingest":
         bad = lib.ingest(a.source, a.force, a.language, not a.keep_front_matter).collect()
     elif a.command == "restructure":
-        lib.restructure({a.book: overrides.load_override(lib.spark, a.override)})
+        lib.restructure({a.book: overrides.load_override(lib.spark, a.override)}, force=a.force)
     elif a.command == "status":
         for r in lib.status().orderBy("book_id").toLocalIterator():
             say(f"{r['book_id']}\n{r['report']}\n")

@@ -11,14 +11,15 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import chunk, index, integrity, knowledge, manifest, overrides, rules, search, segment, status
+from .operators import chunk, index, integrity, knowledge, manifest, overrides, pages, rules, search, segment, status
 from .operators.search import CONTEXT, TOP_K
 from .sources import readers, sinks
 
 TABLES = {
     "books": "book_id string, path string, text string, title string, author string, error string, language string",
-    "chapters": "book_id string, seq int, ord int, chapter_id string, title string, text string, file string, hash string, parts_total int",
-    "chunks": "book_id string, id string, chapter_id string, chapter_title string, ord int, text string, summary string, keywords array<string>, chapter_hash string",
+    "chapters": "book_id string, seq int, ord int, chapter_id string, title string, text string, file string, hash string, parts_total int, page_start int, page_end int",
+    "chunks": "book_id string, id string, chapter_id string, chapter_title string, ord int, text string, summary string, keywords array<string>, chapter_hash string, page_start int, page_end int",
+    "page_map": "book_id string, offset long, page int",
     "cards": "book_id string, chapter_id string, hash string, card string, at string, no long",
     "syntheses": "book_id string, synthesis string, at string, no long",
     "events": "book_id string, at string, kind string, chapter_id string, message string",
@@ -48,10 +49,16 @@ class Library:
         cols = [part.split()[0] for part in TABLES[name].split(", ")]
         sinks.append_events(df.select(*cols), f"{self.path}/{name}")
 
-    def ingest(self, source: str, force: bool = False, language: str = "it", drop_front_matter: bool = True, actions: dict[str, list[dict]] | None = None) -> DataFrame:
-        """Reads all documents below ``source`` into books, chapters and chunks; returns (book_id, error) of those that can't be read."""
-        docs = readers.read_documents(self.spark, source).withColumn("language", F.lit(language))
+    def ingest(self, source: str, force: bool = False, language: str = "it", drop_front_matter: bool = True, actions: dict[str, list[dict]] | None = None, pdf=readers.pdf_pages) -> DataFrame:
+        """Reads all documents below ``source`` into books, chapters and chunks; returns (book_id, error) of those that can't be read.
+
+        What a metadata file beside a document says of its book counts before the document itself and ``language``.
+        """
+        said = readers.read_metadata(self.spark, source).select("book_id", *[F.col(c).alias(f"_{c}") for c in ("title", "author", "language")])
+        docs = readers.read_documents(self.spark, source, pdf=pdf).withColumn("language", F.lit(language)).join(said.dropDuplicates(["book_id"]), "book_id", "left")
+        docs = docs.withColumns({c: F.coalesce(f"_{c}", c) for c in ("title", "author", "language")})
         self._write("books", docs, force)
+        self._write("page_map", readers.read_pdf_offsets(self.spark, source, pdf))
         ids = docs.select("book_id").distinct()
         books = self.table("books").join(ids, "book_id", "left_semi")
         self._derive(books.where("error is null"), drop_front_matter, actions or {})
@@ -62,13 +69,26 @@ class Library:
         found, dropped = segment.split_chapters(books.select("book_id", "text"), drop_front_matter)
         if actions:
             found = overrides.apply_overrides(found, dropped, actions)
-        self._write("chapters", found.withColumn("parts_total", F.size(chunk.part_texts(F.col("text")))))
+        found = found.withColumns({"parts_total": F.size(chunk.part_texts(F.col("text"))), "page_start": F.lit(None).cast("int"), "page_end": F.lit(None).cast("int")})
+        self._write("chapters", self._paged(found.withColumn("id", F.col("chapter_id")), found, books))
         now = self.table("chapters").join(books.select("book_id"), "book_id", "left_semi")
-        self._write("chunks", chunk.chunks(now))
+        self._write("chunks", self._paged(chunk.chunks(now).withColumns({c: F.lit(None).cast("int") for c in ("page_start", "page_end")}), now, books))
+
+    def _paged(self, rows: DataFrame, chapters: DataFrame, books: DataFrame) -> DataFrame:
+        """Rows with the pages that they begin and end on, for books that have pages."""
+        paged = self.table("page_map").select("book_id").distinct()
+        mine = lambda df: df.join(paged, "book_id", "left_semi")
+        found = pages.chunk_pages(mine(rows), mine(chapters).select("book_id", "chapter_id", "text"), mine(books).select("book_id", "text"), self.table("page_map"))
+        return rows.join(paged, "book_id", "left_anti").unionByName(found.select(*rows.columns))
+
+    def restructure(self, actions: dict[str, list[dict]], drop_front_matter: bool = True, force: bool = False) -> None:
+        """Cuts the named books anew and applies each one's actions.
 
-    def restructure(self, actions: dict[str, list[dict]], drop_front_matter: bool = True) -> None:
-        """Cuts the named books anew and applies each one's actions. Cards of chapters that change no longer hold."""
+        Refused while a chapter of theirs is committed; with force, cards of chapters that change no longer hold.
+        """
         books = self.table("books").where(F.col("book_id").isin(*actions) & F.col("error").isNull())
+        if not force and (done := self.cards().join(books.select("book_id"), "book_id", "left_semi").first()):
+            raise CommitError(f"book {done['book_id']} has committed chapters, such as {done['chapter_id']}")
         self._derive(books, drop_front_matter, actions)
         self._append("events", status.event(books, "restructure"))
 
@@ -159,8 +179,14 @@ class Library:
         made = self.manifests().where(mine).first().asDict(recursive=True)
         files = {f"canonical/chapters/{r['file']}": r["text"] for r in self.chapters(book_id).select("file", "text").toLocalIterator()}
         files |= {f"analysis/chapters/{r['chapter_id']}.json": r["card"] for r in self.cards().where(mine).toLocalIterator()}
-        files |= {f"render/{r['chapter_id']}.md": r["markdown"] for r in self.render()[0].where(mine).toLocalIterator()}
-        files["knowledge/chunks.jsonl"] = "".join(json.dumps(json.loads(r[0]), ensure_ascii=False) + "\n" for r in self.table("chunks").where(mine).orderBy("ord").select(F.to_json(F.struct("*"))).toLocalIterator())
+        cards, syntheses = self.render()
+        files |= {f"render/{r['chapter_id']}.md": r["markdown"] for r in cards.where(mine).toLocalIterator()}
+        files |= {"render/synthesis.md": r["markdown"] for r in syntheses.where(mine).toLocalIterator()}
+        files |= {"render/twin.md": r["markdown"] for r in knowledge.render_book(cards, syntheses).where(mine).toLocalIterator()}
+        files |= {"analysis/synthesis.json": r["synthesis"] for r in self.syntheses().where(mine).toLocalIterator()}
+        lines = lambda df, *by: "".join(json.dumps(json.loads(r[0]), ensure_ascii=False) + "\n" for r in df.where(mine).orderBy(*by).select(F.to_json(F.struct("*"))).toLocalIterator())
+        files |= {f"knowledge/{name}.jsonl": lines(df, "chapter_id", "pos") for name, df in self.knowledge().items()}
+        files["knowledge/chunks.jsonl"] = lines(self.table("chunks"), "ord")
         sinks.write_bytes(self.spark, path, sinks.pack(files | {"render/": ""}, made))
         if made["status"] == "packed":
             self._append("events", status.event(self.table("books").where(mine), "pack"))

@@ -21,9 +21,7 @@ def flat_keywords(keywords: Column | str = "keywords") -> Column:
 
 def postings(chunks: DataFrame, columns: tuple[str, ...] = SURFACE) -> DataFrame:
     """(book_id, chunk_id, col, pos, term): each chunk is tokenized where it is; nothing is shuffled."""
-    have = [c for c in columns if c in chunks.columns]
-    value = lambda c: flat_keywords(c) if chunks.schema[c].dataType.typeName() == "array" else F.col(c)
-    cells = F.array(*[F.struct(F.lit(c).alias("col"), T.search_terms(value(c)).alias("terms")) for c in have])
+    cells = F.array(*[F.struct(F.lit(c).alias("col"), terms.alias("terms")) for c, terms in _cells(chunks, columns).items()])
     rows = chunks.select("book_id", F.col("id").alias("chunk_id"), F.explode(cells).alias("c"))
     return rows.select("book_id", "chunk_id", F.col("c.col").alias("col"), F.posexplode("c.terms").alias("pos", "term"))
 
@@ -38,10 +36,20 @@ def stem_postings(chunks: DataFrame, books: DataFrame) -> DataFrame:
     return out.select("book_id", "chunk_id", "col", "pos", "term")
 
 
-def lengths(all_postings: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(book_id, chunk_id, n_tokens) over all columns; chunks without a term have 0."""
-    n = all_postings.groupBy("book_id", "chunk_id").agg(F.count(F.lit(1)).alias("n_tokens"))
-    return chunks.select("book_id", F.col("id").alias("chunk_id")).join(n, ["book_id", "chunk_id"], "left").withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0)))
+def _cells(chunks: DataFrame, columns: tuple[str, ...]) -> dict[str, Column]:
+    """The terms of each column that the chunks have."""
+    value = lambda c: flat_keywords(c) if chunks.schema[c].dataType.typeName() == "array" else F.col(c)
+    return {c: T.search_terms(value(c)) for c in columns if c in chunks.columns}
+
+
+def lengths(chunks: DataFrame, columns: tuple[str, ...] = SURFACE, stems: DataFrame | None = None) -> DataFrame:
+    """(book_id, chunk_id, n_tokens) over all columns; chunks without a term have 0. Only stems are counted by a shuffle."""
+    own = sum((F.size(terms) for terms in _cells(chunks, columns).values()), F.lit(0)).cast("long")
+    rows = chunks.select("book_id", F.col("id").alias("chunk_id"), own.alias("n_tokens"))
+    if stems is None:
+        return rows
+    more = stems.groupBy("book_id", "chunk_id").agg(F.count(F.lit(1)).alias("more"))
+    return rows.join(more, ["book_id", "chunk_id"], "left").select("book_id", "chunk_id", (F.col("n_tokens") + F.coalesce("more", F.lit(0))).alias("n_tokens"))
 
 
 def book_stats(lens: DataFrame) -> DataFrame:
@@ -82,10 +90,11 @@ class Index:
 
 def build(chunks: DataFrame, books: DataFrame | None = None, encode=None, columns: tuple[str, ...] = SURFACE) -> Index:
     """An index of chunks (book_id, id, ...). books (book_id, language): adds stems. encode: adds vectors."""
-    found = postings(chunks, columns)
+    found, stems = postings(chunks, columns), None
     if books is not None:
-        found = found.unionByName(stem_postings(chunks, books))
-    lens = lengths(found, chunks)
+        stems = stem_postings(chunks, books)
+        found = found.unionByName(stems)
+    lens = lengths(chunks, columns, stems)
     return Index(chunks, found, lens, book_stats(lens), embeddings(chunks, encode), books is not None)
 
 
@@ -94,6 +103,7 @@ def write(index: Index, path: str) -> None:
     index.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings")
     for name in ("chunks", "lens", "stats", "vectors"):
         if (table := getattr(index, name)) is not None:
+            table = table.withColumn("stemmed", F.lit(index.stemmed)) if name == "stats" else table
             table.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
@@ -104,6 +114,10 @@ def read(spark, path: str) -> Index:
         vectors = spark.read.parquet(f"{path}/vectors")
     except AnalysisException:
         vectors = None
-    found = spark.read.parquet(f"{path}/postings")
-    stemmed = bool(found.where("col like '%_stem'").take(1))
-    return Index(spark.read.parquet(f"{path}/chunks"), found, spark.read.parquet(f"{path}/lens"), spark.read.parquet(f"{path}/stats"), vectors, stemmed)
+    found, stats = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats")
+    if "stemmed" in stats.columns:
+        row = stats.select("stemmed").first()
+        stemmed = bool(row and row[0])
+    else:  # an index of before the flag was stored
+        stemmed = bool(found.where("col like '%_stem'").take(1))
+    return Index(spark.read.parquet(f"{path}/chunks"), found, spark.read.parquet(f"{path}/lens"), stats.drop("stemmed"), vectors, stemmed)

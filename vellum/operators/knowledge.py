@@ -82,6 +82,14 @@ def render_syntheses(syntheses: DataFrame) -> DataFrame:
     return rules.parse(syntheses, "synthesis", rules.SYNTHESIS).select("book_id", body.alias("markdown"))
 
 
+def render_book(cards: DataFrame, syntheses: DataFrame) -> DataFrame:
+    """(book_id, markdown): a book's rendered cards by chapter, and its synthesis last. cards and syntheses are rendered."""
+    rows = cards.select("book_id", F.lit(0).alias("last"), F.length("chapter_id").alias("size"), "chapter_id", "markdown")
+    rows = rows.unionByName(syntheses.select("book_id", F.lit(1).alias("last"), F.lit(0).alias("size"), F.lit("").alias("chapter_id"), "markdown"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("last", "size", "chapter_id", "markdown"))), lambda s: s["markdown"])
+    return rows.groupBy("book_id").agg(F.array_join(ordered, "\n").alias("markdown"))
+
+
 #: Names by which an analysis's parts are asked for: fixed values.
 SECTIONS = {"00": "tesi_centrale", "tesi": "tesi_centrale", "01": "mappa", "02": "formula", "riassunto": "formula", "03": "argomentazione", "04": "concetti_globali", "concetti": "concetti_globali", "05": "concetti_globali", "glossario": "concetti_globali", "06": "domande_profonde", "domande": "domande_profonde", "07": "limiti", "critiche": "limiti", "08": "collegamenti_esterni", "collegamenti": "collegamenti_esterni"}
 

@@ -13,6 +13,8 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 RRF, TOP_K, FETCH, CONTEXT = 60, 8, 3, 14_000
 #: Words of questions are broadcast up to so many rows, counted first; beyond, they are shuffled.
 ASKED = 100_000
+#: Question vectors that meet a vector at once, and blocks of them that are broadcast.
+BLOCK, BLOCKS = 1024, 64
 #: Scores are ranked at this many decimals, so that the order of a sum doesn't decide.
 DECIMALS = 10
 
@@ -80,12 +82,15 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 
 
 def dense(vectors: DataFrame, question_vectors: DataFrame, k: int) -> DataFrame:
-    """(query_id, book_id, chunk_id, cosine, rank) of unit vectors. Questions are few: they go to every task as one array.
+    """(query_id, book_id, chunk_id, cosine, rank) of unit vectors, each against all questions in blocks of BLOCK.
 
-    Each task keeps its own k best a question before anything is shuffled.
+    Blocks are broadcast if there are BLOCKS of them at most. Each task keeps its own k best a question before anything
+    is shuffled.
     """
-    asked = question_vectors.agg(F.collect_list(F.struct("query_id", F.col("vector").alias("qv"))).alias("asked"))
-    rows = vectors.join(F.broadcast(asked)).select("book_id", "chunk_id", "vector", F.explode("asked").alias("q"))
+    n = -(-question_vectors.count() // BLOCK)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, n)))
+    asked = question_vectors.groupBy(block.alias("block")).agg(F.collect_list(F.struct("query_id", F.col("vector").alias("qv"))).alias("asked")).select("asked")
+    rows = vectors.crossJoin(F.broadcast(asked) if n <= BLOCKS else asked).select("book_id", "chunk_id", "vector", F.explode("asked").alias("q"))
     rows = rows.select(F.col("q.query_id").alias("query_id"), "book_id", "chunk_id", cosine("vector", F.col("q.qv")).alias("cosine"))
     return ranked(rows, "cosine", k)
 

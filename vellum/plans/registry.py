@@ -583,6 +583,25 @@ def html_markdown(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", html.markdown_notes_udf("html").alias("m")).select("page_id", "m.text", F.size("m.notes").alias("n_notes"))
 
 
+_ONE_LINE = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+_TWO_LINES = "list_filter(string_split(coalesce(text, ''), chr(10)), lambda z: trim(z) <> '')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, coalesce(source, '?') AS source, coalesce(lang, '?') AS lang, {_TWO_LINES} AS ls FROM documents),
+t AS (SELECT *, {_ONE_LINE.format("coalesce(ls[1], 'none')")} AS one, {_ONE_LINE.format("coalesce(ls[2], 'none')")} AS two FROM d)
+SELECT doc_id, md5(array_to_string(list_filter(['# Document ' || doc_id, one || '^2', CASE WHEN doc_id > 9999 THEN CAST(doc_id AS VARCHAR) ELSE '' END, '- ' || source, '| lang | n |' || chr(10) || '|---|---|' || chr(10) || '| ' || lang || ' | |',
+  CASE WHEN regexp_full_match(two, '[\\divxlcdmIVXLCDM]{{1,4}}[.):]?') THEN '' ELSE two END, 'See [n.7]'], lambda z: z <> ''), chr(10) || chr(10))) AS text_md5, 'note ' || source AS note FROM t""")
+def html_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as HTML, with a script, a superscript, a numeral, a list, a table, a quotation and a note, and read back."""
+    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines = F.filter(T.lines(F.coalesce("text", F.lit(""))), lambda l: T.strip(l) != "")
+    line = lambda i: escaped(F.coalesce(F.get(lines, F.lit(i)), F.lit("none")))
+    source, name = escaped(F.coalesce("source", F.lit("?"))), F.col("doc_id").cast("string")
+    made = F.concat(F.lit("<html><head><style>p {}</style></head><body><h1>Document "), name, F.lit("</h1><script>var a = '<p>';</script><p>"), line(0), F.lit("<sup>2</sup></p><p>"), name, F.lit("</p><ul><li>"), source, F.lit("</li></ul><table><tr><th>lang</th><th>n</th></tr><tr><td>"), escaped(F.coalesce("lang", F.lit("?"))), F.lit("</td></tr><tr><td> </td></tr></table><blockquote><p>"), line(1), F.lit('</p></blockquote><p>See<sup><a href="#n">7</a></sup></p><div id="n">note '), source, F.lit("</div></body></html>"))
+    read = table(spark, d, "documents").select("doc_id", html.markdown_notes_udf(made).alias("m"))
+    return read.select("doc_id", F.md5(F.col("m.text").cast("binary")).alias("text_md5"), F.col("m.notes")[0]["text"].alias("note"))
+
+
 @query(f"""SELECT {_BOOK} AS book_id, 'canonical/chapters/' || lpad(CAST(doc_id AS VARCHAR), CAST(greatest(3, length(CAST(doc_id AS VARCHAR))) AS INTEGER), '0') || '_untitled.md' AS path, 'sha256:' || sha256(replace(coalesce(text, ''), chr(10), chr(10) || chr(10))) AS hash FROM documents""")
 def manifest_files(spark: SparkSession, d: str) -> DataFrame:
     found = segment.with_ids(as_chapters(spark, d))

@@ -6,9 +6,11 @@ Text formats stay in the JVM; containers and markup are parsed in pandas UDFs ov
 from __future__ import annotations
 
 import io
+import json
 import posixpath
 import re
 import zipfile
+from collections.abc import Callable
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import html
+from ..operators import pages
 
 PLAIN, MARKUP = ("txt", "md", "markdown"), ("html", "htm")
 SCHEMA = StructType([StructField("text", StringType()), StructField("notes", html.NOTES), *[StructField(n, StringType()) for n in ("title", "author", "error")]])
@@ -81,8 +84,6 @@ def convert(suffix: str, data: bytes) -> dict:
             out["text"] = docx_text(data)
         elif suffix == "epub":
             out["text"], out["notes"], out["title"], out["author"] = epub_text(data)
-        elif suffix == "pdf":
-            out["text"] = pdf_text(data)
         elif suffix in ("mobi", "azw3"):
             raise ConversionError("convert it to epub first")
         else:
@@ -101,43 +102,91 @@ def pdf_pages(data: bytes) -> list[str]:
     return [p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages]
 
 
-def pdf_text(data: bytes) -> str:
-    text = html.normalize("\n\n".join(pdf_pages(data)))
-    if not text:
-        raise ConversionError("the PDF has no text and needs OCR")
-    return text
-
-
 @F.pandas_udf(SCHEMA)
 def convert_udf(suffix: pd.Series, content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([convert(s, bytes(c)) for s, c in zip(suffix, content, strict=True)], columns=["text", "notes", "title", "author", "error"])
 
 
-def read_documents(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """(path, book_id, text, notes, title, author, error) of all files below path. strict: a document in error fails the job."""
+_NAME = "([^/]+?)(\\.[^./]+)?$"
+
+
+def read_documents(spark: SparkSession, path: str, strict: bool = False, pdf: Callable[[bytes], list[str]] = pdf_pages) -> DataFrame:
+    """(path, book_id, text, notes, title, author, error) of all files below path. strict: a document in error fails the job.
+
+    A PDF's text is that of its cleaned pages (see ``read_pdf``).
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    suffix = F.lower(F.regexp_extract("path", "\\.([^./]+)$", 1))
-    rows = files.select("path", F.regexp_extract("path", "([^/]+?)(\\.[^./]+)?$", 1).alias("book_id"), convert_udf(suffix, "content").alias("d")).select("path", "book_id", "d.*")
+    files = files.where(~F.lower("path").rlike(METADATA)).withColumn("suffix", F.lower(F.regexp_extract("path", "\\.([^./]+)$", 1)))
+    rows = files.where("suffix <> 'pdf'").select("path", F.regexp_extract("path", _NAME, 1).alias("book_id"), convert_udf("suffix", "content").alias("d")).select("path", "book_id", "d.*")
+    raw = read_pdf_pages(spark, path, pdf)
+    texts = pages.book_text(pages.clean_pages(raw.where("error is null").select("book_id", "page_number", "text")))
+    found = raw.groupBy("path", "book_id").agg(F.max("error").alias("error")).join(texts, "book_id", "left")
+    error = F.coalesce("error", F.when(F.col("text").isNull(), "ConversionError: the PDF has no text and needs OCR"))
+    rows = rows.unionByName(found.select("path", "book_id", "text", F.array().cast(html.NOTES).alias("notes"), *[F.lit(None).cast("string").alias(c) for c in ("title", "author")], error.alias("error")))
     if strict:
         rows = rows.withColumn("text", F.when(F.col("error").isNotNull(), F.raise_error(F.concat("path", F.lit(": "), "error"))).otherwise(F.col("text")))
     return rows
 
 
-def read_pdf_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(book_id, page_number, text) of raw PDF pages, for the page operators."""
+def read_pdf_pages(spark: SparkSession, path: str, pdf: Callable[[bytes], list[str]] = pdf_pages) -> DataFrame:
+    """(path, book_id, page_number, text, error) of raw PDF pages, for the page operators; a file that can't be read is one row with its error."""
+
+    @F.pandas_udf("struct<pages:array<string>,error:string>")
+    def run(content: pd.Series) -> pd.DataFrame:
+        out = []
+        for c in content:
+            try:
+                out.append((pdf(bytes(c)) or [""], None))
+            except Exception as e:  # one broken document must not end the others' job
+                out.append(([""], f"{type(e).__name__}: {e}"[:1000]))
+        return pd.DataFrame(out, columns=["pages", "error"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.lower("path").endswith(".pdf"))
+    rows = files.select("path", F.regexp_extract("path", _NAME, 1).alias("book_id"), run("content").alias("d"))
+    rows = rows.select("path", "book_id", F.posexplode("d.pages").alias("pos", "text"), F.col("d.error").alias("error"))
+    return rows.select("path", "book_id", (F.col("pos") + 1).alias("page_number"), "text", "error")
+
+
+def read_pdf_offsets(spark: SparkSession, path: str, pdf: Callable[[bytes], list[str]] = pdf_pages) -> DataFrame:
+    """(book_id, offset, page): where each page of the PDFs below path begins in the text that ``read_documents`` gives."""
+    raw = read_pdf_pages(spark, path, pdf).where("error is null")
+    return pages.page_offsets(pages.clean_pages(raw.select("book_id", "page_number", "text")))
+
 
-    @F.pandas_udf("array<string>")
-    def pages(content: pd.Series) -> pd.Series:
-        return content.map(lambda c: pdf_pages(bytes(c)))
+#: Files beside a document that say what its book is: NAME.meta.yaml or .json.
+METADATA = "\\.meta\\.(ya?ml|json)$"
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path)
-    rows = files.select(F.regexp_extract("path", "([^/]+?)(\\.[^./]+)?$", 1).alias("book_id"), F.posexplode(pages("content")).alias("pos", "text"))
-    return rows.select("book_id", (F.col("pos") + 1).alias("page_number"), "text")
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """(book_id, title, author, language) of the metadata files below path: JSON objects, or lines "key: value". What can't be read is null."""
+
+    @F.pandas_udf("struct<title:string,author:string,language:string>")
+    def run(content: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([metadata(bytes(c)) for c in content], columns=["title", "author", "language"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.lower("path").rlike(METADATA))
+    return files.select(F.regexp_extract("path", "([^/]+?)\\.meta\\.[^./]+$", 1).alias("book_id"), run("content").alias("d")).select("book_id", "d.*")
+
+
+def metadata(data: bytes) -> dict[str, str | None]:
+    text = data.decode("utf-8", "ignore")
+    try:
+        found = json.loads(text)
+    except ValueError:
+        found = dict(m.groups() for m in re.finditer(r"(?m)^(\w+)\s*:[ \t]*[\"']?(.*?)[\"']?\s*$", text))
+    found = found if isinstance(found, dict) else {}
+    return {k: str(found[k]) if found.get(k) not in (None, "") else None for k in ("title", "author", "language")}
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of whole text files, in the JVM; bytes that aren't UTF-8 stay as they are."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    """(path, text) of whole text files; bytes that aren't UTF-8 are left out."""
+
+    @F.pandas_udf("string")
+    def run(content: pd.Series) -> pd.Series:
+        return content.map(lambda c: bytes(c).decode("utf-8", "ignore"))
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", run("content").alias("text"))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:

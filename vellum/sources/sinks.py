@@ -16,7 +16,7 @@ def write_jsonl(df: DataFrame, path: str, order: list[str] | None = None) -> Non
 
 
 def write_table(df: DataFrame, path: str, force: bool = False) -> None:
-    """A table partitioned by book_id. Without force a book that is there already is an error; with it, only the books in df are replaced."""
+    """A table partitioned by book_id, a file or few a book. Without force a book that is there already is an error; with it, only the books in df are replaced."""
     spark = df.sparkSession
     mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
@@ -30,7 +30,7 @@ def write_table(df: DataFrame, path: str, force: bool = False) -> None:
                 have = None
             if have is not None and (clash := df.select("book_id").distinct().join(have, "book_id", "left_semi").take(1)):
                 raise FileExistsError(f"book {clash[0][0]} is in {path}")
-        df.write.mode("overwrite" if force else "append").partitionBy("book_id").parquet(path)
+        df.repartition("book_id").write.mode("overwrite" if force else "append").partitionBy("book_id").parquet(path)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
 
