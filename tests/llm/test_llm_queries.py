@@ -56,6 +56,19 @@ def test_shards(spark, data, duck):
     assert len(sizes) == 24 and sizes.max() <= max(1.1 * sizes.mean(), got["size"].max() + sizes.mean() * 0.1)
 
 
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01", "sf0.1"])
+def test_equal_texts_share_a_shard(spark, scale):
+    """Of every size; bytes are even where a shard's share is large beside a document."""
+    from pyspark.sql import functions as F
+
+    d = f"/root/testdata/{scale}"
+    texts = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
+    got = queries.QUERIES["op6_shard"](spark, d).join(texts, "doc_id").select("shard", "size", "sha").toPandas()
+    assert (got.groupby("sha")["shard"].nunique() == 1).all()
+    sizes = got.groupby("shard")["size"].sum()
+    assert len(sizes) == 24 and (scale == "sf0.001" or sizes.max() - sizes.min() <= 0.02 * sizes.mean())
+
+
 def test_warc_digest(spark, data, duck):
     pages = dict(duck.sql("SELECT page_id, coalesce(html, '') FROM pages").fetchall())
     for r in queries.QUERIES["op7_warc"](spark, data).collect():

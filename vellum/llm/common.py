@@ -54,26 +54,25 @@ def materialize(df: DataFrame, name: str, large_rows: bool = False, compression:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(keep: DataFrame | None = None) -> None:
-    """Delete the tables that ``materialize`` wrote, but for those that ``keep`` reads.
+def written() -> list[str]:
+    """The paths of the tables that ``materialize`` wrote and nothing has deleted."""
+    return [path for _, path in _written]
 
-    Call it once no other result that reads them is needed. A table that can't be deleted now is left to the end of
-    the application.
+
+def release(paths: list[str] | None = None, keep: DataFrame | None = None) -> None:
+    """Delete tables that ``materialize`` wrote, all of them or those at ``paths``, but for what ``keep`` reads.
+
+    Call it once no other result that reads them is needed.
     """
-    read = {f"/{part}/" for f in (keep.inputFiles() if keep is not None else []) for part in f.split("/")[-2:-1]}
-    left = []
-    while _written:
-        spark, path = _written.pop()
+    read = {f"/{f.split('/')[-2]}/" for f in (keep.inputFiles() if keep is not None else [])}
+    gone = [x for x in _written if (paths is None or x[1] in paths) and not any(r in f"{x[1]}/" for r in read)]
+    for spark, path in gone:
+        _written.remove((spark, path))
         try:
-            if any(r in f"{path}/" for r in read):
-                left.append((spark, path))
-                continue
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # the application has ended already
-            break
-    _written.extend(left)
+            return
 
 
 def trim() -> None:
