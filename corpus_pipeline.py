@@ -1,7 +1,7 @@
 """From documents to packed training sequences, in stages that each call one operator of ``vellum.llm``.
 
 A stage takes (spark, docs, sf_dir) and returns a table; all but the last return the columns of documents. docs is a
-stored table, so what the stages before stored on the way is deleted when a stage begins. Nulls, empty texts, repeated
+stored table, so what the stage before stored on the way is deleted when the next begins. Nulls, empty texts, repeated
 rows and empty tables are treated as each operator's docstring says. Columns beyond doc_id, text, lang and source may
 have any name and type: they travel in one column that no operator knows.
 """
@@ -19,12 +19,24 @@ from vellum.llm import common, exact_dedup, mixing, ngram_join, packing, quality
 KNOWN = ("doc_id", "text", "lang", "source")
 
 
+#: Paths of what the last stage stored on the way.
+_stored: list[str] = []
+
+
+def _call(docs: DataFrame, run: Callable[[], DataFrame]) -> DataFrame:
+    common.release(_stored, keep=docs)
+    before = set(common.written())
+    out = run()
+    _stored[:] = [p for p in common.written() if p not in before]
+    return out
+
+
 def _through(docs: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The columns of ``docs`` of the rows that ``run`` returns."""
-    common.release(keep=docs)
     rest = [c for c in docs.columns if c not in KNOWN]
     known = [c for c in docs.columns if c in KNOWN]
-    out = run(docs.select(*known, *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_vl_rest")] if rest else [])))
+    packed = docs.select(*known, *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_vl_rest")] if rest else []))
+    out = _call(docs, lambda: run(packed))
     return out.select(*[F.col("_vl_rest").getField(c).alias(c) if c in rest else F.col(c) for c in docs.columns])
 
 
@@ -51,8 +63,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences; a document that is there twice is packed twice."""
-    common.release(keep=docs)
-    return packing.pack_documents(docs.select("doc_id", "text"), keep_ids=False)
+    return _call(docs, lambda: packing.pack_documents(docs.select("doc_id", "text"), keep_ids=False))
 
 
 STAGES = [("quality classifier", quality_stage), ("exact dedup", exact_stage), ("n-gram jaccard join", near_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
@@ -61,9 +72,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = common.materialize(docs, f"stage-{k}")
+            before, docs = set(common.written()), common.materialize(docs, f"stage-{k}")
+            common.release(last)
+            last = [p for p in common.written() if p not in before]
     return docs
