@@ -70,7 +70,7 @@ def pack_rows(batches: list[pa.RecordBatch]) -> bytes:
 
 def rows_of(body) -> pa.Table:
     """The rows of a block, and the text column ``_vl_text`` among them."""
-    return pa.ipc.open_stream(body.as_buffer() if isinstance(body, pa.Scalar) else body).read_all()
+    return pa.ipc.open_stream(body.as_buffer() if isinstance(body, pa.Scalar) else body).read_all().combine_chunks()
 
 
 def text_bytes(column: pa.Array) -> np.ndarray:

@@ -76,22 +76,30 @@ def release(paths: list[str] | None = None, keep: DataFrame | None = None) -> No
 
 
 def trim() -> None:
-    """Give memory that a Python worker no longer uses back to the machine; workers idle between stages and would hold it."""
+    """Give memory that a Python worker no longer uses back to the machine; workers idle between stages and would hold it.
+
+    The first call in a worker also makes large arrays, numpy's and Arrow's, blocks of their own, which go back as soon
+    as they are freed; else the allocators keep them for later.
+    """
+    global _libc, _pools
     import pyarrow as pa
 
-    global _libc
-    pa.default_memory_pool().release_unused()
     if _libc is None:
+        _pools = [pa.default_memory_pool(), pa.system_memory_pool()]
+        pa.set_memory_pool(_pools[1])
         try:
             _libc = ctypes.CDLL("libc.so.6")
-            _libc.malloc_trim  # noqa: B018
+            _libc.mallopt(M_MMAP_THRESHOLD, 1 << 18)
         except (OSError, AttributeError):  # another C library
             _libc = False
+    for pool in _pools:
+        pool.release_unused()
     if _libc:
         _libc.malloc_trim(0)
 
 
-_libc = None
+M_MMAP_THRESHOLD = -3
+_libc, _pools = None, []
 
 
 atexit.register(release)
@@ -146,6 +154,14 @@ def positions(rows: DataFrame, group: list[str], block: list[str], order: list[C
     return rows.withColumn("_vl_rn", inside).join(starts, [*group, *block]).withColumn(out, F.col("_vl_start") + F.col("_vl_rn")).drop("_vl_start", "_vl_rn")
 
 
+#: Bits of a bitmap: 16 a key, up to 128 MB.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
+
+
+def bits_for(keys: int, most: int = MOST_BITS) -> int:
+    return min(most, max(LEAST_BITS, 1 << (16 * keys).bit_length()))
+
+
 def bitmap(hashes: DataFrame, column: str, bits: int) -> DataFrame:
     """A bitmap of ``bits`` bits in rows of 4 KiB: at most bits / 8 bytes whatever the input holds, so it can be broadcast."""
     b = F.pmod(F.col(column), F.lit(bits))
@@ -161,3 +177,12 @@ def in_bitmap(rows: DataFrame, column: str, bits: DataFrame, n_bits: int, out: s
     byte = F.conv(F.hex(F.substring(F.col("_vl_bits"), F.shiftright(F.col("_vl_at"), 3) + 1, F.lit(1))), 16, 10).cast("int")
     bit = F.call_function("shiftright", byte, F.col("_vl_at").bitwiseAND(F.lit(7))).bitwiseAND(F.lit(1))
     return rows.withColumn(out, F.coalesce(bit == 1, F.lit(False))).drop("_vl_row", "_vl_at", "_vl_bits")
+
+
+def not_among(rows: DataFrame, key: Column, gone: DataFrame, column: str) -> DataFrame:
+    """The rows whose key isn't in ``gone`` (a stored table); a null key never is. Rows that a bitmap rules out aren't shuffled."""
+    n = bits_for(gone.count())
+    bits = bitmap(gone.select(F.xxhash64(column).alias("_vl_k")), "_vl_k", n)
+    flagged = in_bitmap(rows.withColumn("_vl_k", F.xxhash64(key)), "_vl_k", bits, n, "_vl_in").drop("_vl_k")
+    maybe = flagged.where("_vl_in").join(gone, key == F.col(column), "left_anti")
+    return flagged.where("not _vl_in").unionByName(maybe).drop("_vl_in")

@@ -12,15 +12,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Bits of a bitmap: 16 a repeated key, up to 128 MB.
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
-
-
-def _bits(keys: int, most: int) -> int:
-    return min(most, max(LEAST_BITS, 1 << (16 * keys).bit_length()))
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 128, most_bits: int = MOST_BITS, digest: bool = False) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 128, most_bits: int = C.MOST_BITS, digest: bool = False) -> DataFrame:
     """All rows and columns of ``docs`` with keep_id, group_size and kept; of equal texts the row with the largest id stays.
 
     Null text equals empty text. Null ids are smallest. Among rows that share text and largest id (repeated rows), one
@@ -34,7 +26,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def repeated(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
         keys = C.materialize(rows.groupBy("_vl_k").count().where("count > 1").select("_vl_k"), name)
-        bits = _bits(keys.count(), most_bits)
+        bits = C.bits_for(keys.count(), most_bits)
         return C.bitmap(keys, "_vl_k", bits), bits
 
     by_len, n_len = repeated(docs.select(F.xxhash64(length).alias("_vl_k")), "exact-lengths")

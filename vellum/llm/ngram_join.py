@@ -356,8 +356,8 @@ def linked_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are the first (smallest id) of their component; rows with a null id stay."""
     found = C.materialize(near_duplicates(docs, id_col, text_col, links=False), "near-duplicates")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_vl_gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_vl_gone"), "left_anti")
+    gone = C.materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_vl_gone")).distinct(), "near-gone")
+    return C.not_among(docs, F.col(f"`{id_col}`").cast("long"), gone, "_vl_gone")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

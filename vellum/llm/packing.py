@@ -111,7 +111,7 @@ def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     little-endian unsigned 32-bit integers, else null.
     """
     path = path or tokens.default_path()
-    C.bounded_batches(docs.sparkSession)
+    C.bounded_batches(docs.sparkSession, "2m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(path)

@@ -240,13 +240,14 @@ def train(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, shard
     return model.select("shard", "keys", "counts"), Lower(three["k"].to_numpy(np.int64), three["n"].to_numpy(np.int64), off)
 
 
-def score(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+def score(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All rows and columns of ``docs`` with bits_per_byte (null for null and empty texts): log2 of the perplexity.
 
     Each byte's log is rounded to 1 / FINE bits. trusted: a table with the doc_id of every trusted document. An input column named as the output is replaced.
+    block_bytes: smaller blocks take less memory and ask for more n-grams.
     """
     docs = C.without(docs, "bits_per_byte")
-    blocks = B.sized(B.into_blocks(docs, text_col, BLOCK_BYTES, name="quality-blocks"), SHARD_BYTES, MOST_SHARDS)
+    blocks = B.sized(B.into_blocks(docs, text_col, block_bytes, name="quality-blocks"), SHARD_BYTES, MOST_SHARDS)
     shards = min(blocks.shards, MOST_SHARDS)
     model, lower = train(docs, trusted, id_col, text_col, shards)
 
@@ -328,7 +329,7 @@ def thresholds(scored: DataFrame, trusted: DataFrame, id_col: str, lang_col: str
     return counts.select("_vl_lang").distinct().join(own, "_vl_lang", "left").select("_vl_lang", F.coalesce("limit", pooled).alias("limit"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, keep_text: bool = True) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, keep_text: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All rows and columns of ``docs`` with bits_per_byte, perplexity, limit (of the language, in bits) and keep.
 
     labels: doc_id, quality, toxic. Rows over their language's limit are rejected. Null and empty texts have no
@@ -340,7 +341,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     docs = C.without(docs, "bits_per_byte", "perplexity", "limit", "keep")
     trusted = trusted_ids(labels).withColumn("held_out", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) == 0)
     trusted = C.materialize(trusted, "trusted")
-    scored = C.materialize(score(docs, trusted.where("not held_out"), id_col, text_col, keep_text), "scored", compression="zstd")
+    scored = C.materialize(score(docs, trusted.where("not held_out"), id_col, text_col, keep_text, block_bytes), "scored", compression="zstd")
     limits = C.materialize(thresholds(scored, trusted, id_col, lang_col, quantile), "limits").withColumn("_vl_n", F.lit(1))
     out = C.attach(scored.withColumn("_vl_lang", lang_key(lang_col)), limits, ["_vl_lang"], "_vl_n", F.col(f"`{id_col}`").cast("string"))
     keep = F.coalesce(F.col("bits_per_byte") <= F.col("limit"), F.lit(True))

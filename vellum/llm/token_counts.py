@@ -32,7 +32,7 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     vocabulary with an id over 65535 ends in an error, as such ids would wrap.
     """
     spark, path = docs.sparkSession, path or tokens.default_path()
-    C.bounded_batches(spark)
+    C.bounded_batches(spark, "2m")
     kind = docs.select(id_col).schema[0].dataType
     if separator > 0xFFFF:
         raise ValueError("ids over 65535 don't fit into 16 bits")
