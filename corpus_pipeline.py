@@ -19,6 +19,8 @@ from vellum.llm import common, exact_dedup, mixing, ngram_join, packing, quality
 KNOWN = ("doc_id", "text", "lang", "source")
 
 
+#: Blocks of the classifier: smaller than its own, as its rows carry their texts here and later stages share its executors.
+BLOCK_BYTES = 12 << 20
 #: Paths of what the last stage stored on the way.
 _stored: list[str] = []
 
@@ -43,7 +45,7 @@ def _through(docs: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFram
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject; null and empty texts stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _through(docs, lambda d: quality.classify(d, labels).where("keep"))
+    return _through(docs, lambda d: quality.classify(d, labels, block_bytes=BLOCK_BYTES).where("keep"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
