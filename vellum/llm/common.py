@@ -89,7 +89,7 @@ def trim() -> None:
         pa.set_memory_pool(_pools[1])
         try:
             _libc = ctypes.CDLL("libc.so.6")
-            _libc.mallopt(M_MMAP_THRESHOLD, 1 << 18)
+            _libc.mallopt(M_MMAP_THRESHOLD, 1 << 22)
         except (OSError, AttributeError):  # another C library
             _libc = False
     for pool in _pools:
