@@ -85,3 +85,15 @@ def test_html_writes_each_text_once():
     assert text == "x [n.1] y [n.2] z" and notes == [{"ref": "1", "text": "see ^a"}, {"ref": "2", "text": ""}]
     text, notes = html.markdown('<p>x<sup><a href="#me">1</a></sup></p><div id="me"><p>note<sup><a href="#no">9</a></sup></p></div>')
     assert text == "x [n.1]" and [n["ref"] for n in notes] == ["1"]
+
+
+def test_long_texts(spark):
+    """Long runs of blanks, marks and blank lines, whose cost must not grow with their square."""
+    texts = [" " * 200_000 + "x" + " \t\n" * 70_000 + "y", "-" * 100_000 + "é a" * 70 + "!" * 100_000, "\n# \n" * 50_000 + "##  last \x1f" + "z" * 130, "\u2003" * 100_000, "a" * 81 + "-b", 'a"b (c)\u3000\x85d^' * 3]
+    rows = spark.createDataFrame([(s,) for s in texts], "s string")
+    got = rows.select("s", T.strip("s"), T.normalize_whitespace("s"), T.slugify("s"), T.first_line("s", "none"), T.norm_anchor("s"), T.sanitize_query("s"), T.excerpt("s")).collect()
+    for r in got:
+        s = r["s"]
+        quoted = " OR ".join(f'"{w}"' for w in re.sub(r'["():^*\\]', " ", s).split())
+        cut = s.replace("\n", " ")
+        assert list(r)[1:] == [s.strip(), normalized(s), slug(s), first(s), re.sub(r"\s+", " ", ascii_of(s).lower()).strip(), quoted, cut if len(cut) <= 220 else cut[:220] + "..."]

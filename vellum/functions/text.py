@@ -6,9 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as Unicode has it, and the separators that only Python's strip() takes.
-_EDGE = "(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$"
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_ODD = "[\\t-\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+_SPACE = f"[ {_ODD[1:]}"
 #: Line ends as str.splitlines() has them.
 LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
+#: What a full-text query reads as syntax.
+_SYNTAX = '["():^*\\\\]'
 
 
 def col(x: Column | str) -> Column:
@@ -16,14 +20,13 @@ def col(x: Column | str) -> Column:
 
 
 def strip(x: Column | str) -> Column:
-    return F.regexp_replace(col(x), _EDGE, "")
+    return F.btrim(col(x), F.lit(SPACES))
 
 
 def normalize_whitespace(x: Column | str) -> Column:
     """Line ends to LF, runs of blanks and tabs to one blank, four or more LF to three, ends stripped."""
-    x = F.regexp_replace(col(x), "\\r\\n?", "\n")
-    x = F.regexp_replace(x, "[ \\t]+", " ")
-    return strip(F.regexp_replace(x, "\\n{4,}", "\n\n\n"))
+    x = F.replace(F.replace(F.replace(col(x), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), F.lit("\t"), F.lit(" "))
+    return strip(F.regexp_replace(F.regexp_replace(x, "  +", " "), "\n\n\n\n+", "\n\n\n"))
 
 
 def decompose(x: Column | str, compatible: bool) -> Column:
@@ -37,8 +40,10 @@ def to_ascii(x: Column | str) -> Column:
 
 
 def slugify(x: Column | str, max_len: int = 80) -> Column:
-    x = F.lower(F.regexp_replace(F.regexp_replace(to_ascii(x), "[^a-zA-Z0-9]+", "_"), "^_+|_+$", ""))
-    return F.coalesce(F.nullif(F.regexp_replace(F.left(x, F.lit(max_len)), "^_+|_+$", ""), F.lit("")), F.lit("untitled"))
+    # as many letters and digits as the result may have and one more, so that not all of a long text is rewritten
+    x = F.regexp_extract(to_ascii(x), f"\\A[^a-zA-Z0-9]*+((?:[a-zA-Z0-9][^a-zA-Z0-9]*+){{0,{max_len + 1}}}+)", 1)
+    x = F.lower(F.regexp_replace(F.regexp_replace(x, "[^a-zA-Z0-9]+", "_"), "^_+|_+$", ""))
+    return F.regexp_replace(F.regexp_replace(F.left(x, F.lit(max_len)), "^_+|_+$", ""), "\\A\\z", "untitled")
 
 
 def chapter_file_name(order: Column | str, title: Column | str) -> Column:
@@ -53,13 +58,15 @@ def lines(x: Column | str) -> Column:
 
 def first_line(x: Column | str, fallback: str) -> Column:
     """The first line that isn't blank or only number signs, at most 120 characters."""
-    kept = F.filter(F.transform(lines(x), lambda l: strip(F.regexp_replace(strip(l), "^#+", ""))), lambda l: l != "")
-    return F.coalesce(F.left(F.get(kept, F.lit(0)), F.lit(120)), F.lit(fallback))
+    ends = LINE_END.partition("[")[2][:-1]
+    blank = f"[{_SPACE}&&[^{ends}]]"
+    line = strip(F.regexp_extract(col(x), f"(?:\\A|[{ends}]){blank}*+#*+{blank}*+([^{ends}]++)", 1))
+    return F.coalesce(F.left(F.nullif(line, F.lit("")), F.lit(120)), F.lit(fallback))
 
 
 def norm_anchor(x: Column | str) -> Column:
     """The form in which quotations are compared: ASCII, lower case, single blanks."""
-    return F.trim(F.regexp_replace(F.lower(to_ascii(x)), "[\\s\\x0b\\x1c-\\x1f]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(to_ascii(x)), "[\\t-\\r\\x1c-\\x1f]", " "), "  +", " "))
 
 
 def dehyphenate(x: Column | str) -> Column:
@@ -78,17 +85,20 @@ def is_numeral(x: Column | str) -> Column:
 
 def query_tokens(x: Column | str) -> Column:
     """A question's words, without what a full-text query would read as syntax."""
-    x = F.regexp_replace(F.coalesce(col(x), F.lit("")), '["():^*\\\\]', " ")
-    return F.filter(F.split(x, "(?U)[\\s\\x1c-\\x1f]+"), lambda t: t != "")
+    x = F.regexp_replace(F.coalesce(col(x), F.lit("")), _SYNTAX, " ")
+    return F.filter(F.split(x, f"{_SPACE}+"), lambda t: t != "")
 
 
 def sanitize_query(x: Column | str) -> Column:
-    return F.array_join(F.transform(query_tokens(x), lambda t: F.concat(F.lit('"'), t, F.lit('"'))), " OR ")
+    x = F.regexp_replace(F.coalesce(col(x), F.lit("")), f"{_SYNTAX}|{_ODD}", " ")
+    quoted = F.concat(F.lit('"'), F.replace(F.trim(F.regexp_replace(x, "  +", " ")), F.lit(" "), F.lit('" OR "')), F.lit('"'))
+    return F.regexp_replace(quoted, '\\A""\\z', "")
 
 
 def excerpt(x: Column | str, size: int = 220) -> Column:
-    x = F.regexp_replace(col(x), "\\n", " ")
-    return F.when(F.length(x) > size, F.concat(F.left(x, F.lit(size)), F.lit("..."))).otherwise(x)
+    x = col(x)
+    head = F.translate(F.left(x, F.lit(size)), "\n", " ")
+    return F.when(F.length(x) > size, F.concat(head, F.lit("..."))).otherwise(head)
 
 
 def sha256_tag(x: Column | str) -> Column:
