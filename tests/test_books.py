@@ -371,3 +371,15 @@ def test_entry_names():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and "bm25_topk" in entry.queries()
+
+
+def test_books_are_cut_in_one_pass(spark):
+    """No shuffle, and the text is marked and cut once, however many columns are read."""
+    books = spark.createDataFrame([(f"b{i}", f"# A {i}\n\n{'x ' * 200}\n\n# B\x85Chapter 1\n{'y ' * 200}\n# Index\nz") for i in range(20)] + [("none", None), ("one", "a\x0bb")], "book_id string, text string")
+    found, dropped = segment.split_chapters(books)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("MapInArrow") == 1
+    got = sorted((r["book_id"], r["ord"], r["title"], r["n_merged"]) for r in found.collect())
+    assert got == sorted([(f"b{i}", n, t, 0) for i in range(20) for n, t in ((1, f"A {i}"), (2, "B"))] + [("none", 1, "Libro completo", 0), ("one", 1, "Libro completo", 0)])
+    assert sorted(r["book_id"] for r in dropped.collect()) == sorted(f"b{i}" for i in range(20))
+    assert {r["text"] for r in found.where("book_id in ('none', 'one')").collect()} == {"", "a\x0bb"}

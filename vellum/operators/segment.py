@@ -1,12 +1,17 @@
-"""Books into chapters: headings, level choice, front matter, dividers and numbering, all by windows over a book's lines.
+"""Books into chapters: headings, level choice, front matter, dividers and numbering.
 
 Input: (book_id, text). Each strategy (headings, spelled-out chapters) yields candidates; a gate accepts or passes on.
 """
 
 from __future__ import annotations
 
+import re
+from statistics import median
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from ..functions import text as T
 
@@ -58,86 +63,141 @@ def choose_level(heads: DataFrame) -> DataFrame:
     return fit.groupBy("book_id").agg(F.coalesce(strict, F.min("level")).alias("level"))
 
 
-def is_divider(text: Column) -> Column:
-    """Under 200 characters and no body line over 80."""
-    body = F.exists(T.lines(text), lambda l: (T.strip(l) != "") & ~l.rlike(HEADING) & (F.length(T.strip(l)) > BODY_LINE))
-    return (F.length(text) < DIVIDER_LEN) & ~body
+def renumber(chapters: DataFrame) -> DataFrame:
+    """Adds ord: 1 and up by seq; what the flag is_preface marks is 0, whatever its title."""
+    intro = F.col("is_preface")
+    n = F.sum(F.when(intro, 0).otherwise(1)).over(Window.partitionBy("book_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    return chapters.withColumn("ord", F.when(intro, F.lit(0)).otherwise(n).cast("int"))
 
 
-def cut(lines: DataFrame, bounds: DataFrame) -> DataFrame:
-    """(book_id, seq, title, text) of the stretches that bounds (book_id, pos, title) open; what is before the first has seq 0."""
-    rows = lines.select("book_id", "pos", "line").join(bounds.select("book_id", "pos", "title"), ["book_id", "pos"], "left")
-    rows = rows.join(bounds.select("book_id").distinct(), "book_id", "left_semi")
-    part = F.count("title").over(Window.partitionBy("book_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("part", part)
-    text = T.strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda s: s["line"]), "\n"))
-    parts = rows.groupBy("book_id", "part").agg(F.max("title").alias("title"), text.alias("text"))
-    seq = F.when(F.col("part") == 0, F.lit(0)).otherwise(F.col("part") + 1).cast("int")
-    return parts.select("book_id", seq.alias("seq"), F.coalesce("title", F.lit(PREFACE)).alias("title"), "text", (F.col("part") == 0).alias("is_preface"))
+def with_ids(chapters: DataFrame) -> DataFrame:
+    """Adds chapter_id, file and hash."""
+    return chapters.withColumns({"chapter_id": F.format_string("ch%03d", F.col("ord")), "file": T.chapter_file_name("ord", "title"), "hash": T.sha256_tag("text")})
 
 
-def split_front_matter(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(kept, dropped): short prefaces are neither; titles of front and back matter are dropped."""
-    front = ~F.col("is_preface") & F.col("title").rlike(FRONT_MATTER)
-    kept = parts.where(~front & (~F.col("is_preface") | (F.length("text") > PREFACE_LEN)))
-    return kept, parts.where(front).select("book_id", "title", "text", "seq")
+_BLANK = "[ \\xa0\\u1680\\u2000-\\u200a\\u202f\\u205f\\u3000]"  # as HEADING's white space within a line of a normalized text
+_HEADING = re.compile(f"{_BLANK}{{0,3}}#{{1,6}}{_BLANK}+.+")
+_ENDS = "[\\x0b\\x0c\\r\\x1c-\\x1e\\x85\\u2028\\u2029]"
+_FOUND = S.StructType([
+    S.StructField("dropped", S.BooleanType()), S.StructField("seq", S.IntegerType()), S.StructField("title", S.StringType()), S.StructField("text", S.StringType()),
+    S.StructField("is_preface", S.BooleanType()), S.StructField("n_merged", S.IntegerType()), S.StructField("ord", S.IntegerType()),
+])
 
 
-def merge_dividers(parts: DataFrame) -> DataFrame:
-    """(book_id, seq, title, text, n_merged): dividers go to the part before them; leading ones to the part after.
+def _divides(text: str) -> bool:
+    """Under 200 characters and no body line over 80."""
+    return len(text) < DIVIDER_LEN and not any(len(x) > BODY_LINE and not _HEADING.match(l) for l in text.splitlines() if (x := l.strip()))
 
-    A part that is no divider opens a group; group 0, the leading dividers, goes to group 1 if it is a divider as a
-    whole and there is a group 1.
-    """
-    w = Window.partitionBy("book_id").orderBy("seq")
-    rows = parts.withColumn("group", F.sum(F.when(is_divider(F.col("text")), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "title", "text", "is_preface")))
-    groups = rows.groupBy("book_id", "group").agg(ordered.alias("members")).withColumn("text", T.strip(F.array_join(F.transform("members", lambda s: s["text"]), "\n\n")))
-    lead = (F.col("group") == 0) & is_divider(F.col("text"))
-    follows = F.lead("group").over(Window.partitionBy("book_id").orderBy("group")).isNotNull()
-    groups = groups.withColumn("into", F.when(lead & follows, F.lit(1)).otherwise(F.col("group")))
-    main = F.max(F.struct("group", F.col("members")[0]["seq"].alias("seq"), F.col("members")[0]["title"].alias("title"), F.col("members")[0]["is_preface"].alias("is_preface")))
-    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group", "text"))), lambda s: s["text"]), "\n\n")
-    out = groups.groupBy("book_id", "into").agg(main.alias("m"), texts.alias("text"), (F.sum(F.size("members")) - 1).cast("int").alias("n_merged"))
-    return out.select("book_id", F.col("m.seq").alias("seq"), F.col("m.title").alias("title"), T.strip("text").alias("text"), F.col("m.is_preface").alias("is_preface"), "n_merged")
 
+def _level(heads: list[dict], total: int) -> int | None:
+    """``choose_level`` of one book."""
+    starts: dict[int, list[int]] = {}
+    for h in heads:
+        starts.setdefault(h["level"], []).append(h["start"])
+    fit = {}
+    for level, at in starts.items():
+        if MIN_SEGMENTS <= len(at) <= MAX_SEGMENTS:
+            fit[level] = median(b - a - 1 for a, b in zip(at, [*at[1:], total]))
+    return min((k for k, m in fit.items() if m >= MIN_MEDIAN), default=min(fit, default=None))
 
-def renumber(chapters: DataFrame) -> DataFrame:
-    """Adds ord: 1 and up by seq; what the flag is_preface marks is 0, whatever its title."""
-    intro = F.col("is_preface")
-    n = F.sum(F.when(intro, 0).otherwise(1)).over(Window.partitionBy("book_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    return chapters.withColumn("ord", F.when(intro, F.lit(0)).otherwise(n).cast("int"))
 
+def _parts(lines: list[str], bounds: list[tuple[int, str, bool]]) -> list[tuple[int, str, str, bool, bool]]:
+    """The stretches of one book that bounds (pos, title, is front matter) open: (seq, title, text, is_preface, is front matter).
 
-def with_ids(chapters: DataFrame) -> DataFrame:
-    """Adds chapter_id, file and hash."""
-    return chapters.withColumns({"chapter_id": F.format_string("ch%03d", F.col("ord")), "file": T.chapter_file_name("ord", "title"), "hash": T.sha256_tag("text")})
+    What is before the first bound has seq 0.
+    """
+    out = [(0, PREFACE, "\n".join(lines[: bounds[0][0]]).strip(), True, False)] if bounds[0][0] else []
+    for i, (pos, title, front) in enumerate(bounds):
+        end = bounds[i + 1][0] if i + 1 < len(bounds) else len(lines)
+        out.append((i + 2, title, "\n".join(lines[pos:end]).strip(), False, front))
+    return out
+
+
+def _merged(parts: list[tuple[int, str, str, bool, bool]]) -> list[tuple[int, str, str, bool, int]]:
+    """(seq, title, text, is_preface, n_merged): dividers go to the part before them; leading ones to the part after.
+
+    A part that is no divider opens a group; leading dividers go to the group after them if they are a divider as a
+    whole and there is such a group.
+    """
+    groups: list[list[tuple]] = []
+    lead = False
+    for p in parts:
+        opens = not _divides(p[2])
+        if opens or not groups:
+            lead = lead or not opens
+            groups.append([])
+        groups[-1].append(p)
+    texts = ["\n\n".join(p[2] for p in g).strip() for g in groups]
+    if lead and len(groups) > 1 and _divides(texts[0]):
+        texts[:2] = ["\n\n".join(texts[:2])]
+        groups[:2] = [[*groups[1], *groups[0]]]
+    return [(g[0][0], g[0][1], t.strip(), g[0][3], len(g) - 1) for g, t in zip(groups, texts)]
+
+
+def _split_book(text: str, marks: list[dict], drop_front_matter: bool) -> tuple[list[tuple], list[tuple]] | None:
+    """(chapters, dropped) of one book by the first strategy that passes its gate; None if neither does."""
+    lines = text.split("\n") if text else []
+    starts, at = [], 0
+    for line in lines:
+        starts.append(at)
+        at += len(line) + 1
+    heads = [m | {"start": starts[m["pos"]]} for m in marks if m["level"] and 1 <= len(m["title"]) <= TITLE_LEN]
+    level = _level(heads, at)
+    spelled = [(m["pos"], m["spelled"], m["spelled_front"]) for m in marks if m["spelled"] is not None]
+    ways = (("headings", [(h["pos"], h["title"], h["front"]) for h in heads if h["level"] == level]), ("spelled", spelled if len(spelled) >= 2 else []))
+    for way, bounds in ways:
+        if not bounds:
+            continue
+        parts = _parts(lines, bounds)
+        front = [p for p in parts if drop_front_matter and p[4]]
+        merged = _merged([p for p in parts if not (drop_front_matter and p[4]) and (not p[3] or len(p[2]) > PREFACE_LEN)])
+        if len(merged) >= 2 or (way == "headings" and any(len(m[2]) >= DIVIDER_LEN for m in merged)):
+            return merged, front
+    return None
 
 
 def split_chapters(books: DataFrame, drop_front_matter: bool = True) -> tuple[DataFrame, DataFrame]:
     """(chapters, dropped): chapters have book_id, seq, ord, chapter_id, title, text, file, hash, n_merged and is_preface.
 
     Headings win if they leave two chapters, or one of 200 characters; else lines such as "Chapter 2" if they leave
-    two; else the book is one chapter.
+    two; else the book is one chapter. A book is cut where its row is, in one pass and without a shuffle: the JVM marks
+    the lines that may open a chapter, a worker chooses the level, cuts and merges.
     """
-    lines = book_lines(books)
-    heads = headings(lines)
-    by_head = heads.join(choose_level(heads), ["book_id", "level"]).select("book_id", "pos", "title")
-    spelled = lines.where(F.col("line").rlike(SPELLED)).select("book_id", "pos", T.strip("line").alias("title"))
-    enough = spelled.groupBy("book_id").count().where("count >= 2")
-    spelled = spelled.join(enough, "book_id", "left_semi")
-    chapters, gone = [], []
-    for way, bounds in (("headings", by_head), ("spelled", spelled)):
-        parts = cut(lines, bounds)
-        kept, dropped = split_front_matter(parts) if drop_front_matter else (parts.where(~F.col("is_preface") | (F.length("text") > PREFACE_LEN)), parts.limit(0).select("book_id", "title", "text", "seq"))
-        merged = merge_dividers(kept)
-        gate = merged.groupBy("book_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("text")).alias("longest"))
-        ok = gate.where((F.col("n") >= 2) | ((F.col("longest") >= DIVIDER_LEN) if way == "headings" else F.lit(False))).select("book_id")
-        chapters.append(merged.join(ok, "book_id", "left_semi"))
-        gone.append(dropped.join(ok, "book_id", "left_semi"))
-    first = chapters[0].select("book_id").distinct()
-    found = chapters[0].unionByName(chapters[1].join(first, "book_id", "left_anti"))
-    dropped = gone[0].unionByName(gone[1].join(first, "book_id", "left_anti"))
-    whole = books.join(found.select("book_id").distinct(), "book_id", "left_anti")
-    whole = whole.select("book_id", F.lit(1).alias("seq"), F.lit(WHOLE_BOOK).alias("title"), T.normalize_whitespace(F.coalesce("text", F.lit(""))).alias("text"), F.lit(False).alias("is_preface"), F.lit(0).alias("n_merged"))
-    return with_ids(renumber(found.unionByName(whole))), dropped
+    books.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")  # books may be long
+    text = T.normalize_whitespace(F.coalesce("text", F.lit("")))
+    rows = books.select("book_id", text.alias("text")).select("book_id", "text", F.regexp_replace("text", _ENDS, "\n").alias("plain"))
+    maybe = "^[\\s\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]*+(?:#|(?iu:[cp]))"
+    found = F.filter(F.transform(F.split("plain", "\n"), lambda l, i: F.struct(i.alias("pos"), l.alias("line"))), lambda m: m["line"].rlike(maybe) & (m["line"].rlike(HEADING) | m["line"].rlike(SPELLED)))
+
+    def mark(m):
+        line = m["line"]
+        title, spelled = T.strip(F.regexp_extract(line, HEADING, 2)), F.when(line.rlike(SPELLED), T.strip(line))
+        return F.struct(m["pos"].alias("pos"), F.length(F.regexp_extract(line, HEADING, 1)).alias("level"), title.alias("title"), title.rlike(FRONT_MATTER).alias("front"), spelled.alias("spelled"), spelled.rlike(FRONT_MATTER).alias("spelled_front"))
+
+    rows = rows.select("book_id", "text", F.when(F.col("plain") != F.col("text"), F.col("plain")).alias("plain"), F.transform(found, mark).alias("marks"))
+
+    def run(batches):
+        for batch in batches:
+            out, cols = [], batch.select(["text", "plain", "marks"]).to_pydict()
+            at = []
+            for i in range(batch.num_rows):
+                whole = cols["text"][i]
+                split = _split_book(whole if cols["plain"][i] is None else cols["plain"][i], cols["marks"][i], drop_front_matter)
+                chapters, front = split or ([(1, WHOLE_BOOK, whole, False, 0)], [])
+                ord_ = 0
+                for seq, title, text, is_preface, n_merged in chapters:
+                    ord_ += not is_preface
+                    out.append((False, seq, title, text, is_preface, n_merged, 0 if is_preface else ord_))
+                out += [(True, seq, title, text, is_preface, 0, 0) for seq, title, text, is_preface, _ in front]
+                at += [i] * (len(out) - len(at))
+            ids = batch.column("book_id").take(pa.array(at, pa.int64()))
+            step = 256  # rows of a batch that is sent back, so that it stays small
+            names = [f.name for f in _FOUND.fields]
+            types = [pa.bool_(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int32()]
+            for i in range(0, len(out), step):
+                columns = list(zip(*out[i : i + step]))
+                yield pa.RecordBatch.from_arrays([ids.slice(i, len(columns[0])), *[pa.array(c, t) for c, t in zip(columns, types)]], names=["book_id", *names])
+
+    cut_up = rows.mapInArrow(run, S.StructType([rows.schema["book_id"], *_FOUND.fields]))
+    kept = cut_up.where(~F.col("dropped")).select("book_id", "seq", "title", "text", "is_preface", "n_merged", "ord")
+    return with_ids(kept), cut_up.where("dropped").select("book_id", "title", "text", "seq")
