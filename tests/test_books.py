@@ -383,3 +383,21 @@ def test_books_are_cut_in_one_pass(spark):
     assert got == sorted([(f"b{i}", n, t, 0) for i in range(20) for n, t in ((1, f"A {i}"), (2, "B"))] + [("none", 1, "Libro completo", 0), ("one", 1, "Libro completo", 0)])
     assert sorted(r["book_id"] for r in dropped.collect()) == sorted(f"b{i}" for i in range(20))
     assert {r["text"] for r in found.where("book_id in ('none', 'one')").collect()} == {"", "a\x0bb"}
+
+
+def test_dense_sends_few_rows(spark):
+    """Only a question's best rows of a meeting of blocks leave it; equal, missing and odd vectors keep their order."""
+    from vellum.operators import search
+
+    vectors = [("b", f"{i:04d}", [1.0, 0.0] if i % 3 else [0.6, 0.8]) for i in range(1000)] + [("b", "null", None), ("b", "gap", [1.0, None]), ("b", "long", [1.0, 0.0, 0.0]), ("b", "nan", [float("nan"), 0.0])]
+    table = spark.createDataFrame(vectors, "book_id string, chunk_id string, vector array<double>").repartition(3)
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None)], "query_id long, vector array<double>")
+    found = search.dense(table, asked, 4)
+    got = {(r["query_id"], r["rank"]): (r["chunk_id"], r["cosine"]) for r in found.collect()}
+    assert len(got) == 12 and [got[1, i][0] for i in range(4)] == ["nan", "0001", "0002", "0004"] and [got[1, i][1] for i in (1, 2, 3)] == [1.0] * 3
+    assert [got[2, i] for i in (1, 2, 3)] == [("0000", 0.8), ("0003", 0.8), ("0006", 0.8)]
+    assert [got[3, i] for i in range(4)] == [(f"{i:04d}", None) for i in range(4)]
+    few = search.dense(table, asked, 1004)
+    assert few.count() == 3012
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan  # a pair of vectors was a row

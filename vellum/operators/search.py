@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from ..functions import italian
 from ..functions import text as T
@@ -13,8 +19,10 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 RRF, TOP_K, FETCH, CONTEXT = 60, 8, 3, 14_000
 #: Words of questions are broadcast up to so many rows, counted first; beyond, they are shuffled.
 ASKED = 100_000
-#: Question vectors that meet a vector at once, and blocks of them that are broadcast.
-BLOCK, BLOCKS = 1024, 64
+#: Question vectors of a block, and blocks of them that are broadcast; vectors of a block, and those that are multiplied at once.
+BLOCK, BLOCKS, ROWS, STEP = 1024, 64, 4096, 256
+#: Bytes of a block's vectors.
+BODY = 4 << 20
 #: Scores are ranked at this many decimals, so that the order of a sum doesn't decide.
 DECIMALS = 10
 
@@ -77,22 +85,112 @@ def ranked(scores: DataFrame, score: str, k: int, by: list[str] = ("query_id",),
     return scores.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
 
 
-def cosine(a: Column | str, b: Column | str) -> Column:
-    return F.aggregate(F.zip_with(T.col(a), T.col(b), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def _packed(vectors: DataFrame, ids: list[str], rows: int) -> DataFrame:
+    """(ids, dims, body): up to ``rows`` vectors of one length as doubles; those that are or hold null have dims -1."""
+    fields = S.StructType([vectors.schema[c] for c in ids])
+    out = S.StructType([S.StructField("ids", S.ArrayType(fields)), S.StructField("dims", S.IntegerType()), S.StructField("body", S.BinaryType())])
+
+    def blocks(batches):
+        for batch in batches:
+            names = pa.StructArray.from_arrays([batch.column(c) for c in ids], names=ids)
+            lists = batch.column("v")
+            size = pc.fill_null(lists.value_lengths(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten()
+            if flat.null_count:
+                owner = np.repeat(np.arange(len(size)), np.maximum(size, 0))
+                whole, size = size, size.copy()
+                size[owner[flat.is_null().to_numpy(zero_copy_only=False)]] = -1
+            else:
+                whole = size
+            values = flat.to_numpy(zero_copy_only=False).astype("<f8", copy=False)
+            ends = np.cumsum(np.maximum(whole, 0))
+            for dims in np.unique(size):
+                at = np.flatnonzero(size == dims)
+                fit = max(1, min(rows, BODY // (8 * max(dims, 1))))
+                for i in range(0, len(at), fit):
+                    some = at[i : i + fit]
+                    body = b"" if dims < 1 else values[(ends[some] - dims)[:, None] + np.arange(dims)].tobytes()
+                    named = names.take(pa.array(some))
+                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), named), pa.array([int(dims)], pa.int32()), pa.array([body], pa.binary())], names=["ids", "dims", "body"])
+
+    return vectors.select(*ids, F.transform("vector", lambda x: x.cast("double")).alias("v")).mapInArrow(blocks, out)
+
+
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products of the rows of a and b, each summed in the order of its places, so that equal vectors have equal ones."""
+    sums, right = np.zeros((len(a), len(b))), np.ascontiguousarray(b.T)
+    part = np.empty_like(sums)
+    for j in range(a.shape[1]):
+        np.multiply(a[:, j, None], right[j], out=part)
+        sums += part
+    return sums
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """Spark's round at DECIMALS, half up by the decimal form."""
+    step = Decimal(1).scaleb(-DECIMALS)
+    return np.array([float(Decimal(repr(v)).quantize(step, ROUND_HALF_UP)) if np.isfinite(v) else v for v in x.tolist()])
+
+
+def _leaders(scores: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best rows of each column, equal ones at DECIMALS by row; NaN is best, what is under ``least`` is left out.
+
+    least becomes the k-th best of the column, if that is greater.
+    """
+    keys = np.where(np.isnan(scores), np.inf, scores)
+    slack = 10.0**-DECIMALS
+    if len(keys) > k:
+        np.maximum(least, np.partition(keys, len(keys) - k, axis=0)[len(keys) - k], out=least)
+    elif len(keys) == k:
+        np.maximum(least, keys.min(axis=0), out=least)
+    row, column = np.nonzero(keys >= np.where(np.isinf(least), least, least - 2 * slack))
+    values, where = np.unique(keys[row, column], return_inverse=True)
+    order = np.lexsort((row, -_rounded(values)[where], column))
+    row, column = row[order], column[order]
+    first = np.searchsorted(column, column)
+    kept = np.arange(len(column)) - first < k
+    return row[kept], column[kept]
 
 
 def dense(vectors: DataFrame, question_vectors: DataFrame, k: int) -> DataFrame:
-    """(query_id, book_id, chunk_id, cosine, rank) of unit vectors, each against all questions in blocks of BLOCK.
+    """(query_id, book_id, chunk_id, cosine, rank) of unit vectors, each against all questions.
 
-    Blocks are broadcast if there are BLOCKS of them at most. Each task keeps its own k best a question before anything
-    is shuffled.
+    Vectors and questions are packed into blocks of ROWS and BLOCK where they are read. Blocks meet in pairs, as products
+    of matrices; of each meeting a question's k best at most go on, so no pair of vectors is a row. Blocks of questions
+    are broadcast if there are BLOCKS of them at most.
     """
+    spark = vectors.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")  # a pair of blocks is a row
     n = -(-question_vectors.count() // BLOCK)
-    block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, n)))
-    asked = question_vectors.groupBy(block.alias("block")).agg(F.collect_list(F.struct("query_id", F.col("vector").alias("qv"))).alias("asked")).select("asked")
-    rows = vectors.crossJoin(F.broadcast(asked) if n <= BLOCKS else asked).select("book_id", "chunk_id", "vector", F.explode("asked").alias("q"))
-    rows = rows.select(F.col("q.query_id").alias("query_id"), "book_id", "chunk_id", cosine("vector", F.col("q.qv")).alias("cosine"))
-    return ranked(rows, "cosine", k)
+    asked = _packed(question_vectors.repartition(max(1, n)), ["query_id"], BLOCK).select(F.col("ids").alias("qids"), F.col("dims").alias("qdims"), F.col("body").alias("qbody"), F.monotonically_increasing_id().alias("qno"))
+    pairs = _packed(vectors, ["book_id", "chunk_id"], ROWS).crossJoin(F.broadcast(asked) if n <= BLOCKS else asked)
+    out = S.StructType([question_vectors.schema["query_id"], vectors.schema["book_id"], vectors.schema["chunk_id"], S.StructField("cosine", S.DoubleType())])
+
+    def meet(batches):
+        best: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, qids = batch.column("ids")[i].values, batch.column("qids")[i].values
+                dims, qno = batch.column("dims")[i].as_py(), batch.column("qno")[i].as_py()
+                order = pc.sort_indices(pa.Table.from_arrays([ids.field("book_id"), ids.field("chunk_id")], names=["a", "b"]), sort_keys=[("a", "ascending"), ("b", "ascending")]).to_numpy()
+                same = dims == batch.column("qdims")[i].as_py() and dims >= 0
+                if same:
+                    a = np.frombuffer(batch.column("body")[i].as_py(), "<f8").reshape(len(ids), dims)[order]
+                    b = np.frombuffer(batch.column("qbody")[i].as_py(), "<f8").reshape(len(qids), dims)
+                least = best.setdefault(qno, np.full(len(qids), -np.inf))
+                for j in range(0, len(ids), STEP):
+                    some = order[j : j + STEP]
+                    if same:
+                        scores = _products(a[j : j + STEP], b)
+                        row, column = _leaders(scores, k, least)
+                        cosine = pa.array(scores[row, column])
+                    else:  # no cosine: these come after all others
+                        row, column = np.repeat(np.arange(min(k, len(some))), len(qids)), np.tile(np.arange(len(qids)), min(k, len(some)))
+                        cosine = pa.nulls(len(row), pa.float64())
+                    named = ids.take(pa.array(some[row]))
+                    yield pa.RecordBatch.from_arrays([qids.field("query_id").take(pa.array(column)), named.field("book_id"), named.field("chunk_id"), cosine], names=["query_id", "book_id", "chunk_id", "cosine"])
+
+    return ranked(pairs.mapInArrow(meet, out), "cosine", k)
 
 
 def fuse(lists: list[DataFrame], k: int) -> DataFrame:
