@@ -401,3 +401,25 @@ def test_dense_sends_few_rows(spark):
     assert few.count() == 3012
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan  # a pair of vectors was a row
+
+
+def test_cards_are_parsed_once_for_all_rules(spark, data):
+    """And once for quotations; neither cards nor chunks' texts are shuffled to find what the status or an id decides."""
+    from vellum.plans import registry
+
+    cards = registry.as_rule_cards(spark, data).drop("doc_id")
+    chunks = registry.table(spark, data, "documents").select(F.lit("b").alias("book_id"), F.format_string("chunk_ch%03d_0001", "doc_id").alias("id"), F.format_string("ch%03d", "doc_id").alias("chapter_id"), "text")
+    status = cards.select("book_id", "chapter_id", F.lit(2).alias("parts_total"))
+    plan = rules.card_violations(cards, chunks, status)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") <= 2
+    plan = rules.coverage_violations(cards, status)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+
+
+def test_quotations_in_any_of_the_cited_chunks(spark):
+    """One in the second of two chunks, one in neither, a short one, one of a chunk that doesn't exist, the same one twice."""
+    cited = spark.createDataFrame([("b", "ch001", 6, 0, "claims", ["x", "y"], ["alfa beta gamma", "not in there", "two words"]), ("b", "ch001", 7, 1, "passaggi", ["z"], ["alfa beta gamma"]), ("b", "ch001", 7, 2, "passaggi", ["x"], ["one two three", "one two three"])], "book_id string, chapter_id string, rule int, item int, what string, cited array<string>, anchors array<string>")
+    chunks = spark.createDataFrame([("b", "x", "one two three"), ("b", "y", "Alfa\nBETA gamma")], "book_id string, id string, text string")
+    want = [(6, 0, "claims[0]: a quotation has three words at least: two words"), (6, 0, "claims[0]: a quotation isn't in the cited chunks: not in there"), (7, 1, "passaggi[1]: a quotation isn't in the cited chunks: alfa beta gamma")]
+    for few in (True, False):
+        assert sorted((r["rule"], r["item"], r["message"]) for r in rules.anchor_violations(cited, chunks, few=few).collect()) == want

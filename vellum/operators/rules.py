@@ -100,71 +100,114 @@ def synthesis_form() -> Column:
     )
 
 
-def citations(parsed: DataFrame) -> DataFrame:
-    """(book_id, chapter_id, rule, item, what, cited, anchors): what each item of a card cites, and its quotations."""
-    keys = ["book_id", "chapter_id"]
-    none = F.array().cast("array<string>")
+_CITED = "array<struct<rule:int,item:int,what:string,cited:array<string>,anchors:array<string>>>"
 
-    def of(field: str, rule: int, cited, anchors) -> DataFrame:
-        rows = parsed.select(*keys, F.posexplode(f"c.{field}").alias("item", "x"))
-        return rows.select(*keys, F.lit(rule).alias("rule"), "item", F.lit(field).alias("what"), cited(F.col("x")).alias("cited"), anchors(F.col("x")).alias("anchors"))
 
-    return (
-        of("concetti", 5, lambda x: x["chunk_ids"], lambda x: none)
-        .unionByName(of("claims", 6, lambda x: x["chunk_ids"], lambda x: F.coalesce(x["anchors"], none)))
-        .unionByName(of("passaggi", 7, lambda x: F.array(x["chunk_id"]), lambda x: F.array(x["testo"])))
-        .unionByName(of("chunk_summaries", 8, lambda x: F.array(x["chunk_id"]), lambda x: none))
-    )
+def citations() -> Column:
+    """What each item of a parsed card cites, and its quotations: structs of rule, item, what, cited, anchors."""
+    none = F.array().cast("array<string>")
 
+    def of(field: str, rule: int, cited, anchors) -> Column:
+        items = F.transform(f"c.{field}", lambda x, i: F.struct(F.lit(rule).alias("rule"), i.alias("item"), F.lit(field).alias("what"), cited(x).alias("cited"), anchors(x).alias("anchors")))
+        return F.coalesce(items.cast(_CITED), F.array().cast(_CITED))
 
-def reference_violations(cited: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Cited chunks that don't exist or belong to another chapter."""
-    rows = cited.select("book_id", "chapter_id", "rule", "item", "what", F.explode("cited").alias("id"))
-    own = chunks.select("book_id", "id", F.col("chapter_id").alias("owner"))
-    rows = rows.join(own, ["book_id", "id"], "left").where(~F.col("owner").eqNullSafe(F.col("chapter_id")))
-    why = F.when(F.col("owner").isNull(), F.lit(" doesn't exist")).otherwise(F.concat(F.lit(" belongs to "), F.col("owner")))
-    return rows.select("book_id", "chapter_id", "rule", "item", F.concat("what", F.lit("["), F.col("item").cast("string"), F.lit("]: chunk "), "id", why).alias("message"))
+    return F.concat(
+        of("concetti", 5, lambda x: x["chunk_ids"], lambda x: none),
+        of("claims", 6, lambda x: x["chunk_ids"], lambda x: F.coalesce(x["anchors"], none)),
+        of("passaggi", 7, lambda x: F.array(x["chunk_id"]), lambda x: F.array(x["testo"])),
+        of("chunk_summaries", 8, lambda x: F.array(x["chunk_id"]), lambda x: none),
+    )
 
 
-def anchor_violations(cited: DataFrame, chunks: DataFrame) -> DataFrame:
+def anchor_violations(cited: DataFrame, chunks: DataFrame, few: bool = True) -> DataFrame:
     """Quotations of under three words, or in none of the chunks that their item cites.
 
-    Joined on the cited chunk's id; texts are put into the comparable form once a cited chunk.
+    Joined on the cited chunk's id; texts are put into the comparable form once a chunk. few: only cited ones, for which
+    the citations are computed twice. What is quoted is shuffled to the cited chunks and, if it isn't there, back.
     """
     rows = cited.select("book_id", "chapter_id", "rule", "item", "what", "cited", F.posexplode("anchors").alias("a", "anchor")).withColumn("norm", T.norm_anchor("anchor"))
     pairs = rows.select("*", F.explode_outer("cited").alias("id"))
-    used = chunks.join(pairs.select("book_id", "id").distinct(), ["book_id", "id"], "left_semi").select("book_id", "id", T.norm_anchor("text").alias("norm_text"))
-    key = ["book_id", "chapter_id", "rule", "item", "what", "a", "anchor", "norm"]
-    found = pairs.join(used, ["book_id", "id"], "left").groupBy(*key).agg(F.coalesce(F.bool_or(F.contains("norm_text", "norm")), F.lit(False)).alias("found"))
+    used = chunks.join(pairs.select("book_id", "id").distinct(), ["book_id", "id"], "left_semi") if few else chunks
+    used = used.select("book_id", "id", T.norm_anchor("text").alias("norm_text"))
     short = F.size(F.filter(F.split("norm", " "), lambda w: w != "")) < MIN_WORDS
-    why = F.when(short, F.lit("a quotation has three words at least: ")).when(~F.col("found"), F.lit("a quotation isn't in the cited chunks: "))
+    met = pairs.join(used, ["book_id", "id"], "left").withColumn("found", F.coalesce(F.contains("norm_text", "norm"), F.lit(False))).withColumn("short", short)
+    left = F.when(F.col("short") | ~F.col("found"), F.col("anchor")).alias("anchor")
+    met = met.select("book_id", "chapter_id", "rule", "item", "what", "a", F.xxhash64("anchor").alias("h"), "found", "short", left)
+    key = ["book_id", "chapter_id", "rule", "item", "what", "a", "h"]
+    found = met.groupBy(*key).agg(F.bool_or("found").alias("found"), F.bool_or("short").alias("short"), F.max("anchor").alias("anchor"))
+    why = F.when(F.col("short"), F.lit("a quotation has three words at least: ")).when(~F.col("found"), F.lit("a quotation isn't in the cited chunks: "))
     rows = found.withColumn("why", why).where("why is not null")
     return rows.select("book_id", "chapter_id", "rule", "item", F.concat("what", F.lit("["), F.col("item").cast("string"), F.lit("]: "), "why", "anchor").alias("message"))
 
 
+def _formal(cards: DataFrame) -> DataFrame:
+    """(book_id, chapter_id, c, bad): the parsed card, and what is wrong with its form."""
+    parsed = parse(cards, "card", CARD).select("book_id", "chapter_id", "c")
+    return parsed.select("*", F.explode(F.array(F.when(F.col("c").isNull(), _if(F.lit(True), 0, "it isn't JSON")).otherwise(card_form()))).alias("bad"))
+
+
+#: A violation (v), or what decides of one by the status of a chapter (s) or by a chunk (c), named by id.
+_EVENT = "struct<kind:string,id:string,rule:int,item:int,message:string,total:int,read:int>"
+
+
+def _event(kind: str, id, rule=None, item=None, message=None, total=None, read=None) -> Column:
+    values = {"kind": F.lit(kind), "id": id, "rule": rule, "item": item, "message": message, "total": total, "read": read}
+    return F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in values.items()]).cast(_EVENT)
+
+
+def _covers() -> Column:
+    return F.array(_event("s", F.col("chapter_id"), total=F.col("c.coverage.parts_total"), read=F.col("c.coverage.parts_read")))
+
+
+def _judge_cover() -> Column:
+    """Rules 2 and 3 of an event s that met a chapter's status."""
+    return F.concat(
+        _if(F.col("_parts").isNull(), 2, "the chapter isn't known"),
+        _if(F.coalesce(F.col("e.total") != F.col("_parts"), F.lit(False)), 3, "coverage: the chapter has another number of parts"),
+        _if(F.coalesce(F.col("e.read") != F.col("_parts"), F.lit(False)), 3, "coverage: not all parts were read"),
+    )
+
+
+def coverage_violations(cards: DataFrame, status: DataFrame) -> DataFrame:
+    """``card_violations`` of the chapter's status only: that it is known (rule 2) and read as a whole (rule 3)."""
+    rows = _formal(cards).where(F.size("bad") == 0).select("book_id", "chapter_id", F.explode(_covers()).alias("e"))
+    rows = rows.join(status.select("book_id", "chapter_id", F.col("parts_total").alias("_parts")), ["book_id", "chapter_id"], "left")
+    return rows.select("book_id", "chapter_id", F.inline(_judge_cover()))
+
+
 def card_violations(cards: DataFrame, chunks: DataFrame, status: DataFrame) -> DataFrame:
     """(book_id, chapter_id, rule, item, message) of all cards (book_id, chapter_id, card).
 
     status: (book_id, chapter_id, parts_total). Rules: 0 JSON, 1 form, 2 chapter, 3 coverage, 4 thesis, 5 to 8 the
     lists in their order. A card that isn't JSON or of the right form has no further violations.
+
+    Cards are parsed where they are, once for all rules and once for quotations. They give short rows, of which those
+    that a status or a chunk decides meet both in one join; no card is shuffled, and no text but quotations.
     """
-    parsed = parse(cards, "card", CARD)
-    known = parsed.join(status.select("book_id", "chapter_id", F.col("parts_total").alias("_parts")), ["book_id", "chapter_id"], "left")
-    known = known.select("*", F.explode(F.array(F.when(F.col("c").isNull(), _if(F.lit(True), 0, "it isn't JSON")).otherwise(card_form()))).alias("bad"))
-    formal = known.select("book_id", "chapter_id", F.inline("bad"))
-    good = known.where(F.size("bad") == 0)
+    formal = _formal(cards)
     claims = F.transform("c.claims", lambda x, i: _if((x["tipo"] == "testo") & (F.size(F.coalesce(x["anchors"], F.array().cast("array<string>"))) == 0), 6, F.concat(F.lit("claims["), i.cast("string"), F.lit("]: a claim on the text needs a quotation")), i))
     more = F.concat(
-        _if(F.col("_parts").isNull(), 2, "the chapter isn't known"),
         _if(F.col("c.chapter_id") != F.col("chapter_id"), 2, "the card is of another chapter"),
-        _if(F.coalesce(F.col("c.coverage.parts_total") != F.col("_parts"), F.lit(False)), 3, "coverage: the chapter has another number of parts"),
-        _if(F.coalesce(F.col("c.coverage.parts_read") != F.col("_parts"), F.lit(False)), 3, "coverage: not all parts were read"),
         _if(T.norm_anchor("c.tesi") == T.norm_anchor("c.riassunto"), 4, "the thesis equals the summary"),
         F.flatten(claims),
     )
-    rest = good.select("book_id", "chapter_id", F.inline(more))
-    cited = citations(good)
-    return formal.unionByName(rest).unionByName(reference_violations(cited, chunks)).unionByName(anchor_violations(cited, chunks))
+    own = F.when(F.size("bad") == 0, more).otherwise(F.col("bad"))
+    label = lambda x: F.concat(x["what"], F.lit("["), x["item"].cast("string"), F.lit("]: chunk "))
+    cited = F.flatten(F.transform(citations(), lambda x: F.transform(x["cited"], lambda i: _event("c", i, x["rule"], x["item"], label(x)))))
+    told = F.transform(own, lambda b: _event("v", F.col("chapter_id"), b["rule"], b["item"], b["message"]))
+    events = F.concat(told, F.when(F.size("bad") == 0, F.concat(_covers(), cited)).otherwise(F.array().cast(f"array<{_EVENT}>")))
+    rows = formal.select("book_id", "chapter_id", F.explode(events).alias("e")).select("*", F.col("e.kind").alias("kind"), F.col("e.id").alias("id"))
+    none = F.lit(None)
+    known = status.select("book_id", F.lit("s").alias("kind"), F.col("chapter_id").alias("id"), F.col("parts_total").cast("int").alias("_parts"), none.cast("string").alias("owner"))
+    known = known.unionByName(chunks.select("book_id", F.lit("c").alias("kind"), "id", none.cast("int").alias("_parts"), F.col("chapter_id").alias("owner")))
+    rows = rows.join(known, ["book_id", "kind", "id"], "left")
+    why = F.when(F.col("owner").isNull(), F.lit(" doesn't exist")).otherwise(F.concat(F.lit(" belongs to "), F.col("owner")))
+    message = F.when(F.col("kind") == "c", F.concat("e.message", "id", why)).otherwise(F.col("e.message"))
+    itself = F.array(F.struct("e.rule", "e.item", message.alias("message")).cast(_BAD))
+    bad = F.when(F.col("kind") == "v", itself).when(F.col("kind") == "s", _judge_cover()).when(~F.col("owner").eqNullSafe(F.col("chapter_id")), itself)
+    found = rows.select("book_id", "chapter_id", F.inline(bad))
+    quoted = formal.where(F.size("bad") == 0).select("book_id", "chapter_id", F.inline(F.filter(citations(), lambda x: F.size(x["anchors"]) > 0)))
+    return found.unionByName(anchor_violations(quoted, chunks, few=False))
 
 
 def first_errors(violations: DataFrame) -> DataFrame:
