@@ -423,3 +423,20 @@ def test_quotations_in_any_of_the_cited_chunks(spark):
     want = [(6, 0, "claims[0]: a quotation has three words at least: two words"), (6, 0, "claims[0]: a quotation isn't in the cited chunks: not in there"), (7, 1, "passaggi[1]: a quotation isn't in the cited chunks: alfa beta gamma")]
     for few in (True, False):
         assert sorted((r["rule"], r["item"], r["message"]) for r in rules.anchor_violations(cited, chunks, few=few).collect()) == want
+
+
+def test_scores_are_summed_in_bounded_parts(spark, monkeypatch):
+    """Many questions with a frequent word: the same scores in more parts, each chunk's in one of them."""
+    from vellum.operators import search
+
+    docs = spark.createDataFrame([("b", f"{i:03d}", f"the word{i % 7} of the text {i}") for i in range(200)], "book_id string, id string, text string")
+    asked = spark.createDataFrame([(q, f"the word{q % 7} {q}") for q in range(20)], "query_id long, question string")
+    built = index.build(docs, columns=("text",))
+    rows = lambda df: sorted((r["query_id"], r["chunk_id"], round(r["bm25"], 9)) for r in df.collect())
+    want = rows(search.bm25(built, asked, ("text",)))
+    monkeypatch.setattr(search, "SCORES", 100)
+    found = search.bm25(built, asked, ("text",))
+    assert rows(found) == want and len(want) == 4000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and ", 40), REPARTITION_BY_NUM" in plan
+    assert not re.search(r"hashpartitioning\(query_id#\d+L?, book_id", plan)  # scores aren't shuffled

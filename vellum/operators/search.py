@@ -19,6 +19,8 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 RRF, TOP_K, FETCH, CONTEXT = 60, 8, 3, 14_000
 #: Words of questions are broadcast up to so many rows, counted first; beyond, they are shuffled.
 ASKED = 100_000
+#: Scores of a task, and parts of them at most.
+SCORES, MOST_PARTS = 1 << 20, 20_000
 #: Question vectors of a block, and blocks of them that are broadcast; vectors of a block, and those that are multiplied at once.
 BLOCK, BLOCKS, ROWS, STEP = 1024, 64, 4096, 256
 #: Bytes of a block's vectors.
@@ -72,7 +74,13 @@ def bm25(index: Index, questions: DataFrame, columns: tuple[str, ...] = SURFACE)
     n = f.groupBy("phrase", "book_id").agg(F.count(F.lit(1)).alias("n")).join(index.stats, "book_id")
     idf = F.ln((F.col("n_chunks") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     n = n.select("phrase", "book_id", "avg_tokens", F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf).alias("idf"))
-    rows = f.join(n, ["phrase", "book_id"]).join(index.lens, ["book_id", "chunk_id"])
+    rows = f.join(n, ["phrase", "book_id"])
+    scores = index.chunks.count() * questions.count()
+    if scores > SCORES:
+        # chunks meet their lengths and questions in parts of bounded size, so that a task neither sums nor ranks more
+        least = int(f.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartition(min(MOST_PARTS, max(least, -(-scores // SCORES))), "book_id", "chunk_id")
+    rows = rows.join(index.lens, ["book_id", "chunk_id"])
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_tokens") / F.col("avg_tokens")))
     rows = rows.select("phrase", "book_id", "chunk_id", part.alias("part"))
     uses = asked.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("times"))
